@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, jaccard_join, mixing, substring_dedup, token_counts, token_files
+from . import chat, decontaminate, exact_dedup, jaccard_join, mixing, quality, substring_dedup, token_counts, token_files
 from .common import scratch
 
 
@@ -50,6 +50,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), window=35, texts=False)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -68,12 +72,18 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_mixing": op2_mixing,
     "op3_token_files": op3_token_files,
+    "op4_decontamination": op4_decontamination,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_quality_classifier": op10_quality_classifier,
 }
