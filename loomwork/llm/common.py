@@ -28,7 +28,18 @@ def scratch(spark: SparkSession) -> str:
     if not root:
         root = tempfile.mkdtemp(prefix="loomwork-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/loomwork-{uuid.uuid4().hex}"
+    made.append(f"{root.rstrip('/')}/loomwork-{uuid.uuid4().hex}")
+    return made[-1]
+
+
+#: Folders that scratch() named and sweep() has not deleted.
+made: list[str] = []
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all intermediate tables so far.  Call it when every result that read them has been written."""
+    while made:
+        remove(spark, made.pop())
 
 
 def save(df: DataFrame, path: str, *, compression: str = "zstd") -> DataFrame:

@@ -13,10 +13,12 @@ go; equal sets become one class; candidates meet in the inverted index of the
 first order, are checked against the other orders, and then whole.
 
 A posting of m sets is never expanded into m * m pairs while they are linked:
-first each set is compared with the smallest one of its postings, and what is
-then in one component needs no further comparison.  All pairs that still lie
-in different components are compared in the end, so no link that would join
-two components is lost.
+first each set is compared with one set of its postings, another in each round,
+and what is then in one component needs no further comparison.  All pairs that
+still lie in different components are compared in the end, so no link that
+would join two components is lost.  There, the smaller set of a pair is looked
+up by its first ``n - overlap + 1`` shingles only, and a pair must share as
+many prefix shingles as the overlap asks for beyond what the rest can give.
 """
 
 from __future__ import annotations
@@ -49,10 +51,11 @@ from .substring_dedup import SHARD_KEYS, among, inside
 
 #: Independent orders beside the one by frequency.
 ORDERS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
-#: Comparisons with the smallest partner before all remaining pairs are made.
-STAR_ROUNDS = 3
+#: Comparisons with the smallest partner before all remaining pairs are made, each around other centres.
+STAR_ROUNDS = 5
 
-SETS_SCHEMA = "doc_id long, n long, d1 long, d2 long, shared binary, prefix array<long>, others array<binary>"
+TRACE = False
+SETS_SCHEMA = "doc_id long, n long, d1 long, d2 long, own int, shared binary, prefix array<long>, others array<binary>"
 
 
 def shingle_sets(pack: Pack, width: int):
@@ -89,29 +92,47 @@ def digests(pack: Pack, doc: np.ndarray, code: np.ndarray):
     return n, *(s.view(np.int64) for s in sums), first & (n > 0)
 
 
+#: Pairs that one block verifies on average.
+BLOCK_PAIRS = 4096
+
+
 def _verify(percent: int):
-    def run(batches):
-        for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            na, nb = batch.column("na").to_pylist(), batch.column("nb").to_pylist()
-            sa, sb = batch.column("sa"), batch.column("sb")
-            oa, ob = batch.column("oa"), batch.column("ob")
-            yes = []
-            for k in range(len(a)):
-                linked = percent * max(na[k], nb[k]) <= 100 * min(na[k], nb[k])
-                if linked:
-                    pairs = zip(oa[k].as_py(), ob[k].as_py())
-                    linked = all(len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), True)) for x, y in pairs)
-                if linked:
-                    x, y = expand_sorted(sa[k].as_py(), np.uint64), expand_sorted(sb[k].as_py(), np.uint64)
-                    common = int(among(x, y).sum()) if len(y) else 0
-                    linked = 100 * common >= percent * (na[k] + nb[k] - common)
-                yes.append(linked)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(yes, pa.bool_())], names=["a", "b", "linked"])
+    """Check the pairs of a block; each set comes once, however many pairs it has there."""
+
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        place = {key: k for k, key in enumerate(sets.column("key").to_pylist())}
+        n = sets.column("n").to_pylist()
+        cache: dict[int, tuple] = {}
+
+        def parts(key):
+            k = place[key]
+            if k not in cache:
+                orders = [frozenset(np.frombuffer(x, np.uint64).tolist()) for x in sets.column("others")[k].as_py()]
+                cache[k] = (n[k], orders, frozenset(expand_sorted(sets.column("shared")[k].as_py(), np.uint64).tolist()))
+            return cache[k]
+
+        a, b, yes = pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), []
+        for x, y in zip(a, b):
+            (na, oa, sa), (nb, ob, sb) = parts(x), parts(y)
+            # beyond the prefix, the larger set has so many shingles that may be shared
+            rest = -(-percent * max(na, nb) // 100) - 1
+            need = max(1, -(-percent * (na + nb) // (100 + percent)) - rest)
+            linked = all(len(p & q) >= need for p, q in zip(oa, ob))
+            if linked:
+                common = len(sa & sb)
+                linked = 100 * common >= percent * (na + nb - common)
+            yes.append(linked)
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(yes, pa.bool_())], names=["a", "b", "linked"])
 
     return run
 
 
+def _alike(percent: int, n: str, m: str, s: str, t: str):
+    """Whether sets of sizes n and m, of which s and t shingles are shared with any set, can link at all."""
+    fit = (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
+    return fit & ((F.col(n) + F.col(m)) * percent <= F.least(s, t) * (100 + percent))
+
+
 def jaccard_join(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -156,7 +177,7 @@ def jaccard_join(
         pack = Pack(left.to_pylist()[0])
         doc, code = shingle_sets(pack, width)
         n, d1, d2, first = digests(pack, doc, code)
-        shared, prefix, others = [None] * len(n), [None] * len(n), [None] * len(n)
+        own_count, shared, prefix, others = np.zeros(len(n), np.int32), [None] * len(n), [None] * len(n), [None] * len(n)
         if right.num_rows and len(code):
             rows = right.to_pylist()
             keys = np.concatenate([np.uint64(r["shard"]) << np.uint64(32) | expand_sorted(r["keys"], np.uint32) for r in rows])
@@ -171,6 +192,7 @@ def jaccard_join(
             for d in np.flatnonzero(first & (100 * left_over >= percent * n)):
                 own = slice(ends[d] - n[d], ends[d])
                 s, c = code[own][known[own]], count[at[own]][known[own]]
+                own_count[d] = n[d] - len(s)
                 m = int(n[d] - -(-percent * n[d] // 100) + 1 - (n[d] - len(s)))
                 shared[d] = squeeze_sorted(s)
                 prefix[d] = s[np.lexsort((s, c))[:m]].view(np.int64)
@@ -181,11 +203,12 @@ def jaccard_join(
                 pa.array(n),
                 pa.array(d1),
                 pa.array(d2),
+                pa.array(own_count),
                 pa.array(shared, pa.binary()),
                 pa.array(prefix, pa.list_(pa.int64())),
                 pa.array(others, pa.list_(pa.binary())),
             ],
-            names=["doc_id", "n", "d1", "d2", "shared", "prefix", "others"],
+            names=["doc_id", "n", "d1", "d2", "own", "shared", "prefix", "others"],
         )
 
     sets = save(packs.groupBy("pack").cogroup(known.groupBy("pack")).applyInArrow(survivors, SETS_SCHEMA), f"{folder}/sets")
@@ -198,7 +221,7 @@ def jaccard_join(
     one = filled.where("shared is not null").dropDuplicates(name)
     # classes are numbered by their digest, as ids may be null or repeat
     key = F.xxhash64(*name).alias("key")
-    live = save(one.select(key, "n", "shared", "prefix", "others"), f"{folder}/live")
+    live = save(one.select(key, "n", "own", "shared", "prefix", "others"), f"{folder}/live")
     labels = connected_components(_links(live, percent, folder))
     named = classes.withColumn("key", F.xxhash64(*name))
     grouped = save(named.join(labels.withColumnRenamed("node", "key"), "key"), f"{folder}/grouped")
@@ -213,34 +236,50 @@ def jaccard_join(
 
 def _links(live: DataFrame, percent: int, folder: str) -> DataFrame:
     """Links among classes: enough of them to give all components."""
-    postings = save(live.select(F.explode("prefix").alias("token"), "key"), f"{folder}/postings")
-    sides = {
-        s: live.select(F.col("key").alias(s), F.col("n").alias(f"n{s}"), F.col("shared").alias(f"s{s}"), F.col("others").alias(f"o{s}"))
-        for s in "ab"
-    }
+    short = F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / (100 + percent)) + 1
+    # unshared shingles come first in the order, so a shared one's rank starts behind them
+    postings = live.select("key", "n", "own", F.posexplode("prefix").alias("at", "token"))
+    postings = save(postings.select("token", "key", "n", (F.col("n") - F.col("own")).alias("s"), (F.col("own") + F.col("at") < short).alias("early")), f"{folder}/postings")
+    sets = live.select("key", "n", "shared", "others")
 
     def verified(pairs: DataFrame, path: str) -> DataFrame:
-        pairs = pairs.join(sides["b"], "b").join(sides["a"], "a").select("a", "b", "na", "nb", "sa", "sb", "oa", "ob")
-        return save(pairs.mapInArrow(_verify(percent), "a long, b long, linked boolean"), path)
+        """``pairs`` has a, b and the block in which the two meet."""
+        needed = pairs.select("block", F.explode(F.array("a", "b")).alias("key")).distinct()
+        needed = needed.withColumnRenamed("block", "at").join(sets, "key").groupBy("at")
+        checked = pairs.groupBy("block").cogroup(needed).applyInArrow(_verify(percent), "a long, b long, linked boolean")
+        return save(checked, path)
 
     tried = labels = None
     for k in range(STAR_ROUNDS + 1):
         at = postings.withColumn("component", F.col("key"))
         if labels is not None:
-            at = postings.join(labels, F.col("key") == F.col("node"), "left").select("token", "key", F.coalesce("component", "key").alias("component"))
+            at = postings.join(labels, F.col("key") == F.col("node"), "left").select("token", "key", "n", "s", "early", F.coalesce("component", "key").alias("component"))
         span = at.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        open_ = span.where("low < high").select("token", "low")
-        at = save(at.join(open_, "token"), f"{folder}/open{k}")
+        at = save(at.join(span.where("low < high").select("token"), "token", "left_semi"), f"{folder}/open{k}")
         if k < STAR_ROUNDS:
-            centre = at.where("component = low").groupBy("token").agg(F.min("key").alias("a"))
-            pairs = at.where("component > low").join(centre, "token").groupBy(F.col("key").alias("b")).agg(F.min("a").alias("a"))
+            # the centre of a posting: the smallest set under an order of this round
+            turn = F.struct(F.xxhash64(F.lit(k), "key").alias("turn"), F.col("key").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("s").alias("sa"))
+            centre = at.groupBy("token").agg(F.min(turn).alias("c")).select("token", "c.*")
+            near = (F.col("component") != F.col("ca")) & _alike(percent, "n", "na", "s", "sa")
+            pairs = at.join(centre, "token").where(near).groupBy(F.col("key").alias("b")).agg(F.min(F.struct("turn", "a")).alias("c")).select("b", "c.a")
         else:
-            x = at.select("token", F.col("key").alias("a"), F.col("component").alias("ca"))
-            y = at.select("token", F.col("key").alias("b"), F.col("component").alias("cb"))
-            pairs = x.join(y, "token").where("a < b and ca <> cb").select("a", "b").distinct()
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            x = at.where("early").select("token", F.col("key").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("s").alias("sa"))
+            y = at.select("token", F.col("key").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("s").alias("sb"))
+            ordered = F.expr("ca <> cb and (na < nb or na = nb and a < b)") & _alike(percent, "na", "nb", "sa", "sb")
+            pairs = x.join(y, (x.token == y.token) & ordered).select("a", "b").distinct()
+        pairs = pairs.withColumn("member", F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "member")
+        pairs = pairs.groupBy("a", "b").agg(F.min("member").alias("member"))
         if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = save(pairs, f"{folder}/tries{k}")
+        side = int(max(1, pairs.count() / BLOCK_PAIRS) ** 0.5) + 1
+        if k < STAR_ROUNDS:  # few centres: blocks by member
+            block = F.pmod(F.xxhash64("member"), F.lit(side * side))
+        else:
+            block = F.pmod(F.xxhash64("a"), F.lit(side)) * side + F.pmod(F.xxhash64("b"), F.lit(side))
+        pairs = pairs.select("a", "b", block.alias("block"))
+        if TRACE:
+            print("round", k, "open", at.count(), "pairs", pairs.count(), flush=True)
         now = verified(pairs, f"{folder}/pairs{k}")
         tried = now if tried is None else tried.unionByName(now)
         linked = tried.where("linked").select("a", "b")
