@@ -26,12 +26,15 @@ def scratch(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="loomwork-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not local:
+            local.append(tempfile.mkdtemp(prefix="loomwork-"))
+        root = local[0]
     made.append(f"{root.rstrip('/')}/loomwork-{uuid.uuid4().hex}")
     return made[-1]
 
 
+#: The folder that stands in where none is set.
+local: list[str] = []
 #: Folders that scratch() named and sweep() has not deleted.
 made: list[str] = []
 

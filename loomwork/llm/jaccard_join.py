@@ -54,7 +54,7 @@ ORDERS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 #: Comparisons with the smallest partner before all remaining pairs are made, each around other centres.
 STAR_ROUNDS = 5
 
-TRACE = False
+
 SETS_SCHEMA = "doc_id long, n long, d1 long, d2 long, own int, shared binary, prefix array<long>, others array<binary>"
 
 
@@ -278,8 +278,6 @@ def _links(live: DataFrame, percent: int, folder: str) -> DataFrame:
         else:
             block = F.pmod(F.xxhash64("a"), F.lit(side)) * side + F.pmod(F.xxhash64("b"), F.lit(side))
         pairs = pairs.select("a", "b", block.alias("block"))
-        if TRACE:
-            print("round", k, "open", at.count(), "pairs", pairs.count(), flush=True)
         now = verified(pairs, f"{folder}/pairs{k}")
         tried = now if tried is None else tried.unionByName(now)
         linked = tried.where("linked").select("a", "b")

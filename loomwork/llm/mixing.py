@@ -48,7 +48,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], cap: float) ->
     spare = F.sum("source_size").over(everything) - F.sum(F.when(F.col("capped"), F.col("most")).otherwise(0.0)).over(
         everything
     )
-    level = spare / F.sum(F.when(~F.col("capped"), F.col("weight")).otherwise(0.0)).over(everything)
+    level = F.try_divide(spare, F.sum(F.when(~F.col("capped"), F.col("weight")).otherwise(0.0)).over(everything))
     target = F.when(F.col("capped"), F.col("most")).otherwise(level * F.col("weight"))
     return ranked.withColumn("target", target).select("skey", "source_size", "target")
 
@@ -97,7 +97,7 @@ def solve_dual(cells: DataFrame, targets: DataFrame, cap: float, folder: str) ->
             over = F.col("taken") - F.col("target")
             lo = F.when(over < 0, F.col("lam")).otherwise(F.col("lo"))
             hi = F.when(over > 0, F.col("lam")).otherwise(F.col("hi"))
-            newton = F.col("lam") - over / F.col("slope")
+            newton = F.col("lam") - F.try_divide(over, F.col("slope"))  # null where flat: bisection then
             state = (
                 state.join(sums, "skey")
                 .withColumns({"lo": lo, "hi": hi, "off": F.abs(over) / F.greatest("target", F.lit(1.0)), "step": newton})

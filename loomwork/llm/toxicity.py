@@ -85,7 +85,7 @@ def step(state: tuple[int, int, bool], code: int) -> tuple[tuple[int, int, bool]
     if kind == REPORT:
         return (negated, aimed, True), None
     if kind in (INSULT, THREAT):
-        out = 5 if reported else 4 if negated else (0 if kind == INSULT else 2) + (aimed > 0)
+        out = 5 if reported else 4 if state[0] else (0 if kind == INSULT else 2) + (state[1] > 0)
         return (negated, aimed, reported), out
     return (negated, aimed, reported), None
 
