@@ -12,11 +12,9 @@ from pyspark.sql import functions as F
 def written(df: DataFrame, folder: list[str]) -> DataFrame:
     """``df`` written to the shared folder and read back, so that lineage ends here."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="loomwork-")
-        spark.conf.set("spark.checkpoint.dir", root)
     if not folder:
+        # a folder of this machine only where none is set, as in tests
+        root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomwork-")
         folder.append(f"{root.rstrip('/')}/graph-{uuid.uuid4().hex}")
     path = f"{folder[0]}/{uuid.uuid4().hex}"
     df.write.parquet(path)

@@ -81,7 +81,7 @@ _SECRETS = r"""regexp_replace(regexp_replace(regexp_replace(text, 'token = "[0-9
 ORACLE_SQL = {
     "search_literal": f"with {_LINES} select doc_id, line::INT as line, content from lines where regexp_matches(content, '(?i)license')",
     "search_regex": f"with {_LINES} select doc_id, line::INT as line, content from lines where regexp_matches(content, '[0-9]{{3}}-[0-9]{{4}}')",
-    "search_word_sensitive": f"with {_LINES} select doc_id, line::INT as line, content from lines where regexp_matches(content, '\\bIn\\b')",
+    "search_word_sensitive": f"with {_LINES} select doc_id, line::INT as line, content from lines where regexp_matches(content, '(^|[^\\p{{L}}\\p{{N}}_])In($|[^\\p{{L}}\\p{{N}}_])')",
     "search_line_inverted": f"with {_LINES} select doc_id, line::INT as line, content from lines where not regexp_matches(content, '[a-zA-Z]')",
     "search_count": f"with {_LINES} select doc_id, count(*) as match_lines, sum(n)::BIGINT as matches from (select doc_id, len(regexp_extract_all(content, '(?i)the')) as n from lines) where n > 0 group by doc_id",
     "search_without_match": f"with {_LINES} select doc_id from documents where doc_id not in (select doc_id from lines where regexp_matches(content, '(?i)the'))",

@@ -1,5 +1,4 @@
 import os
-import tempfile
 
 import pytest
 
@@ -10,6 +9,4 @@ os.environ["PYTHONPATH"] = os.pathsep.join([os.path.dirname(os.path.dirname(os.p
 def spark():
     from loomwork.session import local_session
 
-    session = local_session()
-    session.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="loomwork-tests-"))
-    return session
+    return local_session()
