@@ -83,3 +83,55 @@ def rolled_up(edges: DataFrame, group: DataFrame) -> DataFrame:
     s = group.select(F.col("node").alias("src"), F.col("grp").alias("src_group"))
     t = group.select(F.col("node").alias("dst"), F.col("grp").alias("dst_group"))
     return edges.join(s, "src").join(t, "dst").where("src_group <> dst_group").groupBy("src_group", "dst_group").agg(F.count(F.lit(1)).alias("weight"))
+
+
+def backward(edges: DataFrame) -> DataFrame:
+    """Edges turned around: what depends on a node instead of what it depends on."""
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
+def affected(edges: DataFrame, changed: DataFrame) -> DataFrame:
+    """``node, hops``: ``changed(node)`` and everything that depends on it, directly or not."""
+    return reachable(backward(edges), changed)
+
+
+def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
+    """``node, hops``: nodes within ``hops`` of the seeds, in either direction."""
+    return reachable(edges.unionByName(backward(edges)), seeds, hops)
+
+
+def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``node, component``: the smallest node of each strongly connected component.
+
+    Each round, the smallest ancestor's id colours every node; a colour's
+    members that lead back to the node of that id are one component and leave.
+    """
+    folder: list[str] = []
+    left = written(edges.select("src", "dst").where("src <> dst").distinct(), folder)
+    found = []
+    while True:
+        ends = left.select("src").distinct().intersect(left.select("dst").distinct())  # others are alone
+        inner = left.join(ends, "src", "left_semi").join(ends.select(F.col("src").alias("dst")), "dst", "left_semi")
+        left = written(inner.select("src", "dst"), folder)
+        if left.limit(1).count() == 0:
+            break
+        colours = written(left.select(F.col("src").alias("node")).union(left.select("dst")).distinct().withColumn("c", F.col("node")), folder)
+        while True:
+            low = left.join(colours.select(F.col("node").alias("src"), F.col("c").alias("up")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("up").alias("up"))
+            new = written(colours.join(low, "node", "left").select("node", F.col("c").alias("old"), F.least("c", F.coalesce("up", "c")).alias("c")), folder)
+            colours = new.select("node", "c")
+            if new.where("c < old").limit(1).count() == 0:
+                break
+        s, t = colours.select(F.col("node").alias("src"), F.col("c").alias("sc")), colours.select(F.col("node").alias("dst"), F.col("c").alias("tc"))
+        same = backward(left.join(s, "src").join(t, "dst").where("sc = tc"))
+        back = reachable(same, colours.where("node = c").select("node"))
+        members = written(colours.join(back.select("node"), "node", "left_semi").select("node", F.col("c").alias("component")), folder)
+        found.append(members)
+        gone = members.select("node")
+        left = left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
+    if not found:
+        return nodes.select("node", F.col("node").alias("component"))
+    known = found[0]
+    for more in found[1:]:
+        known = known.unionByName(more)
+    return nodes.select("node").join(known, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -6,44 +6,28 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import text as T
 from loomwork.operators import graph, report, search, sets
-from loomwork.sources.tables import edges, table
+from loomwork.plans import code_queries
+from loomwork.plans.inputs import DEGREES, EDGES, FINDINGS, LINES, REPEATED, documents, findings, part_graph, repeated, roots
+from loomwork.sources.tables import table
 from loomwork.streaming import sessions
 
 
-def _docs(spark, d):
-    return table(spark, d, "documents")
-
-
-def _graph(spark, d):
-    nodes = table(spark, d, "part").select(F.col("p_partkey").alias("node"))
-    return nodes, edges(table(spark, d, "lineitem"))
-
-
-def _findings(spark, d):
-    """Events as findings: the type is the category, the value decides the severity, the user is the file."""
-    v = F.col("value")
-    severity = F.when(v >= 90, "critical").when(v >= 60, "high").when(v >= 30, "medium").when(v >= 10, "low").otherwise("info")
-    return table(spark, d, "events").select(
-        F.col("event_id").alias("id"), F.col("event_type").alias("category"), F.col("user_id").alias("file"), severity.alias("severity")
-    )
-
-
 QUERIES = {
-    "search_literal": lambda s, d: search.matching(_docs(s, d), "license"),
-    "search_regex": lambda s, d: search.matching(_docs(s, d), r"[0-9]{3}-[0-9]{4}", regex=True),
-    "search_word_sensitive": lambda s, d: search.matching(_docs(s, d), "In", whole_word=True),
-    "search_line_inverted": lambda s, d: search.matching(_docs(s, d), r"[a-zA-Z]", regex=True, invert=True),
-    "search_count": lambda s, d: search.file_counts(_docs(s, d), "the"),
-    "search_without_match": lambda s, d: search.files_without_match(_docs(s, d), "the"),
-    "search_context": lambda s, d: search.with_context(_docs(s, d), "token =", 1, 1),
-    "search_ranges": lambda s, d: search.match_ranges(_docs(s, d), "rights", 2),
-    "search_page": lambda s, d: search.search_page(_docs(s, d), "the", page=2),
-    "line_range": lambda s, d: search.line_range(_docs(s, d), 2, 4),
-    "char_page": lambda s, d: search.char_page(_docs(s, d), 100, 50),
-    "duplicate_groups": lambda s, d: sets.duplicate_groups(_docs(s, d)),
+    "search_literal": lambda s, d: search.matching(documents(s, d), "license"),
+    "search_regex": lambda s, d: search.matching(documents(s, d), r"[0-9]{3}-[0-9]{4}", regex=True),
+    "search_word_sensitive": lambda s, d: search.matching(documents(s, d), "In", whole_word=True),
+    "search_line_inverted": lambda s, d: search.matching(documents(s, d), r"[a-zA-Z]", regex=True, invert=True),
+    "search_count": lambda s, d: search.file_counts(documents(s, d), "the"),
+    "search_without_match": lambda s, d: search.files_without_match(documents(s, d), "the"),
+    "search_context": lambda s, d: search.with_context(documents(s, d), "token =", 1, 1),
+    "search_ranges": lambda s, d: search.match_ranges(documents(s, d), "rights", 2),
+    "search_page": lambda s, d: search.search_page(documents(s, d), "the", page=2),
+    "line_range": lambda s, d: search.line_range(documents(s, d), 2, 4),
+    "char_page": lambda s, d: search.char_page(documents(s, d), 100, 50),
+    "duplicate_groups": lambda s, d: sets.duplicate_groups(documents(s, d)),
     "keep_first": lambda s, d: sets.keep_first(table(s, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey"),
     "union_keep_left": lambda s, d: sets.union_keep_left(
-        table(s, d, "labels").select("doc_id", F.lit("label").alias("origin")), _docs(s, d).select("doc_id", F.lit("document").alias("origin")), ["doc_id"]
+        table(s, d, "labels").select("doc_id", F.lit("label").alias("origin")), documents(s, d).select("doc_id", F.lit("document").alias("origin")), ["doc_id"]
     ),
     "unused_parts": lambda s, d: sets.unused(table(s, d, "part"), table(s, d, "lineitem"), F.expr("p_partkey = l_partkey and l_quantity > 45")).select("p_partkey"),
     "range_overlap": lambda s, d: sets.range_overlap(
@@ -51,46 +35,39 @@ QUERIES = {
         table(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").alias("f"), F.expr("o_orderdate + interval 365 days").alias("t")),
         "l_orderkey", ("a", "b"), ("f", "t"),
     ).select("l_orderkey", "l_linenumber", "l_partkey"),
-    "graph_degrees": lambda s, d: graph.degrees(*_graph(s, d)),
-    "graph_instability": lambda s, d: graph.unstable_dependencies(*_graph(s, d)),
-    "graph_reachable": lambda s, d: graph.reachable(_graph(s, d)[1], s.createDataFrame([(1,)], "node long").unionByName(_graph(s, d)[1].agg(F.min("src").alias("node")))),
-    "graph_components": lambda s, d: graph.components(*_graph(s, d)),
-    "graph_rollup": lambda s, d: graph.rolled_up(_graph(s, d)[1], table(s, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("grp"))),
-    "severity_counts": lambda s, d: report.severity_counts(_findings(s, d)),
-    "health_score": lambda s, d: report.health(_findings(s, d), 10_000),
-    "top_per_category": lambda s, d: report.top_per_category(_findings(s, d)),
-    "diversified_top": lambda s, d: report.diversified(_findings(s, d), 25).select("id", "category", "severity"),
-    "baseline_filter": lambda s, d: report.against_baseline(_findings(s, d), _findings(s, d).where("severity = 'critical'")),
-    "redact": lambda s, d: _docs(s, d).select("doc_id", T.secret_count(F.col("text")).alias("n_secrets"), F.sha2(T.redact(F.col("text")).cast("binary"), 256).alias("redacted_sha256")),
+    "graph_degrees": lambda s, d: graph.degrees(*part_graph(s, d)),
+    "graph_instability": lambda s, d: graph.unstable_dependencies(*part_graph(s, d)),
+    "graph_reachable": lambda s, d: graph.reachable(repeated(s, d)[1], roots(repeated(s, d)[1])),
+    "graph_components": lambda s, d: graph.components(*repeated(s, d)),
+    "graph_rollup": lambda s, d: graph.rolled_up(part_graph(s, d)[1], table(s, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("grp"))),
+    "severity_counts": lambda s, d: report.severity_counts(findings(s, d)),
+    "health_score": lambda s, d: report.health(findings(s, d), 10_000),
+    "top_per_category": lambda s, d: report.top_per_category(findings(s, d)),
+    "diversified_top": lambda s, d: report.diversified(findings(s, d), 25).select("id", "category", "severity"),
+    "baseline_filter": lambda s, d: report.against_baseline(findings(s, d), findings(s, d).where("severity = 'critical'")),
+    "redact": lambda s, d: documents(s, d).select("doc_id", T.secret_count(F.col("text")).alias("n_secrets"), F.sha2(T.redact(F.col("text")).cast("binary"), 256).alias("redacted_sha256")),
     "mask": lambda s, d: table(s, d, "customer").select("c_custkey", T.masked(F.col("c_name")).alias("masked")),
-    "size_text": lambda s, d: _docs(s, d).select("doc_id", T.size_text(F.col("n_chars") * 37).alias("size")),
+    "size_text": lambda s, d: documents(s, d).select("doc_id", T.size_text(F.col("n_chars") * 37).alias("size")),
     "strip_html": lambda s, d: table(s, d, "pages").select("page_id", F.sha2(T.stripped(F.col("html")).cast("binary"), 256).alias("text_sha256")),
     "window_counters": lambda s, d: sessions.window_counters(table(s, d, "events")),
     "user_sessions": lambda s, d: sessions.user_sessions(table(s, d, "events")),
 }
 
-_LINES = "lines as (select doc_id, unnest(string_split(text, chr(10))) as content, generate_subscripts(string_split(text, chr(10)), 1) as line from documents)"
-_EDGES = "edges as (select distinct src, dst from (select l_partkey as src, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey) as dst from lineitem where l_orderkey % 50 = 0) where dst is not null)"
-_DEGREES = _EDGES + """, degrees as (select p_partkey as node, coalesce(o, 0) as outgoing, coalesce(i, 0) as incoming from part
-  left join (select src, count(*) as o from edges group by src) on src = p_partkey left join (select dst, count(*) as i from edges group by dst) on dst = p_partkey)"""
-_FINDINGS = """findings as (select event_id as id, event_type as category, user_id as file,
-  case when value >= 90 then 'critical' when value >= 60 then 'high' when value >= 30 then 'medium' when value >= 10 then 'low' else 'info' end as severity from events),
-ranked as (select *, case severity when 'critical' then 0 when 'high' then 1 when 'medium' then 2 when 'low' then 3 else 4 end as r from findings)"""
 _SECRETS = r"""regexp_replace(regexp_replace(regexp_replace(text, 'token = "[0-9a-f]{40}"', '[REDACTED-TOKEN]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[REDACTED-EMAIL]', 'g'), '\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b', '[REDACTED-IPV4]', 'g')"""
 
 ORACLE_SQL = {
-    "search_literal": f"with {_LINES} select doc_id, line::INT as line, content from lines where regexp_matches(content, '(?i)license')",
-    "search_regex": f"with {_LINES} select doc_id, line::INT as line, content from lines where regexp_matches(content, '[0-9]{{3}}-[0-9]{{4}}')",
-    "search_word_sensitive": f"with {_LINES} select doc_id, line::INT as line, content from lines where regexp_matches(content, '(^|[^\\p{{L}}\\p{{N}}_])In($|[^\\p{{L}}\\p{{N}}_])')",
-    "search_line_inverted": f"with {_LINES} select doc_id, line::INT as line, content from lines where not regexp_matches(content, '[a-zA-Z]')",
-    "search_count": f"with {_LINES} select doc_id, count(*) as match_lines, sum(n)::BIGINT as matches from (select doc_id, len(regexp_extract_all(content, '(?i)the')) as n from lines) where n > 0 group by doc_id",
-    "search_without_match": f"with {_LINES} select doc_id from documents where doc_id not in (select doc_id from lines where regexp_matches(content, '(?i)the'))",
-    "search_context": f"""with {_LINES}, c as (select doc_id, line, content, concat_ws(chr(10), lag(content) over w, content, lead(content) over w) as v from lines window w as (partition by doc_id order by line))
+    "search_literal": f"with {LINES} select doc_id, line::INT as line, content from lines where regexp_matches(content, '(?i)license')",
+    "search_regex": f"with {LINES} select doc_id, line::INT as line, content from lines where regexp_matches(content, '[0-9]{{3}}-[0-9]{{4}}')",
+    "search_word_sensitive": f"with {LINES} select doc_id, line::INT as line, content from lines where regexp_matches(content, '(^|[^\\p{{L}}\\p{{N}}_])In($|[^\\p{{L}}\\p{{N}}_])')",
+    "search_line_inverted": f"with {LINES} select doc_id, line::INT as line, content from lines where not regexp_matches(content, '[a-zA-Z]')",
+    "search_count": f"with {LINES} select doc_id, count(*) as match_lines, sum(n)::BIGINT as matches from (select doc_id, len(regexp_extract_all(content, '(?i)the')) as n from lines) where n > 0 group by doc_id",
+    "search_without_match": f"with {LINES} select doc_id from documents where doc_id not in (select doc_id from lines where regexp_matches(content, '(?i)the'))",
+    "search_context": f"""with {LINES}, c as (select doc_id, line, content, concat_ws(chr(10), lag(content) over w, content, lead(content) over w) as v from lines window w as (partition by doc_id order by line))
 select doc_id, line::INT as line, case when length(v) > 200 then substr(v, 1, 197) || '...' else v end as value from c where regexp_matches(content, '(?i)token =')""",
-    "search_ranges": f"""with {_LINES}, m as (select l.doc_id, line, greatest(1, line - 2) as f, least(total, line + 2) as t from lines l join (select doc_id, max(line) as total from lines group by doc_id) using (doc_id) where regexp_matches(content, '(?i)rights')),
+    "search_ranges": f"""with {LINES}, m as (select l.doc_id, line, greatest(1, line - 2) as f, least(total, line + 2) as t from lines l join (select doc_id, max(line) as total from lines group by doc_id) using (doc_id) where regexp_matches(content, '(?i)rights')),
 i as (select *, sum(case when f > coalesce(p, -1) + 1 then 1 else 0 end) over (partition by doc_id order by line) as g from (select *, lag(t) over (partition by doc_id order by line) as p from m))
 select doc_id, min(f)::INT as "first", max(t)::INT as "last", count(*) as n_matches from i group by doc_id, g""",
-    "search_page": f"""with {_LINES}, m as (select * from lines where regexp_matches(content, '(?i)the')), c as (select doc_id, count(*) as total_matches from m group by doc_id order by doc_id limit 10 offset 10)
+    "search_page": f"""with {LINES}, m as (select * from lines where regexp_matches(content, '(?i)the')), c as (select doc_id, count(*) as total_matches from m group by doc_id order by doc_id limit 10 offset 10)
 select doc_id, line::INT as line, content, total_matches from m join c using (doc_id) qualify row_number() over (partition by doc_id order by line) <= 10""",
     "line_range": "select doc_id, len(l)::INT as n_lines, array_to_string(l[2:4], chr(10)) as content from (select doc_id, string_split(text, chr(10)) as l from documents) where len(l) >= 2",
     "char_page": "select doc_id, 3::INT as page, ceil(length(substr(text, 101, 50)) / 4)::BIGINT as tokens, substr(text, 101, 50) as content from documents",
@@ -99,19 +76,19 @@ select doc_id, line::INT as line, content, total_matches from m join c using (do
     "union_keep_left": "select doc_id, 'label' as origin from labels union all select doc_id, 'document' from documents where doc_id not in (select doc_id from labels)",
     "unused_parts": "select p_partkey from part where not exists (select 1 from lineitem where l_partkey = p_partkey and l_quantity > 45)",
     "range_overlap": "select l_orderkey, l_linenumber, l_partkey from lineitem where exists (select 1 from orders where o_orderkey = l_orderkey and l_shipdate <= o_orderdate + interval 365 days and l_shipdate + interval 30 days >= o_orderdate)",
-    "graph_degrees": f"with {_DEGREES} select node, outgoing, incoming, case when outgoing > 0 and incoming > 0 then 'inner' when outgoing > 0 then 'root' when incoming > 0 then 'leaf' else 'orphan' end as kind from degrees",
-    "graph_instability": f"""with {_DEGREES}, i as (select node, case when outgoing + incoming > 0 then outgoing / (outgoing + incoming) else 0.0 end as v from degrees)
+    "graph_degrees": f"with {DEGREES} select node, outgoing, incoming, case when outgoing > 0 and incoming > 0 then 'inner' when outgoing > 0 then 'root' when incoming > 0 then 'leaf' else 'orphan' end as kind from degrees",
+    "graph_instability": f"""with {DEGREES}, i as (select node, case when outgoing + incoming > 0 then outgoing / (outgoing + incoming) else 0.0 end as v from degrees)
 select src, dst, round(t.v - s.v, 6) as delta, case when t.v - s.v > 0.3 then 'high' else 'medium' end as severity from edges join i s on s.node = src join i t on t.node = dst where t.v - s.v > 0.15 and s.v < 0.6""",
-    "graph_reachable": f"""with recursive {_EDGES}, walk as (select node, 0 as hops from (select 1 as node union select min(src) from edges) union select dst, hops + 1 from walk join edges on src = node where hops < 60)
+    "graph_reachable": f"""with recursive {REPEATED}, walk as (select src as node, 0 as hops from edges where src not in (select dst from edges) union select dst, hops + 1 from walk join edges on src = node where hops < 60)
 select node::BIGINT as node, min(hops)::INT as hops from walk group by node""",
-    "graph_components": f"""with recursive {_EDGES}, both_ways as (select src, dst from edges union select dst, src from edges), walk as (select p_partkey as node, p_partkey as seen from part union select dst, seen from walk join both_ways on src = node)
+    "graph_components": f"""with recursive {REPEATED}, both_ways as (select src, dst from edges union select dst, src from edges), walk as (select p_partkey as node, p_partkey as seen from part union select dst, seen from walk join both_ways on src = node)
 select node, min(seen) as component from walk group by node""",
-    "graph_rollup": f"with {_EDGES} select s.p_brand as src_group, t.p_brand as dst_group, count(*) as weight from edges join part s on s.p_partkey = src join part t on t.p_partkey = dst where s.p_brand <> t.p_brand group by 1, 2",
-    "severity_counts": f"with {_FINDINGS} select s as severity, count(id) as n from (select unnest(['critical', 'high', 'medium', 'low', 'info']) as s) left join findings on severity = s group by s",
-    "health_score": f"""with {_FINDINGS} select least(floor(100 / (1 + sum([25, 10, 3, 1, 0][r + 1]) / 10000 / 10) + 0.5), case min(r) when 0 then 95 when 1 then 98 else 99 end)::BIGINT as score from ranked""",
-    "top_per_category": f"with {_FINDINGS}, own as (select *, row_number() over (partition by category order by r, id) as k from ranked) select id, category, file, severity from own where k <= 2 order by r, category, id limit 20",
-    "diversified_top": f"with {_FINDINGS}, own as (select *, row_number() over (partition by category order by r, id) as k from ranked) select id, category, severity from own order by k, r, category, id limit 25",
-    "baseline_filter": f"with {_FINDINGS} select id, category, file, severity from findings f where not exists (select 1 from findings b where b.severity = 'critical' and b.category = f.category and b.file = f.file)",
+    "graph_rollup": f"with {EDGES} select s.p_brand as src_group, t.p_brand as dst_group, count(*) as weight from edges join part s on s.p_partkey = src join part t on t.p_partkey = dst where s.p_brand <> t.p_brand group by 1, 2",
+    "severity_counts": f"with {FINDINGS} select s as severity, count(id) as n from (select unnest(['critical', 'high', 'medium', 'low', 'info']) as s) left join findings on severity = s group by s",
+    "health_score": f"""with {FINDINGS} select least(floor(100 / (1 + sum([25, 10, 3, 1, 0][r + 1]) / 10000 / 10) + 0.5), case min(r) when 0 then 95 when 1 then 98 else 99 end)::BIGINT as score from ranked""",
+    "top_per_category": f"with {FINDINGS}, own as (select *, row_number() over (partition by category order by r, id) as k from ranked) select id, category, file, severity from own where k <= 2 order by r, category, id limit 20",
+    "diversified_top": f"with {FINDINGS}, own as (select *, row_number() over (partition by category order by r, id) as k from ranked) select id, category, severity from own order by k, r, category, id limit 25",
+    "baseline_filter": f"with {FINDINGS} select id, category, file, severity from findings f where not exists (select 1 from findings b where b.severity = 'critical' and b.category = f.category and b.file = f.file)",
     "redact": rf"""select doc_id, (len(regexp_extract_all(text, 'token = "[0-9a-f]{{40}}"')) + len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}')) + len(regexp_extract_all(text, '\b[0-9]{{1,3}}\.[0-9]{{1,3}}\.[0-9]{{1,3}}\.[0-9]{{1,3}}\b')))::INT as n_secrets, sha256({_SECRETS}) as redacted_sha256 from documents""",
     "mask": "select c_custkey, array_to_string(list_transform(range(1, length(c_name) + 1), lambda i: case when i % 2 = 1 then '*' else substr(c_name, i, 1) end), '') as masked from customer",
     "size_text": "select doc_id, case when n < 1024 then printf('%.1fB', n::DOUBLE) when n < 1048576 then printf('%.1fKB', floor(n / 1024.0 * 10 + 0.5) / 10) else printf('%.1fMB', floor(n / 1048576.0 * 10 + 0.5) / 10) end as size from (select doc_id, n_chars * 37 as n from documents)",
@@ -120,3 +97,6 @@ select node, min(seen) as component from walk group by node""",
     "user_sessions": """with g as (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval 30 minutes then 0 else 1 end as new from events),
 i as (select *, sum(new) over (partition by user_id order by ts, event_id) as k from g) select user_id, min(ts) as start, count(*) as n from i group by user_id, k""",
 }
+
+QUERIES |= code_queries.QUERIES
+ORACLE_SQL |= code_queries.ORACLE_SQL

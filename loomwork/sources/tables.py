@@ -17,10 +17,10 @@ def lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def edges(lineitem: DataFrame, every: int = 50) -> DataFrame:
-    """A directed graph: consecutive parts of each ``every``-th order, distinct."""
+def edges(lineitem: DataFrame, least: int = 1) -> DataFrame:
+    """A directed graph over all orders: consecutive parts of an order, where at least ``least`` orders have that pair."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-    pairs = lineitem.where(F.col("l_orderkey") % every == 0).select(
-        F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst")
-    )
-    return pairs.where("dst is not null").distinct()
+    pairs = lineitem.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst")).where("dst is not null")
+    if least <= 1:
+        return pairs.distinct()
+    return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("src", "dst")
