@@ -9,6 +9,7 @@ then sum frequencies times pieces.  Token ids are never stored.
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
@@ -39,6 +40,14 @@ def pre_tokens(text: str) -> list[str]:
     return (PATTERN if NOT_SIMPLE.search(text) else SIMPLE_PATTERN).findall(text)
 
 
+@functools.lru_cache(maxsize=1)
+def loaded(path: str):
+    """The tokenizer of a file, once in each worker process."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def count_tokens(
     docs: DataFrame,
     *,
@@ -122,9 +131,7 @@ def count_tokens(
     )
 
     def pieces(table: pa.Table) -> pa.Table:
-        from tokenizers import Tokenizer
-
-        count = Tokenizer.from_file(tokenizer)
+        count = loaded(tokenizer)
         numbers, rows = Numbering(), []
         for row in table.to_pylist():
             body, ends = zstandard.ZstdDecompressor().decompress(row["body"]), np.cumsum(expand(row["lens"], np.uint32))
