@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomwork.functions import measures as M
 from loomwork.functions.text import size_text
 from loomwork.operators import detectors, graph, shape
-from loomwork.plans.inputs import DEGREES, EDGES, FINDINGS, LINES, REPEATED, documents, findings, part_graph, repeated, roots
+from loomwork.plans.inputs import DEGREES, EDGES, FINDINGS, FIRST, LINES, REPEATED, documents, findings, first_order, part_graph, repeated, roots
 from loomwork.sources.tables import table
 
 LAYERS = ("ECONOMY", "STANDARD", "PROMO", "MEDIUM", "SMALL", "LARGE")
@@ -37,6 +37,12 @@ def _affected_coupling(s, d):
     return detectors.coupling(*part_graph(s, d)).join(near, "subject", "left_semi").select("category", "subject", "severity", "total")
 
 
+def _affected_coupling_all(s, d):
+    """Coupling findings on what depends on the parts of the first order, over all edges."""
+    near = graph.affected(part_graph(s, d)[1], first_order(s, d)).select(F.col("node").alias("subject"))
+    return detectors.coupling(*part_graph(s, d)).join(near, "subject", "left_semi").select("category", "subject", "severity", "total")
+
+
 def _weighted_top(s, d):
     score = F.round(F.col("p_retailprice") / 100 + 0.8 * F.col("incoming") + 0.4 * F.col("outgoing"), 4)
     both = graph.degrees(*part_graph(s, d)).join(table(s, d, "part").withColumnRenamed("p_partkey", "node"), "node")
@@ -48,6 +54,9 @@ QUERIES = {
     "graph_affected_findings": _affected_coupling,
     "graph_neighbourhood": lambda s, d: graph.neighbourhood(repeated(s, d)[1], roots(repeated(s, d)[1]), 2),
     "graph_strong_components": lambda s, d: graph.strong_components(*repeated(s, d)),
+    "graph_affected_findings_all": _affected_coupling_all,
+    "graph_neighbourhood_all": lambda s, d: graph.neighbourhood(part_graph(s, d)[1], first_order(s, d), 2),
+    "graph_strong_components_all": lambda s, d: graph.strong_components(*part_graph(s, d)),
     "coupling_findings": lambda s, d: detectors.coupling(*part_graph(s, d)),
     "main_sequence": lambda s, d: detectors.off_main_sequence(*part_graph(s, d), table(s, d, "part").select(F.col("p_partkey").alias("node"), (F.col("p_size") / 50).alias("share"))),
     "layer_violations": lambda s, d: detectors.layer_violations(part_graph(s, d)[1], table(s, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_type").alias("name")), LAYERS),
@@ -91,6 +100,12 @@ select * from ({_COUPLED}) where subject in (select node from walk)""",
     "graph_neighbourhood": f"""with recursive {REPEATED}, ways as (select src, dst from edges union select dst, src from edges), walk as (select src as node, 0 as hops from edges where src not in (select dst from edges) union select dst, hops + 1 from walk join ways on src = node where hops < 2)
 select node, min(hops)::INT as hops from walk group by node""",
     "graph_strong_components": f"""with recursive {REPEATED}, walk as (select src, dst from edges union select walk.src, edges.dst from walk join edges on walk.dst = edges.src)
+select p_partkey as node, least(p_partkey, coalesce(min(a.dst), p_partkey)) as component from part left join (select w.src, w.dst from walk w join walk b on w.src = b.dst and w.dst = b.src) a on a.src = p_partkey group by p_partkey""",
+    "graph_affected_findings_all": f"""with recursive {DEGREES}, {FIRST}, walk as (select node from first union select src from walk join edges on dst = walk.node)
+select * from ({_COUPLED}) where subject in (select node from walk)""",
+    "graph_neighbourhood_all": f"""with recursive {EDGES}, {FIRST}, ways as (select src, dst from edges union select dst, src from edges), walk as (select node, 0 as hops from first union select dst, hops + 1 from walk join ways on src = node where hops < 2)
+select node, min(hops)::INT as hops from walk group by node""",
+    "graph_strong_components_all": f"""with recursive {EDGES}, walk as (select src, dst from edges union select walk.src, edges.dst from walk join edges on walk.dst = edges.src)
 select p_partkey as node, least(p_partkey, coalesce(min(a.dst), p_partkey)) as component from part left join (select w.src, w.dst from walk w join walk b on w.src = b.dst and w.dst = b.src) a on a.src = p_partkey group by p_partkey""",
     "coupling_findings": f"with {DEGREES} {_COUPLED}",
     "main_sequence": f"""with {DEGREES}, far as (select node as subject, round(abs(p_size / 50.0 + outgoing / (outgoing + incoming) - 1), 6) as distance from degrees join part on p_partkey = node where outgoing + incoming >= 3)

@@ -26,6 +26,13 @@ def roots(links):
     return links.select(F.col("src").alias("node")).distinct().join(links.select(F.col("dst").alias("node")), "node", "left_anti")
 
 
+def first_order(spark, d):
+    """Parts of the order with the smallest key, where walks over all edges begin: with all edges no part is without a predecessor."""
+    items = table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("node"))
+    least = items.agg(F.min("l_orderkey").alias("l_orderkey"))
+    return items.join(least, "l_orderkey", "left_semi").select("node").distinct()
+
+
 def findings(spark, d):
     """Events as findings: the type is the category, the value decides the severity, the user is the file."""
     v = F.col("value")
@@ -39,6 +46,7 @@ LINES = "lines as (select doc_id, unnest(string_split(text, chr(10))) as content
 EDGES = "edges as (select distinct src, dst from (select l_partkey as src, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey) as dst from lineitem) where dst is not null)"
 #: Pairs that at least two orders have: a thin graph for the walks.
 REPEATED = "edges as (select src, dst from (select l_partkey as src, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey) as dst from lineitem) where dst is not null group by src, dst having count(*) >= 2)"
+FIRST = "first as (select distinct l_partkey as node from lineitem where l_orderkey = (select min(l_orderkey) from lineitem))"
 DEGREES = EDGES + """, degrees as (select p_partkey as node, coalesce(o, 0) as outgoing, coalesce(i, 0) as incoming from part
   left join (select src, count(*) as o from edges group by src) on src = p_partkey left join (select dst, count(*) as i from edges group by dst) on dst = p_partkey)"""
 FINDINGS = """findings as (select event_id as id, event_type as category, user_id as file,

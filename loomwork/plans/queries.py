@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomwork.functions import text as T
 from loomwork.operators import graph, report, search, sets
 from loomwork.plans import code_queries
-from loomwork.plans.inputs import DEGREES, EDGES, FINDINGS, LINES, REPEATED, documents, findings, part_graph, repeated, roots
+from loomwork.plans.inputs import DEGREES, EDGES, FINDINGS, FIRST, LINES, REPEATED, documents, findings, first_order, part_graph, repeated, roots
 from loomwork.sources.tables import table
 from loomwork.streaming import sessions
 
@@ -39,6 +39,8 @@ QUERIES = {
     "graph_instability": lambda s, d: graph.unstable_dependencies(*part_graph(s, d)),
     "graph_reachable": lambda s, d: graph.reachable(repeated(s, d)[1], roots(repeated(s, d)[1])),
     "graph_components": lambda s, d: graph.components(*repeated(s, d)),
+    "graph_reachable_all": lambda s, d: graph.reachable(part_graph(s, d)[1], first_order(s, d)),
+    "graph_components_all": lambda s, d: graph.components(*part_graph(s, d)),
     "graph_rollup": lambda s, d: graph.rolled_up(part_graph(s, d)[1], table(s, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("grp"))),
     "severity_counts": lambda s, d: report.severity_counts(findings(s, d)),
     "health_score": lambda s, d: report.health(findings(s, d), 10_000),
@@ -82,6 +84,10 @@ select src, dst, round(t.v - s.v, 6) as delta, case when t.v - s.v > 0.3 then 'h
     "graph_reachable": f"""with recursive {REPEATED}, walk as (select src as node, 0 as hops from edges where src not in (select dst from edges) union select dst, hops + 1 from walk join edges on src = node where hops < 60)
 select node::BIGINT as node, min(hops)::INT as hops from walk group by node""",
     "graph_components": f"""with recursive {REPEATED}, both_ways as (select src, dst from edges union select dst, src from edges), walk as (select p_partkey as node, p_partkey as seen from part union select dst, seen from walk join both_ways on src = node)
+select node, min(seen) as component from walk group by node""",
+    "graph_reachable_all": f"""with recursive {EDGES}, {FIRST}, walk as (select node, 0 as hops from first union select dst, hops + 1 from walk join edges on src = node where hops < 30)
+select node, min(hops)::INT as hops from walk group by node""",
+    "graph_components_all": f"""with recursive {EDGES}, both_ways as (select src, dst from edges union select dst, src from edges), walk as (select p_partkey as node, p_partkey as seen from part union select dst, seen from walk join both_ways on src = node where seen <= dst)
 select node, min(seen) as component from walk group by node""",
     "graph_rollup": f"with {EDGES} select s.p_brand as src_group, t.p_brand as dst_group, count(*) as weight from edges join part s on s.p_partkey = src join part t on t.p_partkey = dst where s.p_brand <> t.p_brand group by 1, 2",
     "severity_counts": f"with {FINDINGS} select s as severity, count(id) as n from (select unnest(['critical', 'high', 'medium', 'low', 'info']) as s) left join findings on severity = s group by s",
