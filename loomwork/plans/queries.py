@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomwork.functions import text as T
+from loomwork.functions.secret_patterns import SECRET_PATTERNS
 from loomwork.operators import graph, report, search, sets
 from loomwork.plans import code_queries
 from loomwork.plans.inputs import DEGREES, EDGES, FINDINGS, FIRST, LINES, REPEATED, documents, findings, first_order, part_graph, repeated, roots
@@ -48,6 +49,9 @@ QUERIES = {
     "diversified_top": lambda s, d: report.diversified(findings(s, d), 25).select("id", "category", "severity"),
     "baseline_filter": lambda s, d: report.against_baseline(findings(s, d), findings(s, d).where("severity = 'critical'")),
     "redact": lambda s, d: documents(s, d).select("doc_id", T.secret_count(F.col("text")).alias("n_secrets"), F.sha2(T.redact(F.col("text")).cast("binary"), 256).alias("redacted_sha256")),
+    "redact_secrets": lambda s, d: documents(s, d).select("doc_id", T.redacted(F.col("text")).alias("r")).select(
+        "doc_id", F.col("r.n").alias("n_secrets"), F.array_join("r.names", ",").alias("secrets"), F.sha2(F.col("r.text").cast("binary"), 256).alias("redacted_sha256")
+    ),
     "mask": lambda s, d: table(s, d, "customer").select("c_custkey", T.masked(F.col("c_name")).alias("masked")),
     "size_text": lambda s, d: documents(s, d).select("doc_id", T.size_text(F.col("n_chars") * 37).alias("size")),
     "strip_html": lambda s, d: table(s, d, "pages").select("page_id", F.sha2(T.stripped(F.col("html")).cast("binary"), 256).alias("text_sha256")),
@@ -57,6 +61,9 @@ QUERIES = {
 
 _SECRETS = r"""regexp_replace(regexp_replace(regexp_replace(text, 'token = "[0-9a-f]{40}"', '[REDACTED-TOKEN]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[REDACTED-EMAIL]', 'g'), '\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b', '[REDACTED-IPV4]', 'g')"""
 
+#: Documents have no path, so the patterns for certain paths do not apply.
+_PATTERNS = ", ".join("({}, '{}', '{}')".format(k, n, p.replace("'", "''")) for k, (n, p) in enumerate((n, p) for n, p, c in SECRET_PATTERNS if c is None))
+
 ORACLE_SQL = {
     "search_literal": f"with {LINES} select doc_id, line::INT as line, content from lines where regexp_matches(content, '(?i)license')",
     "search_regex": f"with {LINES} select doc_id, line::INT as line, content from lines where regexp_matches(content, '[0-9]{{3}}-[0-9]{{4}}')",
@@ -96,6 +103,10 @@ select node, min(seen) as component from walk group by node""",
     "diversified_top": f"with {FINDINGS}, own as (select *, row_number() over (partition by category order by r, id) as k from ranked) select id, category, severity from own order by k, r, category, id limit 25",
     "baseline_filter": f"with {FINDINGS} select id, category, file, severity from findings f where not exists (select 1 from findings b where b.severity = 'critical' and b.category = f.category and b.file = f.file)",
     "redact": rf"""select doc_id, (len(regexp_extract_all(text, 'token = "[0-9a-f]{{40}}"')) + len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}')) + len(regexp_extract_all(text, '\b[0-9]{{1,3}}\.[0-9]{{1,3}}\.[0-9]{{1,3}}\.[0-9]{{1,3}}\b')))::INT as n_secrets, sha256({_SECRETS}) as redacted_sha256 from documents""",
+    "redact_secrets": f"""with recursive p(k, name, re) as (values {_PATTERNS}), walk as (select doc_id, text, 0 as k, 0 as n, '' as names from documents where length(text) <= 10000000
+union all select doc_id, regexp_replace(text, re, '[REDACTED-' || name || ']', 'g'), walk.k + 1, n + len(regexp_extract_all(text, re))::INT, case when regexp_matches(text, re) then names || ',' || name else names end from walk join p on p.k = walk.k)
+select doc_id, n as n_secrets, substr(names, 2) as secrets, sha256(text) as redacted_sha256 from walk where k = (select count(*) from p)
+union all select doc_id, 1, 'content-size-exceeded', sha256('[CONTENT-REDACTED-SIZE-LIMIT]') from documents where length(text) > 10000000""",
     "mask": "select c_custkey, array_to_string(list_transform(range(1, length(c_name) + 1), lambda i: case when i % 2 = 1 then '*' else substr(c_name, i, 1) end), '') as masked from customer",
     "size_text": "select doc_id, case when n < 1024 then printf('%.1fB', n::DOUBLE) when n < 1048576 then printf('%.1fKB', floor(n / 1024.0 * 10 + 0.5) / 10) else printf('%.1fMB', floor(n / 1048576.0 * 10 + 0.5) / 10) end as size from (select doc_id, n_chars * 37 as n from documents)",
     "strip_html": r"""select page_id, sha256(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g'))) as text_sha256 from pages""",
