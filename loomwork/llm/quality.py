@@ -1,12 +1,16 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text.
 
-The model is a trigram model over UTF-8 bytes, in which a word that repeats the
-one before becomes one mark.  So it has at most 2**24 trigrams and 2**16
-contexts by construction, whatever the corpus.  Counts of all trusted texts
-are joined and aggregated as Spark tables; the finished table, bounded as said,
-goes to the tasks that score whole documents.  A document is kept if its
-perplexity lies within the quantiles that trusted documents of its language
-show.
+The model is a bigram model over words, in which a word that repeats the one
+before becomes one mark.  Counts of all trusted texts are tables.  Each bigram
+of the documents meets its counts, its context and its last word in shuffled
+joins; the distinct bigrams of each text are then joined to what came out,
+heavy ones salted, and log probabilities are summed by text.  Unknown words
+are spelled by a trigram model over bytes of the trusted words, which has at
+most 2**24 trigrams by construction and is the only part sent to tasks.
+
+A trusted text is judged without its own counts, so it costs what a text
+costs that the model has not seen.  A document is kept if its perplexity a
+byte lies within the quantiles that trusted documents of its language show.
 """
 
 from __future__ import annotations
@@ -16,62 +20,64 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, scratch
+from .common import mix, save, scratch
 
 #: The mark of a repeated word, and begin and end of a text.
 MARK, BEGIN, END = b"\x01", b"\x02", b"\x03"
 #: Share of trusted documents that a language's thresholds leave outside, at the low and at the high end.
 LOW, HIGH = 0.001, 0.995
-#: Symbols of the trusted average that each document's mean starts from, so that very short texts stay near it.
+#: Bytes of the trusted average that each document's mean starts from, so that very short texts stay near it.
 PRIOR = 100
 #: Thresholds are widened by this factor of perplexity.
 SLACK = 1.05
 
 
-def symbols(text: bytes | None) -> np.ndarray:
-    """The bytes that the model sees: words parted by one space, repetitions as marks."""
-    words = (text or b"").split()
-    again = list(map(operator.eq, words[1:], words))
+def words(text: bytes | None) -> list[bytes]:
+    """The words that the model sees, repetitions as marks."""
+    found = (text or b"").split()
+    again = list(map(operator.eq, found[1:], found))
     if True in again:
-        words = words[:1] + [MARK if same else word for same, word in zip(again, words[1:])]
-    return np.frombuffer(BEGIN + BEGIN + b" ".join(words) + END, np.uint8).astype(np.int32)
+        found = found[:1] + [MARK if same else word for same, word in zip(again, found[1:])]
+    return found
 
 
-def trigrams(text: bytes | None) -> np.ndarray:
-    x = symbols(text)
+def trigrams(word: bytes) -> np.ndarray:
+    x = np.frombuffer(BEGIN + BEGIN + word + END, np.uint8).astype(np.int32)
     return x[:-2] << 16 | x[1:-1] << 8 | x[2:]
 
 
-def trusted_texts(docs: DataFrame, labels: DataFrame, folder: str, *, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """``lang, z`` (the compressed text) of each document with a label of good quality."""
+def key_of(text_col: str) -> Column:
+    """A 64-bit hash that names a text: copies are scored once and alike."""
+    return F.xxhash64(F.col(text_col).cast("string"))
 
-    def press(batches):
+
+def word_types(texts: DataFrame) -> DataFrame:
+    """``w``: the different words of ``texts(text)``."""
+
+    def run(batches):
         for batch in batches:
-            squeeze = zstandard.ZstdCompressor(level=3)
-            z = [squeeze.compress(x.as_py() or b"") for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(z, pa.binary())], names=["doc_id", "lang", "z"])
+            found: set[bytes] = set()
+            for x in batch.column(0):
+                found.update(words(x.as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary())], names=["w"])
 
-    packed = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").cast("binary")
-    ).mapInArrow(press, "doc_id long, lang string, z binary")
-    good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    return save(packed.join(good, "doc_id", "left_semi").select("lang", "z"), f"{folder}/trusted", compression="none")
+    return texts.select(F.col("text").cast("binary")).mapInArrow(run, "w binary").distinct()
 
 
-def trigram_counts(trusted: DataFrame) -> DataFrame:
+def trigram_counts(types: DataFrame) -> DataFrame:
     def run(batches):
         total = np.zeros(1 << 24, np.int64)
         for batch in batches:
-            for z in batch.column(0):
-                np.add.at(total, trigrams(zstandard.ZstdDecompressor().decompress(z.as_py())), 1)
+            for w in batch.column(0):
+                np.add.at(total, trigrams(w.as_py()), 1)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some])], names=["g", "n"])
 
-    return trusted.select("z").mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    return types.mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -105,7 +111,6 @@ class Model:
     bi_spare: tuple[np.ndarray, np.ndarray]
     uni: tuple[np.ndarray, np.ndarray]
     uni_spare: float
-    base: float
     name: str
 
     def table(self) -> np.ndarray:
@@ -123,9 +128,9 @@ class Model:
         return -np.log(p3, out=p3)
 
 
-def train(trusted: DataFrame, folder: str) -> Model:
-    """Kneser-Ney estimation: plain counts for trigrams, numbers of different predecessors below."""
-    tri = save(trigram_counts(trusted), f"{folder}/trigrams")
+def spelling(types: DataFrame, folder: str) -> Model:
+    """Kneser-Ney estimation over the different words: plain counts for trigrams, numbers of different predecessors below."""
+    tri = save(trigram_counts(types), f"{folder}/trigrams")
     bi = tri.groupBy(F.col("g").bitwiseAND(0xFFFF).alias("g")).agg(F.count(F.lit(1)).alias("n"))
     bi = save(bi, f"{folder}/bigrams")
     uni = bi.groupBy(F.col("g").bitwiseAND(0xFF).alias("g")).agg(F.count(F.lit(1)).alias("n"))
@@ -138,53 +143,184 @@ def train(trusted: DataFrame, folder: str) -> Model:
     t, ts = columns(tri, 8)
     b, bs = columns(bi, 8)
     u, us = columns(uni, 8)
-    model = Model(t, ts, b, bs, u, float(us[1][0]) if len(us[1]) else 1.0, 0.0, folder)
-    seen = tri.toPandas()
-    if len(seen):
-        model.base = float(np.average(model.table()[seen.g.to_numpy()], weights=seen.n.to_numpy()))
-    return model
+    return Model(t, ts, b, bs, u, float(us[1][0]) if len(us[1]) else 1.0, folder)
 
 
 _TABLES: dict[str, np.ndarray] = {}
 
 
-def scorer(shared):
-    """A function from a text to its log perplexity per symbol, with the prior (None for an empty text)."""
-    model = shared.value
+def spelled(model: Model) -> np.ndarray:
+    """The model's table, made once a worker."""
     if model.name not in _TABLES:
         _TABLES.clear()
         _TABLES[model.name] = model.table()
-    table = _TABLES[model.name]
+    return _TABLES[model.name]
+
+
+class Lexicon(dict):
+    """Numbers words and keeps their hashes and, with a model, what spelling them costs."""
+
+    def __init__(self, table: np.ndarray | None):
+        super().__init__()
+        self.table, self.hashes, self.costs = table, [], []
+        self[BEGIN]
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        self.hashes.append(xxhash.xxh3_64_intdigest(word))
+        self.costs.append(0.0 if self.table is None else float(self.table[trigrams(word)].sum(dtype=np.float64)))
+        return number
+
+
+#: Words and bigrams that a task holds before it starts anew.
+HELD = 500_000
+PAIR = "g long, b long, c long, spell double, texts long"
+
+
+def of_pairs(lexicon: Lexicon, pairs: np.ndarray) -> list[np.ndarray]:
+    """Hash of each bigram, of its first and of its second word, and what the second costs to spell."""
+    h = np.array(lexicon.hashes, np.uint64)
+    b, c = h[pairs >> 32], h[pairs & 0xFFFFFFFF]
+    g = mix(b * np.uint64(0x9E3779B97F4A7C15) + mix(c))
+    return [g.view(np.int64), b.view(np.int64), c.view(np.int64), np.array(lexicon.costs)[pairs & 0xFFFFFFFF]]
 
-    def score(text: bytes | None) -> float | None:
-        if not text or not text.split():
-            return None
-        costs = table[trigrams(text)]
-        return float((costs.sum(dtype=np.float64) + PRIOR * model.base) / (len(costs) + PRIOR))
 
-    return score
+def text_pairs(lexicon: Lexicon, text: bytes | None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Different bigrams of a text as pairs of numbers, how often they occur, and the length in bytes."""
+    found = words(text)
+    x = np.fromiter(map(lexicon.__getitem__, [BEGIN, *found]), np.int64, len(found) + 1)
+    pairs, n = np.unique(x[:-1] << 32 | x[1:], return_counts=True)
+    return pairs, n, sum(map(len, found)) + len(found)
+
+
+def occurrences(texts: DataFrame) -> DataFrame:
+    """``key, size, words, n, g, b, c`` of each different bigram of each row of ``texts(key, text)``; no shuffle.
+
+    Bytes and words of a text are on its first row, and 0 on others.
+    """
+
+    def run(batches):
+        lexicon, held, size = Lexicon(None), [], 0
+
+        def rows():
+            each = [len(p) for *_, p in held]
+            g, b, c, _ = of_pairs(lexicon, np.concatenate([p for *_, p in held]))
+            columns = [np.repeat(np.array([key for key, *_ in held], np.int64), each)]
+            for k in (1, 2):
+                columns.append(np.zeros(sum(each), np.int64))
+                columns[-1][np.cumsum([0, *each[:-1]])] = [row[k] for row in held]
+            columns += [np.concatenate([n for *_, n, _ in held]), g, b, c]
+            return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in columns], names=["key", "size", "words", "n", "g", "b", "c"])
+
+        for batch in batches:
+            for key, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                pairs, n, length = text_pairs(lexicon, x.as_py())
+                if length:
+                    held.append((key, length, n.sum(), n, pairs))
+                    size += len(pairs)
+                if size > HELD:
+                    yield rows()
+                    lexicon, held, size = lexicon if len(lexicon) < HELD else Lexicon(None), [], 0
+        if held:
+            yield rows()
+
+    return texts.select("key", F.col("text").cast("binary")).mapInArrow(run, "key long, size long, words long, n long, g long, b long, c long")
+
+
+def distinct_pairs(texts: DataFrame, model) -> DataFrame:
+    """``g, b, c, spell`` of the different bigrams of ``texts``, and how many ``texts`` have them; thinned within each task."""
+
+    def run(batches):
+        lexicon, held, size = Lexicon(spelled(model.value)), [], 0
+
+        def thinned():
+            pairs, at = np.unique(np.concatenate([p for p, _ in held]), return_inverse=True)
+            return pairs, np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
+
+        def rows():
+            pairs, n = thinned()
+            return pa.RecordBatch.from_arrays([pa.array(v) for v in (*of_pairs(lexicon, pairs), n)], names=["g", "b", "c", "spell", "texts"])
+
+        for batch in batches:
+            for x in batch.column(0):
+                pairs = text_pairs(lexicon, x.as_py())[0]
+                held.append((pairs, np.ones(len(pairs), np.int64)))
+                size += len(pairs)
+                if size > 4 * HELD:
+                    held = [thinned()]
+                    size = len(held[0][0])
+                    if size > 2 * HELD or len(lexicon) > HELD:
+                        yield rows()
+                        lexicon, held, size = Lexicon(spelled(model.value)), [], 0
+        if size:
+            yield rows()
+
+    found = texts.select(F.col("text").cast("binary")).mapInArrow(run, PAIR)
+    return found.groupBy("g").agg(*[F.min(x).alias(x) for x in ("b", "c", "spell")], F.sum("texts").alias("texts"))
+
+
+def off(n: Column, d: tuple[float, float, float]) -> Column:
+    return F.when(n <= 0, 0.0).when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
+
+
+#: Texts with the same bigram that one shard joins; a bigram that more have is dealt over several.
+HEAVY = 20_000
+
+
+def text_costs(docs: DataFrame, good: DataFrame, folder: str) -> DataFrame:
+    """``key, size, cost, own``: what each text costs, and what it costs without its own counts."""
+    model = docs.sparkSession.sparkContext.broadcast(spelling(word_types(good), folder))
+    counts = occurrences(good).groupBy("g").agg(
+        F.min("b").alias("b"), F.min("c").alias("c"), F.sum("n").alias("n"), F.min("key").alias("from"), F.max("key").alias("to")
+    )
+    counts = save(counts, f"{folder}/bigram-counts")
+    two = discounts(counts)
+    alone = F.min("from") == F.max("to")
+    contexts = counts.groupBy("b").agg(F.sum("n").alias("total"), F.sum(off(F.col("n"), two)).alias("taken"), alone.alias("lone_b"))
+    last = save(counts.groupBy("c").agg(F.count(F.lit(1)).alias("n"), alone.alias("lone_c")), f"{folder}/word-counts")
+    one = discounts(last)
+    total, taken = last.agg(F.sum("n"), F.sum(off(F.col("n"), one))).first()
+    spare = taken / total if total else 1.0  # what known words leave to spelling
+    last = last.select("c", ((F.col("n") - off(F.col("n"), one)) / float(total or 1)).alias("known"), "lone_c")
+
+    pairs = distinct_pairs(docs, model).join(counts.select("g", "n"), "g", "left").join(contexts, "b", "left").join(last, "c", "left")
+    spell = F.greatest(F.lit(spare) * F.exp(-F.col("spell")), F.lit(1e-300))
+    p1 = F.coalesce("known", F.lit(0.0)) + spell
+    pairs = save(
+        pairs.select(
+            "g", F.coalesce("n", F.lit(0)).alias("seen"), "total", (F.col("taken") / F.col("total")).alias("spare"), p1.alias("p1"),
+            F.when(F.col("lone_c"), spell).otherwise(p1).alias("own_p1"), "lone_b", "texts",
+        ),
+        f"{folder}/pairs",
+    )
+    rows = occurrences(docs).select("key", "size", "words", "n", "g")
+    heavy = save(pairs.where(F.col("texts") > HEAVY).select("g", F.ceil(F.col("texts") / HEAVY).cast("int").alias("parts")), f"{folder}/heavy")
+    parts = F.coalesce("parts", F.lit(1))
+    left = rows.join(F.broadcast(heavy), "g", "left").withColumn("salt", F.pmod(F.col("key"), parts).cast("int")).drop("parts")
+    right = pairs.drop("texts").join(F.broadcast(heavy), "g", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+
+    def log_p(seen: Column, first: Column, lone: Column) -> Column:
+        return F.log(F.when(F.col("total").isNull() | lone, first).otherwise(F.greatest(seen - off(seen, two), F.lit(0.0)) / F.col("total") + F.col("spare") * first))
+
+    plain = log_p(F.col("seen"), F.col("p1"), F.lit(False))
+    own = log_p(F.col("seen") - F.col("n"), F.col("own_p1"), F.coalesce("lone_b", F.lit(False)))
+    once = F.max("words") / F.sum("n")  # copies of a text have one key
+    sums = left.join(right, ["g", "salt"]).groupBy("key").agg(F.max("size").alias("size"), (F.sum(-F.col("n") * plain) * once).alias("cost"), (F.sum(-F.col("n") * own) * once).alias("own"))
+    return save(sums, f"{folder}/costs")
 
 
 @dataclass
 class Classifier:
-    """A trained model and its thresholds by language."""
+    """Scores of the texts and thresholds by language."""
 
-    model: object
+    scored: DataFrame
     limits: DataFrame
     default: tuple[float, float]
 
     def scores(self, docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-        """All columns of ``docs`` and ``log_ppl``; no shuffle."""
-        shared, name = self.model, text_col
-
-        def run(batches):
-            score = scorer(shared)
-            for batch in batches:
-                values = [score(x.as_py().encode() if x.is_valid else None) for x in batch.column(name)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=[*batch.schema.names, "log_ppl"])
-
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-        return docs.mapInArrow(run, f"{kinds}, log_ppl double")
+        """All columns of ``docs`` and ``log_ppl``."""
+        keyed = docs.withColumn("score_key", key_of(text_col))
+        return keyed.join(self.scored.withColumnRenamed("key", "score_key"), "score_key", "left").select(*docs.columns, "log_ppl")
 
     def judged(self, scored: DataFrame, *, lang_col: str = "lang") -> DataFrame:
         """``scored`` with ``low``, ``high`` (log perplexity) and ``kept``."""
@@ -220,17 +356,19 @@ def fit(
     Without any trusted document, every text is kept.  Null languages are one
     language.  Null and empty texts have no perplexity and are not kept.
     """
-    spark, folder = docs.sparkSession, scratch(docs.sparkSession)
-    trusted = trusted_texts(docs, labels, folder, id_col=id_col, text_col=text_col, lang_col=lang_col)
-    model = spark.sparkContext.broadcast(train(trusted, folder))
-
-    def run(batches):
-        score = scorer(model)
-        for batch in batches:
-            values = [score(zstandard.ZstdDecompressor().decompress(z.as_py())) for z in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64())], names=["lang", "log_ppl"])
-
-    seen = save(trusted.mapInArrow(run, "lang string, log_ppl double").where("log_ppl is not null"), f"{folder}/seen")
+    folder = scratch(docs.sparkSession)
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), key_of(text_col).alias("key"), F.col(text_col).cast("string").alias("text")
+    ).where("text is not null")
+    good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    trusted = save(rows.join(good, "doc_id", "left_semi").select("lang", "key", "text"), f"{folder}/trusted")
+    once = save(trusted.dropDuplicates(["key"]), f"{folder}/trusted-once")
+    costs = text_costs(rows, once, folder).join(once.select("key", F.lit(True).alias("trusted")), "key", "left")
+    costs = save(costs.select("key", "size", F.when(F.col("trusted"), F.col("own")).otherwise(F.col("cost")).alias("cost"), "trusted"), f"{folder}/judged")
+    spent, length = costs.where("trusted").agg(F.sum("cost"), F.sum("size")).first()
+    prior = PRIOR * spent / length if length else 0.0
+    scored = save(costs.select("key", ((F.col("cost") + prior) / (F.col("size") + PRIOR)).alias("log_ppl")), f"{folder}/scores")
+    seen = trusted.select("lang", "key").join(scored, "key").select("lang", "log_ppl")
     wide = float(np.log(slack))
     quantile = [
         (F.percentile_approx("log_ppl", low, 10000) - wide).alias("low"),
@@ -239,7 +377,7 @@ def fit(
     limits = save(seen.groupBy("lang").agg(*quantile), f"{folder}/limits")
     every = seen.agg(*quantile).first()
     default = (float("-inf"), float("inf")) if every.low is None else (every.low, every.high)
-    return Classifier(model, limits, default, limits.count() <= BROADCAST_LANGUAGES)
+    return Classifier(scored, limits, default, limits.count() <= BROADCAST_LANGUAGES)
 
 
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
