@@ -25,14 +25,18 @@ def severity_counts(findings: DataFrame) -> DataFrame:
     return levels.join(n, "severity", "left").fillna(0, ["n"])
 
 
-def health(findings: DataFrame, files: int) -> DataFrame:
-    """``score``: 100 without findings, falling with the weighted findings a file; capped by the worst severity."""
+def health(findings: DataFrame, files: int | None = None) -> DataFrame:
+    """``score``: 100 without findings, falling with the weighted findings a file; capped by the worst severity.
+
+    Without ``files``, the files are those that have findings.
+    """
     weight = F.element_at(F.array(*map(F.lit, [*WEIGHTS, 0])), rank_of(F.col("severity")) + 1)
     sums = findings.agg(
         F.coalesce(F.sum(weight), F.lit(0)).alias("p"),
         F.coalesce(F.min(rank_of(F.col("severity"))), F.lit(9)).alias("worst"),
+        (F.count_distinct("file") if files is None else F.lit(files)).alias("files"),
     )
-    raw = F.floor(100 / (1 + F.col("p") / max(files, 1) / 10) + 0.5)
+    raw = F.floor(100 / (1 + F.col("p") / F.greatest("files", F.lit(1)) / 10) + 0.5)
     cap = F.when(F.col("worst") == 0, 95).when(F.col("worst") == 1, 98).when(F.col("worst") < 9, 99).otherwise(100)
     return sums.select(F.least(raw, cap).cast("long").alias("score"))
 

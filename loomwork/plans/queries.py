@@ -45,6 +45,7 @@ QUERIES = {
     "graph_rollup": lambda s, d: graph.rolled_up(part_graph(s, d)[1], table(s, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("grp"))),
     "severity_counts": lambda s, d: report.severity_counts(findings(s, d)),
     "health_score": lambda s, d: report.health(findings(s, d), 10_000),
+    "health_per_file": lambda s, d: report.health(findings(s, d)),
     "top_per_category": lambda s, d: report.top_per_category(findings(s, d)),
     "diversified_top": lambda s, d: report.diversified(findings(s, d), 25).select("id", "category", "severity"),
     "baseline_filter": lambda s, d: report.against_baseline(findings(s, d), findings(s, d).where("severity = 'critical'")),
@@ -99,6 +100,7 @@ select node, min(seen) as component from walk group by node""",
     "graph_rollup": f"with {EDGES} select s.p_brand as src_group, t.p_brand as dst_group, count(*) as weight from edges join part s on s.p_partkey = src join part t on t.p_partkey = dst where s.p_brand <> t.p_brand group by 1, 2",
     "severity_counts": f"with {FINDINGS} select s as severity, count(id) as n from (select unnest(['critical', 'high', 'medium', 'low', 'info']) as s) left join findings on severity = s group by s",
     "health_score": f"""with {FINDINGS} select least(floor(100 / (1 + sum([25, 10, 3, 1, 0][r + 1]) / 10000 / 10) + 0.5), case min(r) when 0 then 95 when 1 then 98 else 99 end)::BIGINT as score from ranked""",
+    "health_per_file": f"""with {FINDINGS} select least(floor(100 / (1 + sum([25, 10, 3, 1, 0][r + 1]) / greatest(count(distinct file), 1) / 10) + 0.5), case min(r) when 0 then 95 when 1 then 98 else 99 end)::BIGINT as score from ranked""",
     "top_per_category": f"with {FINDINGS}, own as (select *, row_number() over (partition by category order by r, id) as k from ranked) select id, category, file, severity from own where k <= 2 order by r, category, id limit 20",
     "diversified_top": f"with {FINDINGS}, own as (select *, row_number() over (partition by category order by r, id) as k from ranked) select id, category, severity from own order by k, r, category, id limit 25",
     "baseline_filter": f"with {FINDINGS} select id, category, file, severity from findings f where not exists (select 1 from findings b where b.severity = 'critical' and b.category = f.category and b.file = f.file)",
