@@ -9,6 +9,9 @@ rank.  A reader expands control bytes with a numpy table and needs no loop.
 
 from __future__ import annotations
 
+import array
+import itertools
+import re
 import uuid
 import zlib
 
@@ -19,47 +22,76 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import expand, save, scratch, shards, squeeze
+from .common import save, scratch, shards
 
 MAGIC = b"TOKFILE1"
 #: Tokens of one file; a longer document has a file of its own.
 FILE_TOKENS = 4_000_000
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 400_000
+#: Words, and pieces of words, whose ids a worker remembers.
+CACHE_WORDS = 600_000
 #: Lengths of the four tokens that a control byte describes.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
 
+#: Texts of these characters are cut here; the tokenizer itself cuts other words (fixed: its letters, digits and cuts among these characters).
+SIMPLE = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*")
+CUT = re.compile("'(?:[stmd]|re|ve|ll)|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
+
+
 class WordIds(dict):
-    """Ids of single words as bytes; the tokenizer sees each word once per worker.
+    """Ids of words in lower case as bytes; the merges see each piece of a word once per worker.
 
     The tokenizer drops white space and cuts there, so a text's ids are its
-    words' ids in a row.  Trailing ASCII punctuation after an ASCII letter is a
-    piece of its own, and A-Z are lower-cased, except near special tokens.
+    words' ids in a row, and a word's are those of its pieces: runs of letters,
+    single digits, and runs of other marks.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.path, self.tokenizer = path, Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.split = self.tokenizer.model.tokenize
+        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        odd = itertools.count(256)
+        self.names = [chr(b) if b in printable else chr(next(odd)) for b in range(256)]
+
+    def of_text(self, text: str) -> bytes:
+        if SIMPLE.fullmatch(text) and "<|" not in text:
+            return b"".join(map(self.__getitem__, text.lower().split()))
+        return b"".join(map(self.of_word, text.encode().split()))  # bytes: exactly the six characters part words
+
+    def of_word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if SIMPLE.fullmatch(text) and "<|" not in text:
+            return self[text.lower()]
+        return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def __missing__(self, word: bytes) -> bytes:
+    def __missing__(self, word: str) -> bytes:
         if len(self) > CACHE_WORDS:
             self.clear()
-        plain = word if b"<|" in word else word.lower()
-        core = plain.rstrip(b".,!?;:")
-        if core and len(core) < len(plain) and core[-1:].isalpha():
-            ids = self[core] + self[plain[len(core) :]]
-        elif plain != word:
-            ids = self[plain]
+        pieces = [word] if word.isalpha() else CUT.findall(word)
+        if len(pieces) > 1:
+            ids = b"".join(map(self.__getitem__, pieces))
         else:
-            got = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-            ids = np.array(got, np.uint32).tobytes()
+            name = word if word.isascii() else "".join(self.names[b] for b in word.encode())
+            ids = array.array("I", [t.id for t in self.split(name)]).tobytes()
         if len(word) <= 64:
             self[word] = ids
         return ids
 
 
+def shrink(ids: np.ndarray) -> bytes:
+    """Ids as byte planes, of two bytes an id where that is enough; the width comes first."""
+    width = 2 if not len(ids) or ids.max() < 1 << 16 else 4
+    planes = ids.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
+    return bytes([width]) + planes.tobytes()
+
+
+def grow(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{data[0]}").reshape(-1).astype(np.uint32)
+
+
 _WORDS: dict[str, WordIds] = {}
 
 
@@ -74,17 +106,17 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, *, id_col: str = "doc
         for batch in batches:
             counts, bodies = [], []
             for text in batch.column(2):
-                ids = np.frombuffer(b"".join([words[w] for w in (text.as_py() or b"").split()]) + end, np.uint32)
+                ids = np.frombuffer(words.of_text(text.as_py() or "") + end, np.uint32)
                 counts.append(len(ids))
-                bodies.append(squeeze(ids))
+                bodies.append(shrink(ids))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(bodies, pa.binary())],
                 names=["doc_id", "tie", "n_tokens", "ids"],
             )
 
-    text = F.col(text_col).cast("string").cast("binary")
+    text = F.col(text_col).cast("string")
     # equal ids are ordered by text, so any partitioning writes the same files
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text.cast("binary")).alias("tie"), text.alias("text"))
     return rows.mapInArrow(run, "doc_id long, tie long, n_tokens long, ids binary")
 
 
@@ -95,7 +127,7 @@ def frequencies(tokens: DataFrame) -> DataFrame:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for body in batch.column(0):
-                n = np.bincount(expand(body.as_py(), np.uint32))
+                n = np.bincount(grow(body.as_py()))
                 if len(n) > len(total):
                     total = np.concatenate((total, np.zeros(len(n) - len(total), np.int64)))
                 total[: len(n)] += n
@@ -151,7 +183,7 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str, end_id: int
     """
     spark = docs.sparkSession
     folder = scratch(spark)
-    tokens = save(tokenize(docs, tokenizer, end_id, id_col=id_col, text_col=text_col), f"{folder}/tokens", compression="none")
+    tokens = save(tokenize(docs, tokenizer, end_id, id_col=id_col, text_col=text_col), f"{folder}/tokens")
     ranked = frequencies(tokens).orderBy(F.desc("n"), "id").select("id", "n").collect()
     ids = np.array([r.id for r in ranked], np.uint32)
     rank_of = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.uint32)
@@ -182,7 +214,7 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str, end_id: int
                     seq, keys, counts, bodies, size = seq + 1, [], [], [], 0
                 keys.append(key.as_py())
                 counts.append(n)
-                bodies.append(expand(body.as_py(), np.uint32))
+                bodies.append(grow(body.as_py()))
                 size += n
         if keys:
             yield flush()
