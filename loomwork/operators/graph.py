@@ -13,8 +13,11 @@ def written(df: DataFrame, folder: list[str]) -> DataFrame:
     """``df`` written to the shared folder and read back, so that lineage ends here."""
     spark = df.sparkSession
     if not folder:
-        # a folder of this machine only where none is set, as in tests
-        root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomwork-")
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:  # a folder of this machine only where all tasks run in its own process, as in tests
+            if spark.sparkContext.master.partition("[")[0] != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            root = tempfile.mkdtemp(prefix="loomwork-")
         folder.append(f"{root.rstrip('/')}/graph-{uuid.uuid4().hex}")
     path = f"{folder[0]}/{uuid.uuid4().hex}"
     df.write.parquet(path)
