@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: The six characters that part words: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -21,11 +21,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 def scratch(spark: SparkSession) -> str:
     """A fresh folder below the one that driver and executors share.
 
-    ``spark.checkpoint.dir`` names the shared folder on a cluster.  Only where
-    it is unset (local tests) a temporary folder of this machine is taken.
+    ``spark.checkpoint.dir`` names the shared folder and has to be set on a
+    cluster.  Only where it is unset and all tasks run in this machine's own
+    process (local tests), a temporary folder is taken.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not local:
             local.append(tempfile.mkdtemp(prefix="loomwork-"))
         root = local[0]
@@ -51,6 +54,22 @@ def save(df: DataFrame, path: str, *, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def save_counting(df: DataFrame, path: str, what: Column) -> tuple[DataFrame, int]:
+    """As save(), and on how many rows ``what`` is true, counted while writing (a retried task may count twice)."""
+    seen = Observation()
+    saved = save(df.observe(seen, F.count(F.when(what, True)).alias("n")), path)
+    return saved, seen.get["n"]
+
+
+#: Rows of a few numbers up to which a table is broadcast; larger ones are joined by shuffling.
+BROADCAST_ROWS = 1_000_000
+
+
+def few(saved: DataFrame) -> DataFrame:
+    """A written table of narrow rows, marked for broadcasting if it has at most BROADCAST_ROWS."""
+    return F.broadcast(saved) if saved.count() <= BROADCAST_ROWS else saved
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete an intermediate table that nothing reads any more."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

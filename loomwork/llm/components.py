@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, save, scratch
+from .common import remove, save, save_counting, scratch
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -33,8 +33,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         low = labels.join(around, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("c"))
         up = labels.select(F.col("node").alias("c"), F.col("component").alias("above"))
         new = low.join(up, "c", "left").select("node", "old", F.least("c", "above").alias("component"))
-        new = save(new, f"{folder}/labels{k}")
+        new, changed = save_counting(new, f"{folder}/labels{k}", F.col("component") < F.col("old"))
         remove(spark, f"{folder}/labels{k - 1}")
         labels = new.select("node", "component")
-        if new.where("component < old").limit(1).count() == 0:
+        if not changed:
             return labels

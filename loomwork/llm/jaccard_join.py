@@ -10,15 +10,19 @@ verified only if it passes all orders.
 Steps: packs of documents exchange shingle keys for their frequencies (see
 ``common``); sets of which too few shingles are shared can have no partner and
 go; equal sets become one class; candidates meet in the inverted index of the
-first order, are checked against the other orders, and then whole.
+first order, must meet in the prefixes of the other orders, too, and only then
+are compared whole.
+
+For a pair, sizes n and m ask for an overlap of ``o = ceil(t * (n + m) / (1 +
+t))``, so the first shingle that both hold has at most ``n - o`` and ``m - o``
+shingles before it: a posting joins two sets only where it stands early enough
+in both, and the other orders are cut at the same place.
 
 A posting of m sets is never expanded into m * m pairs while they are linked:
-first each set is compared with one set of its postings, another in each round,
-and what is then in one component needs no further comparison.  All pairs that
+first each set is compared with a few centres of its postings, others in each
+round, and what is then in one component needs no further comparison.  All pairs that
 still lie in different components are compared in the end, so no link that
-would join two components is lost.  There, the smaller set of a pair is looked
-up by its first ``n - overlap + 1`` shingles only, and a pair must share as
-many prefix shingles as the overlap asks for beyond what the rest can give.
+would join two components is lost.
 """
 
 from __future__ import annotations
@@ -36,11 +40,13 @@ from .common import (
     by_shard,
     expand,
     expand_sorted,
+    few,
     meet,
     mix,
     remove,
     rolling,
     save,
+    save_counting,
     scratch,
     shards,
     squeeze_sorted,
@@ -51,8 +57,8 @@ from .substring_dedup import SHARD_KEYS, among, inside
 
 #: Independent orders beside the one by frequency.
 ORDERS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
-#: Comparisons with the smallest partner before all remaining pairs are made, each around other centres.
-STAR_ROUNDS = 5
+#: Rounds of comparisons with centres, at most (they end when one brings no link), and most centres of a posting.
+STAR_ROUNDS, CENTRES = 6, 64
 
 
 SETS_SCHEMA = "doc_id long, n long, d1 long, d2 long, own int, shared binary, prefix array<long>, others array<binary>"
@@ -97,40 +103,38 @@ BLOCK_PAIRS = 4096
 
 
 def _verify(percent: int):
-    """Check the pairs of a block; each set comes once, however many pairs it has there."""
+    """Check the pairs of a block: by the prefixes of the other orders, then whole.  Each set comes once, however many pairs it has there."""
 
     def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
         place = {key: k for k, key in enumerate(sets.column("key").to_pylist())}
-        n = sets.column("n").to_pylist()
-        cache: dict[int, tuple] = {}
+        n, s, others, shared = (sets.column(c) for c in ("n", "s", "others", "shared"))
+        n, s, orders, whole = n.to_pylist(), s.to_pylist(), {}, {}
+
+        def prefixes(k):
+            if k not in orders:
+                orders[k] = [np.frombuffer(x, np.uint64).tolist() for x in others[k].as_py()]
+            return orders[k]
 
-        def parts(key):
-            k = place[key]
-            if k not in cache:
-                orders = [frozenset(np.frombuffer(x, np.uint64).tolist()) for x in sets.column("others")[k].as_py()]
-                cache[k] = (n[k], orders, frozenset(expand_sorted(sets.column("shared")[k].as_py(), np.uint64).tolist()))
-            return cache[k]
+        def all_of(k):
+            if k not in whole:
+                whole[k] = frozenset(expand_sorted(shared[k].as_py(), np.uint64).tolist())
+            return whole[k]
 
         a, b, yes = pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), []
         for x, y in zip(a, b):
-            (na, oa, sa), (nb, ob, sb) = parts(x), parts(y)
-            # beyond the prefix, the larger set has so many shingles that may be shared
-            rest = -(-percent * max(na, nb) // 100) - 1
-            need = max(1, -(-percent * (na + nb) // (100 + percent)) - rest)
-            linked = all(len(p & q) >= need for p, q in zip(oa, ob))
-            if linked:
-                common = len(sa & sb)
-                linked = 100 * common >= percent * (na + nb - common)
-            yes.append(linked)
+            x, y = place[x], place[y]
+            need = -(-percent * (n[x] + n[y]) // (100 + percent))
+            u, v = s[x] - need + 1, s[y] - need + 1
+            linked = all(not set(p[:u]).isdisjoint(q[:v]) for p, q in zip(prefixes(x), prefixes(y)))
+            yes.append(linked and len(all_of(x) & all_of(y)) >= need)
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(yes, pa.bool_())], names=["a", "b", "linked"])
 
     return run
 
 
-def _alike(percent: int, n: str, m: str, s: str, t: str):
-    """Whether sets of sizes n and m, of which s and t shingles are shared with any set, can link at all."""
-    fit = (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
-    return fit & ((F.col(n) + F.col(m)) * percent <= F.least(s, t) * (100 + percent))
+def _overlap(percent: int, n: str, m: str) -> str:
+    """Shingles that sets of sizes n and m must share, in SQL."""
+    return f"({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent}"
 
 
 def jaccard_join(
@@ -148,7 +152,7 @@ def jaccard_join(
     (a component of only such rows is null).  Repeated rows are one class of
     equal sets.  An empty table gives an empty result; other columns are
     ignored.  Shingles are 64-bit hashes; sets are equal if their size and two
-    64-bit sums agree.
+    64-bit sums agree, and the two sums together name a class.
     """
     spark, folder = docs.sparkSession, scratch(docs.sparkSession)
     packs = save(word_packs(docs, id_col=id_col, text_col=text_col, lower=True), f"{folder}/packs", compression="none")
@@ -196,7 +200,7 @@ def jaccard_join(
                 m = int(n[d] - -(-percent * n[d] // 100) + 1 - (n[d] - len(s)))
                 shared[d] = squeeze_sorted(s)
                 prefix[d] = s[np.lexsort((s, c))[:m]].view(np.int64)
-                others[d] = [np.sort(s[np.argsort(mix(s * np.uint64(salt)))[:m]]).tobytes() for salt in ORDERS]
+                others[d] = [s[np.argsort(mix(s * np.uint64(salt)))[:m]].tobytes() for salt in ORDERS]
         return pa.table(
             [
                 pa.array(pack.ids, pa.int64()),
@@ -219,15 +223,15 @@ def jaccard_join(
     filled = sets.where("n > 0")
     classes = filled.groupBy(name).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"))
     one = filled.where("shared is not null").dropDuplicates(name)
-    # classes are numbered by their digest, as ids may be null or repeat
-    key = F.xxhash64(*name).alias("key")
-    live = save(one.select(key, "n", "own", "shared", "prefix", "others"), f"{folder}/live")
+    # classes are numbered when they are written, as ids may be null or repeat
+    live = one.select(F.monotonically_increasing_id().alias("key"), *name, F.expr("cast(n - own as int)").alias("s"), "shared", "prefix", "others")
+    live = save(live, f"{folder}/live")
     labels = connected_components(_links(live, percent, folder))
-    named = classes.withColumn("key", F.xxhash64(*name))
-    grouped = save(named.join(labels.withColumnRenamed("node", "key"), "key"), f"{folder}/grouped")
+    labels = labels.withColumnRenamed("node", "key").join(live.select("key", *name), "key").select(*name, "component")
+    grouped = save(classes.join(labels, name), f"{folder}/grouped")
     least = grouped.groupBy("component").agg(F.min("rep").alias("least"))
-    joined = grouped.join(least, "component").select("key", "least")
-    final = named.join(joined, "key", "left").select(*name, F.coalesce("least", "rep").alias("component_id"))
+    joined = grouped.join(least, "component").select(*name, "least")
+    final = classes.join(joined, name, "left").select(*name, F.coalesce("least", "rep").alias("component_id"))
     final = save(final, f"{folder}/final")
     texts = filled.select("doc_id", *name).join(final, name).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     empty = sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
@@ -235,52 +239,55 @@ def jaccard_join(
 
 
 def _links(live: DataFrame, percent: int, folder: str) -> DataFrame:
-    """Links among classes: enough of them to give all components."""
-    short = F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / (100 + percent)) + 1
-    # unshared shingles come first in the order, so a shared one's rank starts behind them
-    postings = live.select("key", "n", "own", F.posexplode("prefix").alias("at", "token"))
-    postings = save(postings.select("token", "key", "n", (F.col("n") - F.col("own")).alias("s"), (F.col("own") + F.col("at") < short).alias("early")), f"{folder}/postings")
-    sets = live.select("key", "n", "shared", "others")
-
-    def verified(pairs: DataFrame, path: str) -> DataFrame:
-        """``pairs`` has a, b and the block in which the two meet."""
-        needed = pairs.select("block", F.explode(F.array("a", "b")).alias("key")).distinct()
-        needed = needed.withColumnRenamed("block", "at").join(sets, "key").groupBy("at")
-        checked = pairs.groupBy("block").cogroup(needed).applyInArrow(_verify(percent), "a long, b long, linked boolean")
-        return save(checked, path)
-
-    tried = labels = None
+    """Links among classes ``a, b``: enough of them to give all components."""
+    spark, columns = live.sparkSession, ("token", "key", "n", "rest")
+    # unshared shingles come first in each order, so a shared one's rank starts behind them
+    postings = live.select("key", F.col("n").cast("int").alias("n"), "s", F.posexplode("prefix").alias("at", "token"))
+    postings = save(postings.select("token", "key", "n", (F.col("s") - F.col("at")).alias("rest")), f"{folder}/open")
+    sets = live.select("key", "n", "s", "shared", "others")
+    meets = F.expr(f"{_overlap(percent, 'n_a', 'n_b')} <= least(rest_a, rest_b)")  # includes that the sizes fit
+    labels, found, before = None, None, f"{folder}/open"
+
+    def side(rows: DataFrame, name: str, token: str, *more: str) -> DataFrame:
+        return rows.select(F.col("token").alias(token), F.col("key").alias(name), F.col("n").alias(f"n_{name}"), F.col("rest").alias(f"rest_{name}"), *[F.col(c).alias(f"{c}_{name}") for c in more])
+
     for k in range(STAR_ROUNDS + 1):
-        at = postings.withColumn("component", F.col("key"))
+        last = k == STAR_ROUNDS or (k > 0 and not linked)
+        at = postings.withColumns({"component": F.col("key"), "mates": F.lit(1).cast("long")})
         if labels is not None:
-            at = postings.join(labels, F.col("key") == F.col("node"), "left").select("token", "key", "n", "s", "early", F.coalesce("component", "key").alias("component"))
-        span = at.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        at = save(at.join(span.where("low < high").select("token"), "token", "left_semi"), f"{folder}/open{k}")
-        if k < STAR_ROUNDS:
-            # the centre of a posting: the smallest set under an order of this round
-            turn = F.struct(F.xxhash64(F.lit(k), "key").alias("turn"), F.col("key").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("s").alias("sa"))
-            centre = at.groupBy("token").agg(F.min(turn).alias("c")).select("token", "c.*")
-            near = (F.col("component") != F.col("ca")) & _alike(percent, "n", "na", "s", "sa")
-            pairs = at.join(centre, "token").where(near).groupBy(F.col("key").alias("b")).agg(F.min(F.struct("turn", "a")).alias("c")).select("b", "c.a")
+            at = postings.join(few(labels), F.col("key") == F.col("node"), "left").select(*columns, F.coalesce("c", "key").alias("component"), F.coalesce("mates", F.lit(1).cast("long")).alias("mates"))
+        # a posting whose sets are in one component needs nothing more, now and later
+        main = F.max(F.struct("mates", F.xxhash64(F.lit(k), "component").alias("turn"), "component"))
+        tokens = at.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), main.alias("main"))
+        tokens = tokens.where("low < high").select("token", F.col("main.component").alias("main"), F.col("main.mates").alias("size"))
+        at = save(at.drop("mates").join(tokens, "token"), f"{folder}/open{k}")
+        remove(spark, before)
+        postings, before = at.select(*columns), f"{folder}/open{k}"
+        if not last:
+            # centres of a posting: about so many sets of its largest component, chosen by a hash of this round
+            n_centres = min(4 * 2**k, CENTRES) if k else 1
+            x = at.where((F.col("component") == F.col("main")) & (F.pmod(F.xxhash64(F.lit(-k), "key"), F.col("size")) < n_centres))
+            y = at.where("component <> main")
+            # each other set is compared with those of which it meets most shingles
+            met = side(x, "a", "t").join(side(y, "b", "token"), (F.col("t") == F.col("token")) & meets).groupBy("b", "a").agg(F.count(F.lit(1)).alias("met"))
+            best = F.slice(F.sort_array(F.collect_list(F.struct("met", F.xxhash64(F.lit(k), "a", "b").alias("chance"), "a")), asc=False), 1, max(2, n_centres))
+            pairs = met.groupBy("b").agg(best.alias("best")).select(F.explode("best.a").alias("a"), "b")
         else:
-            x = at.where("early").select("token", F.col("key").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("s").alias("sa"))
-            y = at.select("token", F.col("key").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("s").alias("sb"))
-            ordered = F.expr("ca <> cb and (na < nb or na = nb and a < b)") & _alike(percent, "na", "nb", "sa", "sb")
-            pairs = x.join(y, (x.token == y.token) & ordered).select("a", "b").distinct()
-        pairs = pairs.withColumn("member", F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "member")
-        pairs = pairs.groupBy("a", "b").agg(F.min("member").alias("member"))
-        if tried is not None:
-            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = save(pairs, f"{folder}/tries{k}")
-        side = int(max(1, pairs.count() / BLOCK_PAIRS) ** 0.5) + 1
-        if k < STAR_ROUNDS:  # few centres: blocks by member
-            block = F.pmod(F.xxhash64("member"), F.lit(side * side))
+            ordered = F.expr("component_a <> component_b and (n_a < n_b or n_a = n_b and a < b)")
+            pairs = side(at, "a", "t", "component").join(side(at, "b", "token", "component"), (F.col("t") == F.col("token")) & ordered & meets).select("a", "b").distinct()
+        pairs, total = save_counting(pairs, f"{folder}/tries{k}", F.lit(True))
+        parts = int(max(1, total / BLOCK_PAIRS) ** 0.5) + 1
+        if not last:  # few centres: blocks by the other sets
+            block = F.pmod(F.xxhash64("b"), F.lit(parts * parts))
         else:
-            block = F.pmod(F.xxhash64("a"), F.lit(side)) * side + F.pmod(F.xxhash64("b"), F.lit(side))
+            block = F.pmod(F.xxhash64("a"), F.lit(parts)) * parts + F.pmod(F.xxhash64("b"), F.lit(parts))
         pairs = pairs.select("a", "b", block.alias("block"))
-        now = verified(pairs, f"{folder}/pairs{k}")
-        tried = now if tried is None else tried.unionByName(now)
-        linked = tried.where("linked").select("a", "b")
-        if now.where("linked").limit(1).count():
-            labels = save(connected_components(linked), f"{folder}/stars{k}")
-    return tried.where("linked").select("a", "b")
+        needed = save(pairs.select("block", F.explode(F.array("a", "b")).alias("key")).distinct().withColumnRenamed("block", "at"), f"{folder}/needed{k}")
+        checked = pairs.groupBy("block").cogroup(sets.join(few(needed), "key").groupBy("at")).applyInArrow(_verify(percent), "a long, b long, linked boolean")
+        now, linked = save_counting(checked.where("linked").select("a", "b"), f"{folder}/links{k}", F.lit(True))
+        found = now if found is None else found.unionByName(now)
+        if last:
+            return found
+        if linked:
+            labels = connected_components(found).withColumnRenamed("component", "c")
+            labels = save(labels.join(labels.groupBy("c").agg(F.count(F.lit(1)).alias("mates")), "c"), f"{folder}/stars{k}")
