@@ -10,7 +10,8 @@ Template, one turn after another::
     text<|end|>
 
 Inside roles and texts a backslash is put before every backslash, and between
-the two characters of ``<|`` and of ``|>``.  So no control string survives in a
+the two characters of ``<|`` and of ``|>``, and before a ``>`` with which a role
+begins.  So no control string survives in a
 text, and dropping each first backslash restores the text exactly.
 """
 
@@ -112,7 +113,8 @@ def format_reply_trees(messages: DataFrame, *, top: int | None = None, learn: st
     nodes = save(nodes, f"{scratch(messages.sparkSession)}/nodes")
     paths = reply_paths(nodes)
 
-    turn = F.concat(F.lit("<|"), escape(F.col("role")), F.lit("|>\n"))
+    opened = F.when(F.col("role").startswith(">"), "<|\\").otherwise("<|")
+    turn = F.concat(opened, escape(F.col("role")), F.lit("|>\n"))
     texts = nodes.select(
         F.col("tree").alias("t"),
         F.col("node").alias("n"),
