@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACES, save, scratch
@@ -37,9 +37,10 @@ def exact_dedup(
     id's fate.  An empty table gives an empty result; further columns are
     ignored.
 
-    Broadcast data: at most ``heavy_items`` digests with their winners.  A
-    group that the summary does not name has at most rows / heavy_items rows,
-    which is what one task may have to hold in the ordinary part.
+    Broadcast data: at most ``heavy_items / 2`` digests with their winners.  The
+    summary may miss a group of a few hundredths of the rows; the ordinary part
+    holds no group in one task either: winners are partial sums, and joining
+    them to the rows is an ordinary join, in which large partitions are split.
     """
     spark = docs.sparkSession
     row = docs.select(
@@ -54,7 +55,7 @@ def exact_dedup(
     frequent = summary.select(F.inline("top")).where(F.col("count") > 1).select(F.col("item").alias("digest"))
 
     # max() of this struct: most code points, then an id before none, then the smallest id.
-    rank = F.struct("n", F.col("doc_id").isNotNull().alias("has_id"), (-F.col("doc_id")).alias("back"))
+    rank = F.struct("n", F.col("doc_id").isNotNull().alias("has_id"), F.bitwise_not("doc_id").alias("back"))
     winners = (
         digests.join(F.broadcast(frequent), "digest", "left_semi")
         .groupBy("digest")
@@ -63,13 +64,11 @@ def exact_dedup(
     winners = save(winners, f"{scratch(spark)}/winners")
     split = digests.join(F.broadcast(winners), "digest", "left")
     heavy = split.where(F.col("group_size").isNotNull())
-    group = Window.partitionBy("digest")
-    rest = (
-        digests.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
-        .withColumn("best", F.max(rank).over(group))
-        .withColumn("group_size", F.count(F.lit(1)).over(group))
-    )
-    keep = -F.col("best.back")
+    rest = digests.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
+    # sums are partial before the shuffle, and a large group that is joined to its winner can be split
+    groups = rest.groupBy("digest").agg(F.max(rank).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    rest = rest.join(groups, "digest")
+    keep = F.bitwise_not("best.back")
     return heavy.select("doc_id", "digest", "best", "group_size").unionByName(
         rest.select("doc_id", "digest", "best", "group_size")
     ).select(
