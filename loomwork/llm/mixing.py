@@ -9,6 +9,9 @@ aggregations over (source, size) cells; rates are then rounded into copies.
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,6 +120,35 @@ def solve_dual(cells: DataFrame, targets: DataFrame, cap: float, folder: str) ->
     return state
 
 
+def settle(cells: pd.DataFrame) -> pd.DataFrame:
+    """How many documents of each size get one copy more than the whole part of their rate, in one source.
+
+    Goes from the largest size to the smallest and carries what is still owed
+    in words, up or down as the smaller documents can still settle, so that the
+    smallest settle the rest.  One row for each different size of a source,
+    whatever the number of its documents.
+    """
+    cells = cells[cells["part"] > 0].sort_values("size", ascending=False)
+    rows = list(zip(cells["size"].tolist(), cells["n"].tolist(), cells["part"].tolist()))
+    give = sum((1 - part) * n * size for size, n, part in rows)
+    drop = sum(part * n * size for size, n, part in rows)
+    owed, extra = 0.0, []
+    for size, n, part in rows:
+        give, drop = give - (1 - part) * n * size, drop - part * n * size
+        owed += part * n * size
+        low = min(n, max(0, math.floor(owed / size))) if size else 0
+
+        def rest(more: int) -> tuple[float, float]:
+            """How far the words then owed lie beyond what smaller documents can settle, and how many they are."""
+            left = owed - more * size
+            return max(left - give, -left - drop, 0.0), abs(left)
+
+        more = min({low, min(n, low + 1)}, key=rest) if size else 0
+        owed -= more * size
+        extra.append(more)
+    return pd.DataFrame({"skey": cells["skey"], "size": cells["size"], "extra": extra})
+
+
 def mix_sources(
     docs: DataFrame,
     *,
@@ -131,11 +163,11 @@ def mix_sources(
 
     Size is the number of words (null text: 0).  Returns ``doc_id, size,
     source_size, target, rate, copies, taken`` and the columns named in
-    ``keep``; ``taken`` = copies * size.  Rates are rounded by systematic
-    sampling along documents sorted by size within the source: the taken words
-    of a source miss its target by about one document at most, no document has
-    more than ``cap`` copies (rounded up), and equal input gives equal output
-    in any partitioning.
+    ``keep``; ``taken`` = copies * size.  Rates are rounded from
+    the largest documents of a source to its smallest, and what rounding leaves
+    is carried on in words: the taken words of a source miss its target by
+    about one of its small documents, no document has more than ``cap`` copies
+    (rounded up), and equal input gives equal output in any partitioning.
 
     Null sources are one source, last in order.  Empty texts have rate 1 and
     take nothing.  Rows that repeat an id are documents of their own and may
@@ -165,26 +197,21 @@ def mix_sources(
         .withColumn("buckets", F.ceil(F.col("n") / BUCKET_ROWS))
         .withColumn("part", F.col("rate") - F.floor("rate"))
     )
-    # how many documents of each cell get one copy more: a running sum over the cells of a source, by size
-    upto = Window.partitionBy("skey").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
-    rated = rated.withColumn("mass", F.sum(F.col("part") * F.col("n")).over(upto)).withColumn(
-        "mass_before", F.col("mass") - F.col("part") * F.col("n")
-    )
-    rated = save(rated.drop("source", "lam", "scale"), f"{folder}/rated")
+    # how many documents of each cell get one copy more
+    settled = rated.select("skey", "size", "n", "part").groupBy("skey").applyInPandas(settle, "skey string, size long, extra long")
+    rated = save(rated.drop("source", "lam", "scale").join(settled, ["skey", "size"], "left").fillna(0, ["extra"]), f"{folder}/rated")
     placed = (
-        sized.join(rated.select("skey", "size", "source_size", "target", "rate", "buckets", "part", "mass_before"), ["skey", "size"])
+        sized.join(rated.select("skey", "size", "source_size", "target", "rate", "buckets", "n", F.col("extra").alias("more")), ["skey", "size"])
         .withColumn("order", F.xxhash64(F.lit("mix"), "doc_id"))
         .withColumn("bucket", F.pmod(F.xxhash64(F.lit("bucket"), "doc_id", "order"), F.col("buckets")))
     )
     filled = placed.groupBy("skey", "size", "bucket").agg(
-        F.count(F.lit(1)).alias("n"), F.first("part").alias("part"), F.first("mass_before").alias("mass_before")
+        F.count(F.lit(1)).alias("here"), F.first("n").alias("n"), F.first("more").alias("more")
     )
-    along = Window.partitionBy("skey", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("mass_before") + F.coalesce(F.sum(F.col("part") * F.col("n")).over(along), F.lit(0.0))
-    quota = (
-        filled.withColumn("start", start)
-        .withColumn("extra", F.floor(F.col("start") + F.col("part") * F.col("n") + 0.5) - F.floor(F.col("start") + 0.5))
-        .select("skey", "size", "bucket", "extra")
+    # a bucket's share of the extra copies: the difference of two running sums, so that all shares add up
+    along = Window.partitionBy("skey", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    quota = filled.withColumn("upto", F.sum("here").over(along)).select(
+        "skey", "size", "bucket", F.expr("upto * more div n - (upto - here) * more div n").alias("extra")
     )
     turn = F.row_number().over(Window.partitionBy("skey", "size", "bucket").orderBy("order", "doc_id"))
     copies = F.floor("rate") + F.when(turn <= F.col("extra"), 1).otherwise(0)
