@@ -10,7 +10,10 @@ then sum frequencies times pieces.  Token ids are never stored.
 from __future__ import annotations
 
 import functools
+import itertools
+import json
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +39,34 @@ NOT_SIMPLE = re.compile(r"[^\x00-\x1b\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]
 FREQ_SCHEMA = "pack long, ids array<long>, n_bytes array<long>, extra array<long>, per_doc array<int>, which binary, times binary, sent array<struct<shard:int,n:int,lens:binary,body:binary>>"
 
 
-def pre_tokens(text: str) -> list[str]:
-    return (PATTERN if NOT_SIMPLE.search(text) else SIMPLE_PATTERN).findall(text)
+def byte_of_name() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    odd = itertools.count(256)
+    return {chr(b) if b in printable else chr(next(odd)): b for b in range(256)}
+
+
+NAMES = byte_of_name()
+
+
+def pre_tokens(text: str, path: str) -> list[str]:
+    """The pre-tokens of a text.
+
+    Characters that this Python's tables don't know may be letters to the
+    library's, so texts with such ones are cut by the library itself.
+    """
+    if not NOT_SIMPLE.search(text):
+        return SIMPLE_PATTERN.findall(text)
+    if any(unicodedata.category(c) == "Cn" for c in set(text)):
+        parts = loaded(path).pre_tokenizer.pre_tokenize_str(text)
+        return [bytes(map(NAMES.__getitem__, name)).decode() for name, _ in parts]
+    return PATTERN.findall(text)
+
+
+def special_strings(path: str) -> tuple[str, ...]:
+    """The special tokens of a tokenizer file, the longest first."""
+    with open(path, encoding="utf-8") as f:
+        return tuple(sorted((t["content"] for t in json.load(f)["added_tokens"]), key=lambda t: (-len(t), t)))
 
 
 @functools.lru_cache(maxsize=1)
@@ -53,13 +82,12 @@ def count_tokens(
     *,
     tokenizer: str,
     limit: int,
-    special: tuple[str, ...] = ("<|endoftext|>",),
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` of each row, for a byte-level BPE file.
 
-    A special string inside a text is one token, as in the library's default.
+    A special string of the file inside a text is one token, as in the library's default.
     Null and empty texts have no bytes and no tokens.  Repeated rows and ids
     stay as they are, null ids too; an empty table gives an empty result;
     other columns are ignored.  A pack holds about PACK_BYTES of text or one
@@ -69,7 +97,7 @@ def count_tokens(
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n_shards = shards(total, SHARD_BYTES, 64)
-    cut = re.compile("|".join(map(re.escape, special)))
+    cut = re.compile("|".join(map(re.escape, special_strings(tokenizer))) or r"(?!)")
 
     def frequencies(batches):
         part, seq = TaskContext.get().partitionId(), 0
@@ -114,7 +142,7 @@ def count_tokens(
                     seq, size, numbers = seq + 1, 0, Numbering()
                     ids, sizes, extra, docs_of, which, times = [], [], [], [], [], []
                 parts = cut.split(one)
-                tokens = [t for x in parts for t in pre_tokens(x)] if len(parts) > 1 else pre_tokens(one)
+                tokens = [t for x in parts for t in pre_tokens(x, tokenizer)] if len(parts) > 1 else pre_tokens(one, tokenizer)
                 found, n = np.unique(np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens)), return_counts=True)
                 ids.append(key)
                 sizes.append(n_bytes)
