@@ -1,9 +1,12 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five transducers are composed.  The lexical one maps words to classes: insult,
-threat, target, negation, reported speech.  The clause transducers for targets,
-negation and reported speech read these classes and rewrite each insult or
-threat of a clause into a plain, targeted, negated or reported match.  A
+The lexical transducer maps words to classes: insult, threat, target, negation,
+reported speech.  Three transducers over the classes of a clause rewrite its
+insults and threats: what a negation reaches is negated, what follows a verb of
+saying is reported, what a target reaches is targeted.  They are composed into
+one machine that reads a clause forwards; targets that stand behind are found
+by the target transducer alone, which reads what came out backwards.  Each arc
+carries the kind of match that it makes, and the kinds' weights are learned: a
 document's score is a logistic function of its weighted matches, so a word
 alone counts less than a clause that throws it at somebody, and one that is
 denied or quoted counts less still.
@@ -16,6 +19,7 @@ Labels, language, source and ids are no inputs of a score.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Hashable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,14 +29,20 @@ from pyspark.sql import functions as F
 
 from .common import save, scratch
 
-# Fixed word lists of the grammar.
-THREATS = frozenset("kill hurt destroy beat punch shoot stab burn crush töte töten tuer frapper matar golpear".split())
+# Fixed word lists of the grammar, in English, German, French and Spanish.
+THREATS = frozenset(
+    "kill kills killed hurt hurts destroy destroys beat beats punch shoot stab burn crush strangle smash töte töten tötet umbringen schlagen verletzen erschießen tuer tue tuerai frapper blesser détruire matar mato mataré golpear herir destruir".split()
+)
 TARGETS = frozenset(
     "you your yours u he she him her they them their we us this these du dich dein ihr euch tu toi ton vous votre il elle ils tú te usted ustedes él ella ellos".split()
 )
-NEGATIONS = frozenset("not no never nobody isn't aren't don't wasn't nicht kein keine nie pas jamais aucun nunca nadie ningún".split())
-REPORTS = frozenset("said says say called calls quoted wrote reported told claimed sagte sagt schrieb dit écrit dijo dice escribió".split())
-INSULTS = frozenset("idiot moron".split())
+NEGATIONS = frozenset(
+    "not no never nobody none isn't aren't don't doesn't didn't wasn't weren't won't can't nicht kein keine keinen nie niemals niemand ne pas jamais aucun aucune personne nunca nadie ningún ninguna tampoco jamás".split()
+)
+REPORTS = frozenset(
+    "said says say saying called calls quoted quotes wrote writes reported told claimed claims sagte sagt sagen schrieb behauptete zitierte nannte dit disait écrit écrivait affirme dijo dice decía escribió afirmó".split()
+)
+INSULTS = frozenset("idiot idiots moron morons imbecile cretin dummkopf trottel blödmann crétin imbécile débile estúpido imbécil cretino".split())
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 CLAUSE_END = 8
@@ -70,42 +80,84 @@ class Words(dict):
         return code
 
 
-def step(state: tuple[int, int, bool], code: int) -> tuple[tuple[int, int, bool], int | None]:
-    """One step of the composed negation, target and reported-speech transducers.
+@dataclass(frozen=True)
+class Transducer:
+    """A deterministic machine: ``arcs[state, symbol]`` is the next state, the symbol written, and the kind of match made or None.
 
-    The state holds for how many more words a negation and a target reach, and
-    whether the clause reports speech.  The output is a kind of match or none.
+    A symbol without an arc is copied, and the state stays.
     """
-    negated, aimed, reported = max(0, state[0] - 1), max(0, state[1] - 1), state[2]
-    kind = code & 7
-    if kind == NEGATION:
-        return (REACH, aimed, reported), None
-    if kind == TARGET:
-        return (negated, REACH, reported), None
-    if kind == REPORT:
-        return (negated, aimed, True), None
-    if kind in (INSULT, THREAT):
-        out = 5 if reported else 4 if state[0] else (0 if kind == INSULT else 2) + (state[1] > 0)
-        return (negated, aimed, reported), out
-    return (negated, aimed, reported), None
+
+    start: Hashable
+    arcs: dict
+
+    def step(self, state, symbol: int):
+        return self.arcs.get((state, symbol), (state, symbol, None))
+
+    def run(self, symbols: list[int]) -> list[int]:
+        state, out = self.start, []
+        for symbol in symbols:
+            state, written, _ = self.step(state, symbol)
+            out.append(written)
+        return out
+
+
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """The machine that does at once what ``second`` does to the output of ``first``; only states that can be reached."""
+    start, arcs = (first.start, second.start), {}
+    todo, seen = [start], {start}
+    while todo:
+        a, b = state = todo.pop()
+        for symbol in SYMBOLS:
+            next_a, between, made = first.step(a, symbol)
+            next_b, written, more = second.step(b, between)
+            after = next_a, next_b
+            arcs[state, symbol] = after, written, made if more is None else more
+            if after not in seen:
+                seen.add(after)
+                todo.append(after)
+    return Transducer(start, arcs)
+
+
+def within_reach(trigger: int, rewrites: dict[int, int]) -> Transducer:
+    """For REACH words behind ``trigger``, symbols are rewritten; another trigger begins anew.  States count the words left."""
+    arcs = {}
+    for left in range(REACH + 1):
+        for symbol in SYMBOLS:
+            written = rewrites.get(symbol, symbol) if left else symbol
+            arcs[left, symbol] = (REACH if symbol == trigger else max(0, left - 1), written, MADE.get(written))
+    return Transducer(0, arcs)
+
+
+def from_here(trigger: int, rewrites: dict[int, int]) -> Transducer:
+    """Behind ``trigger``, symbols are rewritten up to the end of the clause."""
+    arcs = {(k, symbol): (1 if k or symbol == trigger else 0, (written := rewrites.get(symbol, symbol) if k else symbol), MADE.get(written)) for k in (0, 1) for symbol in SYMBOLS}
+    return Transducer(0, arcs)
+
+
+#: Symbols that the machines write instead of an insult or threat, and the kind of match that each symbol makes.
+AIMED_INSULT, AIMED_THREAT, DENIED, REPORTED = range(6, 10)
+SYMBOLS = range(10)
+MADE = {INSULT: 0, AIMED_INSULT: 1, THREAT: 2, AIMED_THREAT: 3, DENIED: 4, REPORTED: 5}
+NEGATION_MACHINE = within_reach(NEGATION, {INSULT: DENIED, THREAT: DENIED})
+REPORT_MACHINE = from_here(REPORT, {INSULT: REPORTED, THREAT: REPORTED, DENIED: REPORTED})
+TARGET_MACHINE = within_reach(TARGET, {INSULT: AIMED_INSULT, THREAT: AIMED_THREAT})
+#: A clause is read forwards by all three at once.
+CLAUSE_MACHINE = compose(compose(NEGATION_MACHINE, REPORT_MACHINE), TARGET_MACHINE)
 
 
 def matches(codes: list[int]) -> Counter:
-    """Kinds of match in a document; a target may also follow its insult or threat within reach."""
+    """Kinds of match in a document, clause by clause."""
     found: Counter = Counter()
-    state, last, since = (0, 0, False), None, 0
-    for code in codes:
-        state, out = step(state, code)
-        since += 1
-        if out is not None:
-            found[out] += 1
-            last, since = (out if out in (0, 2) else None), 0
-        elif code & 7 == TARGET and last is not None and since <= REACH:
-            found[last] -= 1
-            found[last + 1] += 1
-            last = None
-        if code & CLAUSE_END:
-            state, last = (0, 0, False), None
+    clause: list[int] = []
+    for k, code in enumerate(codes):
+        clause.append(code & 7)
+        if code & CLAUSE_END or k == len(codes) - 1:
+            state = TARGET_MACHINE.start
+            for symbol in reversed(CLAUSE_MACHINE.run(clause)):
+                state, _, made = TARGET_MACHINE.step(state, symbol)
+                if made is not None:
+                    found[made] += 1
+            clause = []
     return found
 
 
@@ -141,7 +193,7 @@ class Grammar:
 
 
 def learning_rows(docs: DataFrame, labels: DataFrame, bound: int, *, id_col: str, text_col: str) -> DataFrame:
-    """``text, toxic`` of at most about ``bound`` labelled documents with different texts, chosen by a hash of the id."""
+    """``text, toxic`` of at most about ``bound`` labelled documents with different texts, chosen by a hash of the id; any toxic label of a text counts."""
     key = F.col("doc_id").cast("string")
     own = (
         labels.where(F.col("toxic").isNotNull() & (F.crc32(key.cast("binary")) % 5 != 0))
@@ -151,7 +203,7 @@ def learning_rows(docs: DataFrame, labels: DataFrame, bound: int, *, id_col: str
     share = min(1.0, bound / max(1, own.count()))
     own = own.where(F.pmod(F.xxhash64("label_id"), F.lit(1 << 20)) < share * (1 << 20))
     rows = docs.select(F.col(id_col).cast("long").alias("label_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.join(F.broadcast(own), "label_id").select("text", "toxic").dropDuplicates(["text"])
+    return rows.join(F.broadcast(own), "label_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
 
 
 def learn_entries(rows: DataFrame) -> tuple[frozenset, frozenset]:
