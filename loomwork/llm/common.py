@@ -38,16 +38,10 @@ def scratch(spark: SparkSession) -> str:
 
 #: The folder that stands in where none is set.
 local: list[str] = []
-#: Folders that scratch() named and sweep() has not deleted.
+#: Folders that scratch() has named.
 made: list[str] = []
 
 
-def sweep(spark: SparkSession) -> None:
-    """Delete all intermediate tables so far.  Call it when every result that read them has been written."""
-    while made:
-        remove(spark, made.pop())
-
-
 def save(df: DataFrame, path: str, *, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as a Parquet table and read it back: lineage ends here."""
     df.write.option("compression", compression).parquet(path)
