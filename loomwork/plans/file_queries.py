@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomwork.functions import minify
 from loomwork.functions import paths as P
 from loomwork.operators import code_findings as C
 from loomwork.operators import detectors, feeds, files, paging, patches, search, shape, sinks
@@ -150,6 +151,7 @@ QUERIES = {
     "finding_pressure": lambda s, d: C.pressure(findings(s, d), 50).select(F.round("pressure", 6).alias("pressure")),
     "severity_matrix": lambda s, d: C.severity_matrix(_pillared(s, d)),
     "pillar_scores": lambda s, d: C.pillar_scores(_pillared(s, d), 80),
+    "minified_texts": lambda s, d: documents(s, d).select("doc_id", *[F.sha2(c.cast("binary"), 256).alias(n) for n, c in (("conservative", minify.conservative(F.col("text"), "hash")), ("aggressive", minify.aggressive(F.col("text"), "html")), ("general", minify.general(F.col("text"))), ("markdown", minify.markdown(F.col("text"))))]),
     "compact_findings": lambda s, d: _titled(s, d).select("id", sinks.compact_line().alias("line")),
     "build_annotations": lambda s, d: _titled(s, d).select("id", sinks.annotation().alias("note")),
     "edge_lines": lambda s, d: sinks.edge_lines(part_graph(s, d)[1]),
@@ -184,7 +186,22 @@ _HOT = f"hot as (select node, floor(3 * incoming + 0.5 * p_size + 1.5 * (p_partk
 _EXPORTS = "exports as (select distinct l_suppkey as module, l_partkey::VARCHAR as name, case when l_partkey % 3 = 0 then 'type' else 'value' end as kind from lineitem)"
 _USES = "{1} as (select l_suppkey as module, case when l_orderkey % 97 = 0 then '*' else l_partkey::VARCHAR end as name from lineitem where l_returnflag = '{0}')"
 
+def _replaced(text, *steps):
+    for pattern, by in steps:
+        text = f"regexp_replace({text}, '{pattern}', {by}, 'g')"
+    return text
+
+
+_TRIM, _ENDS, _GAPS = (r"^\s+|\s+$", "''"), (r"(?m)[ \t]+$", "''"), (r"\n\s*\n\s*\n+", "chr(10) || chr(10)")
+_MINIFIED = {
+    "conservative": _replaced("text", (r"(?m)^\s*#(?:[^!\n].*)?$", "''"), (r"(?m)\s+#.*$", "''"), _ENDS, _GAPS, _TRIM),
+    "aggressive": _replaced("text", (r"(?s)<!--.*?-->", "''"), (r"\s+", "' '"), (r"\s*([{}:;,])\s*", r"'\1'"), (r">\s+<", "'><'"), _TRIM),
+    "general": _replaced("text", _ENDS, (r"\r\n", "chr(10)"), _GAPS, (r"[ \t]{3,}", "' '"), _TRIM),
+    "markdown": _replaced("text", (r"(?s)<!--.*?-->", "''"), _ENDS, (r"\r\n", "chr(10)"), _GAPS, (r"([^\n])[ \t]{5,}([^\n])", r"'\1 \2'"), (r"\s*\|\s*", "' | '"), (r"(?m)^(#{1,6})[ \t]+", r"'\1 '"), (r"(?m)^(\s*)([-*+]|\d+\.)[ \t]+", r"'\1\2 '"), (r"\n{3,}(```)", r"chr(10) || chr(10) || '\1'"), (r"(```)\n{3,}", r"'\1' || chr(10) || chr(10)"), _TRIM),
+}
+
 ORACLE_SQL = {
+    "minified_texts": "select doc_id, " + ", ".join(f"sha256({c}) as {n}" for n, c in _MINIFIED.items()) + " from documents",
     "path_facts": rf"""with {_FILES}, {_NAMED}
 select node, name, folder, list_last(string_split(path, '.')) as extension, {_TEST.format("path")} as test, {_ENTRY.format("path")} as entry, {_IGNORED} as ignored, {_PACKAGE.format("path")} as package,
  case p_size % 8 when 2 then 'camel' when 3 then 'snake' when 4 then 'kebab' when 5 then 'snake' when 7 then 'other' else 'flat' end as style, lower(regexp_replace(regexp_replace(stem, '([a-z0-9])([A-Z])', '\1_\2', 'g'), '[-\s]+', '_', 'g')) as snake,
