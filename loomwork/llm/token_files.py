@@ -158,9 +158,16 @@ def decode(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     return values
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme that Spark gives it, as tasks write to the store themselves."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return full.replace("file:/", "file:///", 1) if re.match("file:/[^/]", full) else full
+
+
 def put(path: str, data: bytes) -> None:
     """Write a file whole: a retried task replaces it by the same bytes."""
-    store, where = pyarrow.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pyarrow.fs.LocalFileSystem(), path)
+    store, where = pyarrow.fs.FileSystem.from_uri(path)
     part = f"{where}.{uuid.uuid4().hex}.part"
     with store.open_output_stream(part) as out:
         out.write(data)
@@ -168,7 +175,7 @@ def put(path: str, data: bytes) -> None:
 
 
 def make_folder(path: str) -> None:
-    store, where = pyarrow.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pyarrow.fs.LocalFileSystem(), path)
+    store, where = pyarrow.fs.FileSystem.from_uri(path)
     store.create_dir(where)
 
 
@@ -182,7 +189,7 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str, end_id: int
     is one row per id of the tokenizer's vocabulary.
     """
     spark = docs.sparkSession
-    folder = scratch(spark)
+    folder, path = scratch(spark), qualified(spark, path)
     tokens = save(tokenize(docs, tokenizer, end_id, id_col=id_col, text_col=text_col), f"{folder}/tokens")
     ranked = frequencies(tokens).orderBy(F.desc("n"), "id").select("id", "n").collect()
     ids = np.array([r.id for r in ranked], np.uint32)
