@@ -10,21 +10,27 @@ from pyspark.sql import functions as F
 
 from loomwork.functions.secret_patterns import SECRET_PATTERNS
 
-#: Patterns of redaction in the order in which they apply.
+#: Patterns of redaction in the order in which they apply, each with what any match holds.
 SECRETS = (
-    ("TOKEN", r'token = "[0-9a-f]{40}"'),
-    ("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
-    ("IPV4", r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"),
+    ("TOKEN", r'token = "[0-9a-f]{40}"', 'token = "'),
+    ("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "@"),
+    ("IPV4", r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", "."),
 )
 
 
 def redact(text: Column) -> Column:
-    """Each pattern in turn, over what the ones before left."""
-    return reduce(lambda c, p: F.regexp_replace(c, p[1], f"[REDACTED-{p[0]}]"), SECRETS, text)
+    """Each pattern in turn, over what the ones before left; texts without what a match holds are not searched."""
+    def step(done: Column, entry: tuple[str, str, str]) -> Column:
+        name, pattern, part = entry
+        return F.when(F.contains(text, F.lit(part)), F.regexp_replace(done, pattern, f"[REDACTED-{name}]")).otherwise(done)
+
+    return reduce(step, SECRETS, text)
 
 
 def secret_count(text: Column) -> Column:
-    return reduce(lambda a, b: a + b, (F.regexp_count(text, F.lit(p)) for _, p in SECRETS))
+    """How many places of the original text the patterns find; null for a null text."""
+    counts = (F.when(F.contains(text, F.lit(part)), F.regexp_count(text, F.lit(p))).when(text.isNotNull(), 0) for _, p, part in SECRETS)
+    return reduce(lambda a, b: a + b, counts)
 
 
 #: Characters (UTF-16 units) beyond which a text is replaced as a whole, and by what.
