@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,7 +120,7 @@ def solve_dual(cells: DataFrame, targets: DataFrame, cap: float, folder: str) ->
     return state
 
 
-def settle(cells: pd.DataFrame) -> pd.DataFrame:
+def settle(cells: pa.Table) -> pa.Table:
     """How many documents of each size get one copy more than the whole part of their rate, in one source.
 
     Goes from the largest size to the smallest and carries what is still owed
@@ -128,8 +128,8 @@ def settle(cells: pd.DataFrame) -> pd.DataFrame:
     smallest settle the rest.  One row for each different size of a source,
     whatever the number of its documents.
     """
-    cells = cells[cells["part"] > 0].sort_values("size", ascending=False)
-    rows = list(zip(cells["size"].tolist(), cells["n"].tolist(), cells["part"].tolist()))
+    rows = [r for r in zip(*(cells[c].to_pylist() for c in ("size", "n", "part"))) if r[2] > 0]
+    rows.sort(reverse=True)
     give = sum((1 - part) * n * size for size, n, part in rows)
     drop = sum(part * n * size for size, n, part in rows)
     owed, extra = 0.0, []
@@ -146,7 +146,8 @@ def settle(cells: pd.DataFrame) -> pd.DataFrame:
         more = min({low, min(n, low + 1)}, key=rest) if size else 0
         owed -= more * size
         extra.append(more)
-    return pd.DataFrame({"skey": cells["skey"], "size": cells["size"], "extra": extra})
+    keys = cells["skey"].slice(0, len(rows))  # one source
+    return pa.table([keys, pa.array([size for size, *_ in rows], pa.int64()), pa.array(extra, pa.int64())], names=["skey", "size", "extra"])
 
 
 def mix_sources(
@@ -198,7 +199,7 @@ def mix_sources(
         .withColumn("part", F.col("rate") - F.floor("rate"))
     )
     # how many documents of each cell get one copy more
-    settled = rated.select("skey", "size", "n", "part").groupBy("skey").applyInPandas(settle, "skey string, size long, extra long")
+    settled = rated.select("skey", "size", "n", "part").groupBy("skey").applyInArrow(settle, "skey string, size long, extra long")
     rated = save(rated.drop("source", "lam", "scale").join(settled, ["skey", "size"], "left").fillna(0, ["extra"]), f"{folder}/rated")
     placed = (
         sized.join(rated.select("skey", "size", "source_size", "target", "rate", "buckets", "n", F.col("extra").alias("more")), ["skey", "size"])
