@@ -1,12 +1,13 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text.
 
 The model is a bigram model over words, in which a word that repeats the one
-before becomes one mark.  Counts of all trusted texts are tables.  Each bigram
-of the documents meets its counts, its context and its last word in shuffled
-joins; the distinct bigrams of each text are then joined to what came out,
-heavy ones salted, and log probabilities are summed by text.  Unknown words
-are spelled by a trigram model over bytes of the trusted words, which has at
-most 2**24 trigrams by construction and is the only part sent to tasks.
+before becomes one mark.  It knows the words that most trusted texts hold; all
+others are one unknown word, spelled by a trigram model over the bytes of the
+trusted words.  Contexts and single words are tables of at most 2**16 rows,
+byte trigrams are at most 2**24; they go to the tasks.  The bigram counts grow
+with the trusted text and never leave their shards: packs of documents send
+each shard their distinct bigrams, the shard joins them to its counts, and the
+packs sum log probabilities by text.
 
 A trusted text is judged without its own counts, so it costs what a text
 costs that the model has not seen.  A document is kept if its perplexity a
@@ -15,34 +16,35 @@ byte lies within the quantiles that trusted documents of its language show.
 
 from __future__ import annotations
 
-import operator
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, save, scratch
+from .common import expand, expand_sorted, few, remove, save, scratch, shards, squeeze, squeeze_sorted
 
-#: The mark of a repeated word, and begin and end of a text.
-MARK, BEGIN, END = b"\x01", b"\x02", b"\x03"
+#: Begin and end of a word when it is spelled.
+BEGIN, END = b"\x02", b"\x03"
+#: Numbers of the unknown word, of a repeated word, of the begin of a text, and of the first known word.
+UNKNOWN, REPEATED, START, FIRST = range(4)
+#: Words that the model knows: those of most trusted texts, of two at least, and of so many bytes at most.
+VOCABULARY, LEAST_TEXTS, WORD_BYTES = (1 << 16) - FIRST, 2, 64
 #: Share of trusted documents that a language's thresholds leave outside, at the low and at the high end.
 LOW, HIGH = 0.001, 0.995
 #: Bytes of the trusted average that each document's mean starts from, so that very short texts stay near it.
 PRIOR = 100
 #: Thresholds are widened by this factor of perplexity.
 SLACK = 1.05
-
-
-def words(text: bytes | None) -> list[bytes]:
-    """The words that the model sees, repetitions as marks."""
-    found = (text or b"").split()
-    again = list(map(operator.eq, found[1:], found))
-    if True in again:
-        found = found[:1] + [MARK if same else word for same, word in zip(again, found[1:])]
-    return found
+#: Words of a pack, and of what is numbered at once; different words that a task holds.
+PACK_WORDS, PIECE_WORDS, HELD = 2_000_000, 200_000, 400_000
+#: Words of documents for which one shard stands; a heavier load is dealt over several shards.
+HEAVY = 1_000_000
+#: Bytes that a word of documents stands for in that.
+WORD_BYTES_MEAN = 6
 
 
 def trigrams(word: bytes) -> np.ndarray:
@@ -56,34 +58,44 @@ def key_of(text_col: str) -> Column:
 
 
 def word_types(texts: DataFrame) -> DataFrame:
-    """``w``: the different words of ``texts(text)``."""
+    """``w, texts``: the different words of ``texts(text)`` and how many texts hold each."""
 
     def run(batches):
+        found: Counter = Counter()
         for batch in batches:
-            found: set[bytes] = set()
             for x in batch.column(0):
-                found.update(words(x.as_py()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary())], names=["w"])
+                found.update(set((x.as_py() or b"").split()))
+                if len(found) > HELD:
+                    yield rows(found)
+                    found.clear()
+        yield rows(found)
+
+    def rows(found):
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["w", "texts"])
 
-    return texts.select(F.col("text").cast("binary")).mapInArrow(run, "w binary").distinct()
+    counted = texts.select(F.col("text").cast("binary")).mapInArrow(run, "w binary, texts long")
+    return counted.groupBy("w").agg(F.sum("texts").alias("texts"))
 
 
 def trigram_counts(types: DataFrame) -> DataFrame:
+    """``g, n``: how many of the different words hold each trigram, once for each place."""
+
     def run(batches):
-        total = np.zeros(1 << 24, np.int64)
+        found = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            for w in batch.column(0):
-                np.add.at(total, trigrams(w.as_py()), 1)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some])], names=["g", "n"])
+            each = [trigrams(w.as_py()) for w in batch.column(0)]
+            if each:
+                all_of = np.concatenate((found[0], *each))
+                n = np.concatenate((found[1], np.ones(len(all_of) - len(found[0]), np.int64)))
+                g, at = np.unique(all_of, return_inverse=True)
+                found = g, np.bincount(at, n).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1])], names=["g", "n"])
 
-    return types.mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    return types.select("w").mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
 
 
-def discounts(counts: DataFrame) -> tuple[float, float, float]:
+def discounts(n1: float, n2: float, n3: float, n4: float) -> tuple[float, float, float]:
     """The three modified discounts from the numbers of n-grams seen once to four times."""
-    n = counts.agg(*[F.sum(F.when(F.col("n") == k, 1).otherwise(0)).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
-    n1, n2, n3, n4 = (float(x or 0) for x in n)
     if not n1 or not n2:
         return 0.5, 0.75, 0.9
     y = n1 / (n1 + 2 * n2)
@@ -93,7 +105,8 @@ def discounts(counts: DataFrame) -> tuple[float, float, float]:
 
 def smoothed(counts: DataFrame, shift: int) -> DataFrame:
     """``g, ctx, term, spare``: the discounted share of each n-gram and what its context leaves to shorter ones."""
-    d1, d2, d3 = discounts(counts)
+    n = counts.agg(*[F.sum(F.when(F.col("n") == k, 1).otherwise(0)).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
+    d1, d2, d3 = discounts(*(float(x or 0) for x in n))
     off = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
     ctx = F.shiftright("g", shift)
     by = counts.withColumn("ctx", ctx).withColumn("off", off)
@@ -102,211 +115,327 @@ def smoothed(counts: DataFrame, shift: int) -> DataFrame:
 
 
 @dataclass
-class Model:
-    """Sparse parts of the model; table() makes the negative log probabilities of all trigrams."""
+class Spelling:
+    """A trigram model over bytes: dense below, sparse on top."""
 
     tri: tuple[np.ndarray, np.ndarray]
-    tri_spare: tuple[np.ndarray, np.ndarray]
-    bi: tuple[np.ndarray, np.ndarray]
-    bi_spare: tuple[np.ndarray, np.ndarray]
-    uni: tuple[np.ndarray, np.ndarray]
-    uni_spare: float
-    name: str
-
-    def table(self) -> np.ndarray:
-        p1 = np.full(256, self.uni_spare / 256)
-        p1[self.uni[0]] += self.uni[1]
-        spare = np.ones(256)
-        spare[self.bi_spare[0]] = self.bi_spare[1]
-        p2 = spare[:, None] * p1[None, :]
-        p2.reshape(-1)[self.bi[0]] += self.bi[1]
-        spare = np.ones(1 << 16)
-        spare[self.tri_spare[0]] = self.tri_spare[1]
-        p3 = spare.astype(np.float32).reshape(256, 256, 1) * p2.astype(np.float32)[None, :, :]
-        p3 = p3.reshape(-1)
-        p3[self.tri[0]] += self.tri[1].astype(np.float32)
-        return -np.log(p3, out=p3)
-
-
-def spelling(types: DataFrame, folder: str) -> Model:
+    spare: np.ndarray
+    low: np.ndarray
+
+    def costs(self, words: list[bytes]) -> np.ndarray:
+        """What spelling each word costs, as negative log probabilities."""
+        x = np.frombuffer(b"".join([BEGIN + BEGIN + w + END for w in words]), np.uint8).astype(np.int32)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 3)
+        g = np.zeros(len(x), np.int32)
+        g[:-2] = x[:-2] << 16 | x[1:-1] << 8 | x[2:]
+        p = self.spare[g >> 8] * self.low[g & 0xFFFF]
+        if len(self.tri[0]):
+            at = np.minimum(np.searchsorted(self.tri[0], g), len(self.tri[0]) - 1)
+            p += np.where(self.tri[0][at] == g, self.tri[1][at], 0.0)
+        each = -np.log(p)
+        each[ends - 1] = each[ends - 2] = 0.0  # these reach into the next word
+        return np.add.reduceat(each, np.concatenate(([0], ends[:-1])))
+
+
+def spelling(types: DataFrame, folder: str) -> Spelling:
     """Kneser-Ney estimation over the different words: plain counts for trigrams, numbers of different predecessors below."""
     tri = save(trigram_counts(types), f"{folder}/trigrams")
-    bi = tri.groupBy(F.col("g").bitwiseAND(0xFFFF).alias("g")).agg(F.count(F.lit(1)).alias("n"))
-    bi = save(bi, f"{folder}/bigrams")
+    bi = save(tri.groupBy(F.col("g").bitwiseAND(0xFFFF).alias("g")).agg(F.count(F.lit(1)).alias("n")), f"{folder}/byte-bigrams")
     uni = bi.groupBy(F.col("g").bitwiseAND(0xFF).alias("g")).agg(F.count(F.lit(1)).alias("n"))
 
-    def columns(counts, shift):
-        rows = smoothed(counts, shift).toPandas()
-        spare = rows.drop_duplicates("ctx")
-        return (rows.g.to_numpy(np.int64), rows.term.to_numpy(float)), (spare.ctx.to_numpy(np.int64), spare.spare.to_numpy(float))
-
-    t, ts = columns(tri, 8)
-    b, bs = columns(bi, 8)
-    u, us = columns(uni, 8)
-    return Model(t, ts, b, bs, u, float(us[1][0]) if len(us[1]) else 1.0, folder)
-
-
-_TABLES: dict[str, np.ndarray] = {}
-
+    def columns(counts, shift, contexts):
+        rows = smoothed(counts, shift).orderBy("g").toArrow()  # 2**24 rows at most, and as many as trusted words have trigrams
+        spare = np.ones(contexts)
+        spare[rows["ctx"].to_numpy()] = rows["spare"].to_numpy()
+        return rows["g"].to_numpy(), rows["term"].to_numpy(), spare
 
-def spelled(model: Model) -> np.ndarray:
-    """The model's table, made once a worker."""
-    if model.name not in _TABLES:
-        _TABLES.clear()
-        _TABLES[model.name] = model.table()
-    return _TABLES[model.name]
+    g1, term1, spare1 = columns(uni, 8, 1)
+    g2, term2, spare2 = columns(bi, 8, 1 << 8)
+    g3, term3, spare3 = columns(tri, 8, 1 << 16)
+    p1 = np.full(256, spare1[0] / 256)
+    p1[g1] += term1
+    p2 = (spare2[:, None] * p1).reshape(-1)
+    p2[g2] += term2
+    return Spelling((g3, term3), spare3, p2)
 
 
 class Lexicon(dict):
-    """Numbers words and keeps their hashes and, with a model, what spelling them costs."""
+    """Numbers the words of a task and keeps what the model needs of each: its number there, its cost if unknown, its length."""
 
-    def __init__(self, table: np.ndarray | None):
+    def __init__(self, known: dict[bytes, int], spell: Spelling | None):
         super().__init__()
-        self.table, self.hashes, self.costs = table, [], []
-        self[BEGIN]
+        self.known, self.spell, self.new = known, spell, []
+        self.ids, self.costs, self.lengths = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
 
     def __missing__(self, word: bytes) -> int:
         self[word] = number = len(self)
-        self.hashes.append(xxhash.xxh3_64_intdigest(word))
-        self.costs.append(0.0 if self.table is None else float(self.table[trigrams(word)].sum(dtype=np.float64)))
+        self.new.append(word)
         return number
 
+    def learn(self) -> None:
+        """Fill in what is new."""
+        if self.new:
+            ids = np.array([self.known.get(w, UNKNOWN) for w in self.new], np.int64)
+            costs = self.spell.costs(self.new) if self.spell else np.zeros(len(ids))
+            self.ids, self.costs = np.concatenate((self.ids, ids)), np.concatenate((self.costs, np.where(ids == UNKNOWN, costs, 0.0)))
+            self.lengths = np.concatenate((self.lengths, np.fromiter(map(len, self.new), np.int64, len(ids)) + 1))
+            self.new = []
+
+    def sequence(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Model numbers of all words of some texts, words a text, bytes a text, and what a text's unknown words cost."""
+        n = np.array([len(t) for t in texts], np.int64)
+        x = np.fromiter((k for t in texts for k in map(self.__getitem__, t)), np.int64, n.sum())
+        self.learn()
+        doc = np.repeat(np.arange(len(n)), n)
+        again = np.zeros(len(x), bool)
+        again[1:] = (x[1:] == x[:-1]) & (doc[1:] == doc[:-1])
+        ids = np.where(again, REPEATED, self.ids[x])
+        size = np.where(again, 2, self.lengths[x])
+        cost = np.where(again, 0.0, self.costs[x])
+        return ids.astype(np.uint16), n, np.bincount(doc, size, len(n)).astype(np.int64), np.bincount(doc, cost, len(n))
+
+
+def split_texts(batches, text: int):
+    """Rows of ``batches`` in pieces of about PIECE_WORDS words: values of column 0, and words of the texts."""
+    keys, some, size = [], [], 0
+    for batch in batches:
+        for key, x in zip(batch.column(0), batch.column(text)):
+            some.append((x.as_py() or b"").split())
+            keys.append(key.as_py() if text else 0)
+            size += len(some[-1])
+            if size > PIECE_WORDS:
+                yield keys, some
+                keys, some, size = [], [], 0
+    if some:
+        yield keys, some
+
+
+def bigrams(ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Each word with the one before it in its text, or START."""
+    before = np.empty(len(ids), np.uint32)
+    before[1:] = ids[:-1]
+    before[(np.cumsum(n) - n)[n > 0]] = START
+    return before << np.uint32(16) | ids
+
+
+KEYS = "shard int, pack long, keys binary, seen binary"
+COUNTS = "shard int, keys binary, seen binary"
+
+
+def shard_of(g: np.ndarray, n_shards: int) -> np.ndarray:
+    return g.astype(np.int64) * 1_000_003 // 65_536 % n_shards
+
+
+def dealt(g: np.ndarray, n_shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ascending bigrams by shard: their order, the shards, and where each shard begins in that order."""
+    shard = shard_of(g, n_shards)
+    order = np.argsort(shard, kind="stable")
+    cut = np.flatnonzero(np.diff(shard[order], prepend=-1))
+    return order, shard[order][cut], cut
+
+
+def bigram_counts(texts: DataFrame, known, n_shards: int) -> DataFrame:
+    """One row a shard with its bigrams of ``texts(text)`` and how often they occur; thinned within each task."""
 
-#: Words and bigrams that a task holds before it starts anew.
-HELD = 500_000
-PAIR = "g long, b long, c long, spell double, texts long"
-
-
-def of_pairs(lexicon: Lexicon, pairs: np.ndarray) -> list[np.ndarray]:
-    """Hash of each bigram, of its first and of its second word, and what the second costs to spell."""
-    h = np.array(lexicon.hashes, np.uint64)
-    b, c = h[pairs >> 32], h[pairs & 0xFFFFFFFF]
-    g = mix(b * np.uint64(0x9E3779B97F4A7C15) + mix(c))
-    return [g.view(np.int64), b.view(np.int64), c.view(np.int64), np.array(lexicon.costs)[pairs & 0xFFFFFFFF]]
+    def run(batches):
+        lexicon, held, size = Lexicon(known.value, None), [], 0
 
+        def rows():
+            g, n = np.unique(np.concatenate(held), return_counts=True)
+            order, shard, cut = dealt(g, n_shards)
+            keys, seen = np.split(g[order], cut[1:]), np.split(n[order].astype(np.uint32), cut[1:])
+            columns = [pa.array(shard, pa.int32()), pa.array([squeeze_sorted(x) for x in keys], pa.binary()), pa.array([squeeze(x) for x in seen], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["shard", "keys", "seen"])
+
+        for _, some in split_texts(batches, 0):
+            ids, n, *_ = lexicon.sequence(some)
+            if len(lexicon) > HELD:
+                lexicon = Lexicon(known.value, None)
+            held.append(bigrams(ids, n))
+            size += len(ids)
+            if size > 2 * PACK_WORDS:
+                yield rows()
+                held, size = [], 0
+        if size:
+            yield rows()
 
-def text_pairs(lexicon: Lexicon, text: bytes | None) -> tuple[np.ndarray, np.ndarray, int]:
-    """Different bigrams of a text as pairs of numbers, how often they occur, and the length in bytes."""
-    found = words(text)
-    x = np.fromiter(map(lexicon.__getitem__, [BEGIN, *found]), np.int64, len(found) + 1)
-    pairs, n = np.unique(x[:-1] << 32 | x[1:], return_counts=True)
-    return pairs, n, sum(map(len, found)) + len(found)
+    def add_up(table: pa.Table) -> pa.Table:
+        g = np.concatenate([expand_sorted(x, np.uint32) for x in table.column("keys").to_pylist()])
+        n = np.concatenate([expand(x, np.uint32) for x in table.column("seen").to_pylist()])
+        g, at = np.unique(g, return_inverse=True)
+        n = np.minimum(np.bincount(at, n), 0xFFFFFFFF).astype(np.uint32)
+        return pa.table([table.column("shard")[:1], pa.array([squeeze_sorted(g)], pa.binary()), pa.array([squeeze(n)], pa.binary())], names=["shard", "keys", "seen"])
 
+    return texts.select(F.col("text").cast("binary")).mapInArrow(run, COUNTS).groupBy("shard").applyInArrow(add_up, COUNTS)
 
-def occurrences(texts: DataFrame) -> DataFrame:
-    """``key, size, words, n, g, b, c`` of each different bigram of each row of ``texts(key, text)``; no shuffle.
 
-    Bytes and words of a text are on its first row, and 0 on others.
-    """
+def word_counts(counts: DataFrame) -> DataFrame:
+    """For each known word ``w``: how often it is followed, by how many bigrams seen once, twice, three times, four times or more often, and how many words it follows."""
+    names = ("total", "n1", "n2", "n3", "n4", "more", "before")
 
     def run(batches):
-        lexicon, held, size = Lexicon(None), [], 0
+        found = np.zeros((len(names), 1 << 16), np.int64)
+        for batch in batches:
+            for keys, seen in zip(batch.column(0), batch.column(1)):
+                g, n = expand_sorted(keys.as_py(), np.uint32), expand(seen.as_py(), np.uint32).astype(np.int64)
+                b, c = g >> np.uint32(16), g & np.uint32(0xFFFF)
+                found[0] += np.bincount(b, n, 1 << 16).astype(np.int64)
+                for k in range(1, 6):
+                    found[k] += np.bincount(b[n == k if k < 5 else n > 4], minlength=1 << 16)
+                found[6] += np.bincount(c, minlength=1 << 16)
+        some = np.flatnonzero(found.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(some), *map(pa.array, found[:, some])], names=["w", *names])
 
-        def rows():
-            each = [len(p) for *_, p in held]
-            g, b, c, _ = of_pairs(lexicon, np.concatenate([p for *_, p in held]))
-            columns = [np.repeat(np.array([key for key, *_ in held], np.int64), each)]
-            for k in (1, 2):
-                columns.append(np.zeros(sum(each), np.int64))
-                columns[-1][np.cumsum([0, *each[:-1]])] = [row[k] for row in held]
-            columns += [np.concatenate([n for *_, n, _ in held]), g, b, c]
-            return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in columns], names=["key", "size", "words", "n", "g", "b", "c"])
+    rows = counts.select("keys", "seen").mapInArrow(run, ", ".join(f"{c} long" for c in ("w", *names)))
+    return rows.groupBy("w").agg(*[F.sum(c).alias(c) for c in names])
 
-        for batch in batches:
-            for key, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                pairs, n, length = text_pairs(lexicon, x.as_py())
-                if length:
-                    held.append((key, length, n.sum(), n, pairs))
-                    size += len(pairs)
-                if size > HELD:
-                    yield rows()
-                    lexicon, held, size = lexicon if len(lexicon) < HELD else Lexicon(None), [], 0
-        if held:
-            yield rows()
 
-    return texts.select("key", F.col("text").cast("binary")).mapInArrow(run, "key long, size long, words long, n long, g long, b long, c long")
+@dataclass
+class Words:
+    """What the model knows of single words: arrays of 2**16 at most."""
 
+    known: dict[bytes, int]
+    spell: Spelling
+    two: tuple[float, float, float]
+    total: np.ndarray
+    spare: np.ndarray
+    p1: np.ndarray
 
-def distinct_pairs(texts: DataFrame, model) -> DataFrame:
-    """``g, b, c, spell`` of the different bigrams of ``texts``, and how many ``texts`` have them; thinned within each task."""
+    def cost(self, g: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        """Negative log probability of bigrams that the trusted texts hold so often."""
+        b, c = g >> np.uint32(16), g & np.uint32(0xFFFF)
+        less = np.array([0.0, *self.two])[np.clip(seen, 0, 3)]
+        total = self.total[b]
+        return -np.log(np.where(total > 0, np.maximum(seen - less, 0.0) / np.maximum(total, 1) + self.spare[b] * self.p1[c], self.p1[c]))
 
-    def run(batches):
-        lexicon, held, size = Lexicon(spelled(model.value)), [], 0
 
-        def thinned():
-            pairs, at = np.unique(np.concatenate([p for p, _ in held]), return_inverse=True)
-            return pairs, np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
+def known_words(types: DataFrame) -> dict[bytes, int]:
+    got = types.where((F.col("texts") >= LEAST_TEXTS) & (F.octet_length("w") <= WORD_BYTES)).orderBy(F.desc("texts"), "w").limit(VOCABULARY)
+    return {bytes(r.w): k for k, r in enumerate(got.select("w").collect(), FIRST)}  # VOCABULARY rows at most
 
-        def rows():
-            pairs, n = thinned()
-            return pa.RecordBatch.from_arrays([pa.array(v) for v in (*of_pairs(lexicon, pairs), n)], names=["g", "b", "c", "spell", "texts"])
 
-        for batch in batches:
-            for x in batch.column(0):
-                pairs = text_pairs(lexicon, x.as_py())[0]
-                held.append((pairs, np.ones(len(pairs), np.int64)))
-                size += len(pairs)
-                if size > 4 * HELD:
-                    held = [thinned()]
-                    size = len(held[0][0])
-                    if size > 2 * HELD or len(lexicon) > HELD:
-                        yield rows()
-                        lexicon, held, size = Lexicon(spelled(model.value)), [], 0
-        if size:
-            yield rows()
+def single_words(counts: DataFrame, known: dict, spell: Spelling) -> Words:
+    """Kneser-Ney estimation of contexts and single words from the bigram counts."""
+    rows = word_counts(counts).toArrow()  # 2**16 rows at most
+    w, seen = rows["w"].to_numpy(), np.stack([rows[c].to_numpy().astype(float) for c in ("n1", "n2", "n3", "n4")], 1)
+    two = discounts(*seen.sum(0))
+    total, spare = np.zeros(1 << 16), np.ones(1 << 16)
+    followed = rows["total"].to_numpy().astype(float)
+    taken = seen[:, 0] * two[0] + seen[:, 1] * two[1] + (seen[:, 2] + seen[:, 3] + rows["more"].to_numpy()) * two[2]
+    total[w], spare[w] = followed, np.where(followed > 0, taken / np.maximum(followed, 1), 1.0)
+    n = rows["before"].to_numpy()
+    one = discounts(*(float((n == k).sum()) for k in (1, 2, 3, 4)))
+    less = np.array([0.0, *one])[np.clip(n, 0, 3)]
+    p1 = np.full(1 << 16, (less.sum() / n.sum() if n.sum() else 1.0) / (FIRST + len(known)))
+    p1[w] += (n - less) / max(n.sum(), 1)
+    return Words(known, spell, two, total, spare, p1)
 
-    found = texts.select(F.col("text").cast("binary")).mapInArrow(run, PAIR)
-    return found.groupBy("g").agg(*[F.min(x).alias(x) for x in ("b", "c", "spell")], F.sum("texts").alias("texts"))
 
+PACK = "pack long, keys array<long>, n array<long>, size array<long>, spell array<double>, body binary"
 
-def off(n: Column, d: tuple[float, float, float]) -> Column:
-    return F.when(n <= 0, 0.0).when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
 
+def number_packs(docs: DataFrame, words) -> DataFrame:
+    """The texts of ``docs(key, text)`` as numbers of the model's words, in packs of about PACK_WORDS words; no shuffle."""
 
-#: Texts with the same bigram that one shard joins; a bigram that more have is dealt over several.
-HEAVY = 20_000
+    def run(batches):
+        part, seq, model = TaskContext.get().partitionId(), 0, words.value
+        lexicon, held, size = Lexicon(model.known, model.spell), [], 0
+
+        def row():
+            keys = np.concatenate([np.array(k, np.int64) for k, _ in held])
+            ids, n, length, spell = (np.concatenate(x) for x in zip(*(got for _, got in held)))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([part << 32 | seq], pa.int64())]
+                + [pa.array([x], pa.list_(t)) for x, t in ((keys, pa.int64()), (n, pa.int64()), (length, pa.int64()), (spell, pa.float64()))]
+                + [pa.array([squeeze(ids)], pa.binary())],
+                names=["pack", "keys", "n", "size", "spell", "body"],
+            )
+
+        for keys, some in split_texts(batches, 1):
+            got = lexicon.sequence(some)
+            if len(lexicon) > HELD:
+                lexicon = Lexicon(model.known, model.spell)
+            if size and size + len(got[0]) > PACK_WORDS:
+                yield row()
+                seq, held, size = seq + 1, [], 0
+            held.append((keys, got))
+            size += len(got[0])
+        if held:
+            yield row()
 
+    return docs.select("key", F.col("text").cast("binary")).mapInArrow(run, PACK)
 
-def text_costs(docs: DataFrame, good: DataFrame, folder: str) -> DataFrame:
-    """``key, size, cost, own``: what each text costs, and what it costs without its own counts."""
-    model = docs.sparkSession.sparkContext.broadcast(spelling(word_types(good), folder))
-    counts = occurrences(good).groupBy("g").agg(
-        F.min("b").alias("b"), F.min("c").alias("c"), F.sum("n").alias("n"), F.min("key").alias("from"), F.max("key").alias("to")
-    )
-    counts = save(counts, f"{folder}/bigram-counts")
-    two = discounts(counts)
-    alone = F.min("from") == F.max("to")
-    contexts = counts.groupBy("b").agg(F.sum("n").alias("total"), F.sum(off(F.col("n"), two)).alias("taken"), alone.alias("lone_b"))
-    last = save(counts.groupBy("c").agg(F.count(F.lit(1)).alias("n"), alone.alias("lone_c")), f"{folder}/word-counts")
-    one = discounts(last)
-    total, taken = last.agg(F.sum("n"), F.sum(off(F.col("n"), one))).first()
-    spare = taken / total if total else 1.0  # what known words leave to spelling
-    last = last.select("c", ((F.col("n") - off(F.col("n"), one)) / float(total or 1)).alias("known"), "lone_c")
-
-    pairs = distinct_pairs(docs, model).join(counts.select("g", "n"), "g", "left").join(contexts, "b", "left").join(last, "c", "left")
-    spell = F.greatest(F.lit(spare) * F.exp(-F.col("spell")), F.lit(1e-300))
-    p1 = F.coalesce("known", F.lit(0.0)) + spell
-    pairs = save(
-        pairs.select(
-            "g", F.coalesce("n", F.lit(0)).alias("seen"), "total", (F.col("taken") / F.col("total")).alias("spare"), p1.alias("p1"),
-            F.when(F.col("lone_c"), spell).otherwise(p1).alias("own_p1"), "lone_b", "texts",
-        ),
-        f"{folder}/pairs",
-    )
-    rows = occurrences(docs).select("key", "size", "words", "n", "g")
-    heavy = save(pairs.where(F.col("texts") > HEAVY).select("g", F.ceil(F.col("texts") / HEAVY).cast("int").alias("parts")), f"{folder}/heavy")
-    parts = F.coalesce("parts", F.lit(1))
-    left = rows.join(F.broadcast(heavy), "g", "left").withColumn("salt", F.pmod(F.col("key"), parts).cast("int")).drop("parts")
-    right = pairs.drop("texts").join(F.broadcast(heavy), "g", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
 
-    def log_p(seen: Column, first: Column, lone: Column) -> Column:
-        return F.log(F.when(F.col("total").isNull() | lone, first).otherwise(F.greatest(seen - off(seen, two), F.lit(0.0)) / F.col("total") + F.col("spare") * first))
+def text_costs(docs: DataFrame, good: DataFrame, n_shards: int, folder: str) -> DataFrame:
+    """``key, size, cost, own`` of the different texts of ``docs(key, text)``: what each costs, and without its own counts."""
+    context = docs.sparkSession.sparkContext
+    types = save(word_types(good), f"{folder}/types")
+    known = known_words(types)
+    shared = context.broadcast(known)
+    counts = save(bigram_counts(good, shared, n_shards), f"{folder}/bigram-counts", compression="none")
+    shared.destroy()
+    words = context.broadcast(single_words(counts, known, spelling(types, folder)))
+    packs = save(number_packs(docs, words), f"{folder}/packs", compression="none")
 
-    plain = log_p(F.col("seen"), F.col("p1"), F.lit(False))
-    own = log_p(F.col("seen") - F.col("n"), F.col("own_p1"), F.coalesce("lone_b", F.lit(False)))
-    once = F.max("words") / F.sum("n")  # copies of a text have one key
-    sums = left.join(right, ["g", "salt"]).groupBy("key").agg(F.max("size").alias("size"), (F.sum(-F.col("n") * plain) * once).alias("cost"), (F.sum(-F.col("n") * own) * once).alias("own"))
-    return save(sums, f"{folder}/costs")
+    def send(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                if not sum(row["n"]):
+                    continue
+                g = np.unique(bigrams(expand(row["body"], np.uint16), np.array(row["n"], np.int64)))
+                order, shard, cut = dealt(g, n_shards)
+                own = [squeeze_sorted(x) for x in np.split(g[order], cut[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(shard, pa.int32()), pa.array([row["pack"]] * len(cut), pa.int64()), pa.array(own, pa.binary())],
+                    names=["shard", "pack", "keys"],
+                )
+
+    def join(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Counts of the bigrams that packs have sent; unseen ones get no answer."""
+        out = []
+        if right.num_rows:
+            g, n = expand_sorted(right.column("keys")[0].as_py(), np.uint32), expand(right.column("seen")[0].as_py(), np.uint32)
+            for row in left.to_pylist():
+                own = expand_sorted(row["keys"], np.uint32)
+                at = np.minimum(np.searchsorted(g, own), len(g) - 1)
+                hit = g[at] == own
+                if hit.any():
+                    out.append((row["shard"], row["pack"], squeeze_sorted(own[hit]), squeeze(n[at[hit]])))
+        columns = list(zip(*out)) if out else [[], [], [], []]
+        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["shard", "pack", "keys", "seen"])
+
+    sent = packs.select("pack", "n", "body").mapInArrow(send, "shard int, pack long, keys binary")
+    answers = sent.groupBy("shard").cogroup(counts.groupBy("shard")).applyInArrow(join, KEYS)
+
+    def sums(left: pa.Table, right: pa.Table) -> pa.Table:
+        row, model = left.to_pylist()[0], words.value
+        n = np.array(row["n"], np.int64)
+        cost, own = np.array(row["spell"]), np.array(row["spell"])
+        if n.sum():
+            g = bigrams(expand(row["body"], np.uint16), n)
+            keys = np.concatenate([np.zeros(0, np.uint32), *(expand_sorted(x, np.uint32) for x in right.column("keys").to_pylist())])
+            seen = np.concatenate([np.zeros(0, np.uint32), *(expand(x, np.uint32) for x in right.column("seen").to_pylist())]).astype(np.int64)
+            order = np.argsort(keys)
+            keys, seen = np.append(keys[order], np.uint32(0xFFFFFFFF)), np.append(seen[order], 0)
+            # different bigrams of each text, with how often it has them
+            doc = np.repeat(np.arange(len(n)), n).astype(np.uint64)
+            pairs, times = np.unique(doc << np.uint64(32) | g, return_counts=True)
+            doc, g = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            at = np.searchsorted(keys[:-1], g)
+            here = np.where(keys[at] == g, seen[at], 0)
+            cost = cost + np.bincount(doc, times * model.cost(g, here), len(n))
+            own = own + np.bincount(doc, times * model.cost(g, np.maximum(here - times, 0)), len(n))
+        return pa.table(
+            [pa.array(row["keys"], pa.int64()), pa.array(row["size"], pa.int64()), pa.array(cost), pa.array(own)], names=["key", "size", "cost", "own"]
+        )
+
+    costs = packs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(sums, "key long, size long, cost double, own double")
+    costs = save(costs.where("size > 0").dropDuplicates(["key"]), f"{folder}/costs")
+    words.destroy()
+    for name in ("packs", "bigram-counts", "types"):
+        remove(docs.sparkSession, f"{folder}/{name}")
+    return costs
 
 
 @dataclass
@@ -316,21 +445,17 @@ class Classifier:
     scored: DataFrame
     limits: DataFrame
     default: tuple[float, float]
+    small: bool = True
 
-    def scores(self, docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-        """All columns of ``docs`` and ``log_ppl``."""
-        keyed = docs.withColumn("score_key", key_of(text_col))
-        return keyed.join(self.scored.withColumnRenamed("key", "score_key"), "score_key", "left").select(*docs.columns, "log_ppl")
-
-    def judged(self, scored: DataFrame, *, lang_col: str = "lang") -> DataFrame:
-        """``scored`` with ``low``, ``high`` (log perplexity) and ``kept``."""
+    def judged(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with ``score_key`` and ``score_lang``, and ``log_ppl, low, high, kept`` of each; their other columns have to be one struct."""
+        scored = few(self.scored).withColumnRenamed("key", "score_key")
         limits = self.limits.withColumnRenamed("lang", "limit_lang")
-        joined = scored.join(F.broadcast(limits) if self.small else limits, F.col(lang_col).eqNullSafe(F.col("limit_lang")), "left").drop("limit_lang")
+        joined = rows.join(scored, "score_key", "left")
+        joined = joined.join(F.broadcast(limits) if self.small else limits, F.col("score_lang").eqNullSafe(F.col("limit_lang")), "left").drop("limit_lang")
         low, high = F.coalesce("low", F.lit(self.default[0])), F.coalesce("high", F.lit(self.default[1]))
         kept: Column = F.coalesce(F.col("log_ppl").between(low, high), F.lit(False))
-        return joined.withColumns({"low": low, "high": high}).withColumn("kept", kept)
-
-    small: bool = True
+        return joined.withColumn("kept", kept).withColumns({"low": low, "high": high})
 
 
 #: Languages up to which the thresholds are broadcast; beyond, they are joined by shuffling.
@@ -361,9 +486,11 @@ def fit(
         F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), key_of(text_col).alias("key"), F.col(text_col).cast("string").alias("text")
     ).where("text is not null")
     good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    trusted = save(rows.join(good, "doc_id", "left_semi").select("lang", "key", "text"), f"{folder}/trusted")
-    once = save(trusted.dropDuplicates(["key"]), f"{folder}/trusted-once")
-    costs = text_costs(rows, once, folder).join(once.select("key", F.lit(True).alias("trusted")), "key", "left")
+    trusted = save(rows.select("doc_id", "lang", "key").join(good, "doc_id", "left_semi"), f"{folder}/trusted")
+    once = save(trusted.groupBy("key").agg(F.min("doc_id").alias("doc_id")), f"{folder}/trusted-once")
+    texts = rows.select("doc_id", "key", "text").join(few(once), ["key", "doc_id"], "left_semi").select("text")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    costs = text_costs(rows.select("key", "text"), texts, shards(size, HEAVY * WORD_BYTES_MEAN, 64), folder).join(once.select("key", F.lit(True).alias("trusted")), "key", "left")
     costs = save(costs.select("key", "size", F.when(F.col("trusted"), F.col("own")).otherwise(F.col("cost")).alias("cost"), "trusted"), f"{folder}/judged")
     spent, length = costs.where("trusted").agg(F.sum("cost"), F.sum("size")).first()
     prior = PRIOR * spent / length if length else 0.0
@@ -380,22 +507,25 @@ def fit(
     return Classifier(scored, limits, default, limits.count() <= BROADCAST_LANGUAGES)
 
 
+def judged_rows(docs: DataFrame, labels: DataFrame, options: dict) -> DataFrame:
+    text_col, lang_col = options.get("text_col", "text"), options.get("lang_col", "lang")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key_of(text_col).alias("score_key"), F.col(lang_col).cast("string").alias("score_lang"))
+    return fit(docs, labels, **options).judged(rows)
+
+
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """``doc_id, lang, perplexity, low, high, kept`` of each row of ``docs``.
 
     See fit() for the options and for nulls.  Repeated rows are scored alike,
     an empty table gives an empty result, other columns are ignored.
     """
-    id_col, text_col, lang_col = (options.get(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("lang_col", "lang")))
-    judge = fit(docs, labels, **options)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    return judge.judged(judge.scores(rows).drop("text")).select(
-        "doc_id", "lang", F.exp("log_ppl").alias("perplexity"), F.exp("low").alias("low"), F.exp("high").alias("high"), "kept"
+    id_col = options.get("id_col", "doc_id")
+    narrow = [id_col, options.get("lang_col", "lang"), options.get("text_col", "text")]
+    return judged_rows(docs.select(*narrow), labels, options).select(
+        F.col("row")[id_col].alias("doc_id"), F.col("score_lang").alias("lang"), F.exp("log_ppl").alias("perplexity"), F.exp("low").alias("low"), F.exp("high").alias("high"), "kept"
     )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps, with all their columns."""
-    judge = fit(docs, labels, **options)
-    scored = judge.judged(judge.scores(docs, text_col=options.get("text_col", "text")), lang_col=options.get("lang_col", "lang"))
-    return scored.where("kept").select(*docs.columns)
+    """The rows of ``docs`` that the classifier keeps, with all their columns, whatever their names."""
+    return judged_rows(docs, labels, options).where("kept").select("row.*")
