@@ -91,7 +91,7 @@ def expand_sorted(data: bytes, dtype) -> np.ndarray:
     return np.cumsum(expand(data, dtype), dtype=dtype)
 
 
-PACK_SCHEMA = "pack long, ids array<long>, counts array<int>, n_words long, vocab binary, body binary"
+PACK_SCHEMA = "pack long, ids array<long>, counts array<int>, n_words long, vocab binary, body binary, marks binary"
 PACK_WORDS = 600_000
 
 
@@ -104,7 +104,7 @@ class Numbering(dict):
 
 
 def word_packs(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lower: bool = False, pack_words: int = PACK_WORDS
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lower: bool = False, pack_words: int = PACK_WORDS, marks=None
 ) -> DataFrame:
     """Rows of ``docs`` in packs of about ``pack_words`` words.
 
@@ -112,7 +112,8 @@ def word_packs(
     number per word.  A longer text has a pack of its own.  No shuffle: each
     scan task packs what it reads.  A pack id is the task's partition and a
     running number, so write the packs before reading them twice.  Null texts
-    have no words; ``lower`` lower-cases A-Z.
+    have no words; ``lower`` lower-cases A-Z.  ``marks`` makes a number of each
+    distinct word of a list; they are kept beside the words.
     """
 
     def run(batches):
@@ -130,8 +131,9 @@ def word_packs(
                     pa.array([size], pa.int64()),
                     pa.array([press.compress(b" ".join(vocab))], pa.binary()),
                     pa.array([squeeze(body)], pa.binary()),
+                    pa.array([squeeze(marks(list(vocab))) if marks else None], pa.binary()),
                 ],
-                names=["pack", "ids", "counts", "n_words", "vocab", "body"],
+                names=["pack", "ids", "counts", "n_words", "vocab", "body", "marks"],
             )
 
         for batch in batches:
@@ -156,12 +158,12 @@ def word_packs(
 class Pack:
     """One row of word_packs()."""
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, *, vocab: bool = True):
         self.pack, self.ids = row["pack"], row["ids"]
         self.counts = np.asarray(row["counts"], np.int64)
         self.ends = np.cumsum(self.counts)
         self.starts = self.ends - self.counts
-        self.vocab = zstandard.ZstdDecompressor().decompress(row["vocab"]).split(b" ") if row["n_words"] else []
+        self.vocab = zstandard.ZstdDecompressor().decompress(row["vocab"]).split(b" ") if vocab and row["n_words"] else []
         self.words = expand(row["body"], np.uint32) if row["n_words"] else np.zeros(0, np.uint32)
         self.doc = np.repeat(np.arange(len(self.counts)), self.counts)
 
