@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from loomwork.llm import chat, decontaminate, exact_dedup, jaccard_join, mixing, quality, substring_dedup, token_counts, token_files, toxicity
+from loomwork.llm import chat, decontaminate, exact_dedup, fill_middle, jaccard_join, mixing, quality, resample, substring_dedup, token_counts, token_files, top_k, toxicity
 from loomwork.llm.common import scratch
 from loomwork.llm.queries import QUERIES
 from loomwork.llm.sql import ORACLE_SQL
@@ -160,13 +160,16 @@ def all_results(spark, docs, labels):
         "jaccard": jaccard_join.jaccard_join(docs),
         "exact": exact_dedup.exact_dedup(docs),
         "quality": quality.classify(docs, labels),
+        "top_k": top_k.top_k(docs.selectExpr("doc_id as vec_id", "array(n_chars, float(keys)) as embedding", "text", "pack", "notes as block")),
+        "middle": fill_middle.fill_in_middle(docs),
+        "resample": resample.resample(docs, bench),
     }
 
 
 def test_awkward_rows(spark, weird, labels):
     for name, df in all_results(spark, weird, labels).items():
         rows = df.count()
-        if name not in ("chat", "decontaminate"):
+        if name not in ("chat", "decontaminate", "top_k"):
             assert rows == len(TEXTS), name
 
 
