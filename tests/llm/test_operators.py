@@ -160,7 +160,7 @@ def all_results(spark, docs, labels):
         "jaccard": jaccard_join.jaccard_join(docs),
         "exact": exact_dedup.exact_dedup(docs),
         "quality": quality.classify(docs, labels),
-        "top_k": top_k.top_k(docs.selectExpr("doc_id as vec_id", "array(n_chars, float(keys)) as embedding", "text", "pack", "notes as block")),
+        "top_k": top_k.top_k(docs.selectExpr("doc_id as vec_id", "array(float(n_chars), 0.5f) as embedding", "text", "pack", "notes as block")),
         "middle": fill_middle.fill_in_middle(docs),
         "resample": resample.resample(docs, bench),
     }
