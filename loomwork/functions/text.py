@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomwork.functions.secret_patterns import SECRET_PATTERNS
+from loomwork.functions.secret_search import TOO_LONG, mask_secrets, redacted  # noqa: F401
 
 #: Patterns of redaction in the order in which they apply, each with what any match holds.
 SECRETS = (
@@ -33,8 +33,6 @@ def secret_count(text: Column) -> Column:
     return reduce(lambda a, b: a + b, counts)
 
 
-#: Characters (UTF-16 units) beyond which a text is replaced as a whole, and by what.
-MOST_CHARS, TOO_LONG = 10_000_000, "[CONTENT-REDACTED-SIZE-LIMIT]"
 _BOUND = r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"
 
 
@@ -44,34 +42,6 @@ def ascii_bounds(pattern: str) -> str:
     return pattern.replace(r"\b", _BOUND)
 
 
-def redacted(text: Column, path: Column | None = None) -> Column:
-    """Struct of ``text`` after the whole pattern table, ``n`` replaced places and the ``names`` found.
-
-    Each pattern is applied to what the ones before left.  A pattern for certain paths needs a path that matches.
-    """
-    table = F.array(*[
-        F.struct(F.lit(n).alias("name"), F.lit(ascii_bounds(p)).alias("p"), F.lit(c).cast("string").alias("where"))
-        for n, p, c in SECRET_PATTERNS if c is None or path is not None
-    ])
-
-    def step(acc: Column, entry: Column) -> Column:
-        n = F.regexp_count(acc["text"], entry["p"])
-        if path is not None:
-            n = F.when(entry["where"].isNull() | F.coalesce(F.regexp_like(path, entry["where"]), F.lit(False)), n).otherwise(0)
-        done = F.regexp_replace(acc["text"], entry["p"], F.concat(F.lit("[REDACTED-"), entry["name"], F.lit("]")))
-        return F.struct(
-            F.when(n > 0, done).otherwise(acc["text"]).alias("text"),
-            (acc["n"] + F.coalesce(n, F.lit(0))).alias("n"),
-            F.when(n > 0, F.concat(acc["names"], F.array(entry["name"]))).otherwise(acc["names"]).alias("names"),
-        )
-
-    none = F.array().cast("array<string>")
-    out = F.aggregate(table, F.struct(text.alias("text"), F.lit(0).alias("n"), none.alias("names")), step)
-    long = F.octet_length(F.encode(text, "UTF-16BE")) / 2 > MOST_CHARS
-    whole = F.struct(F.lit(TOO_LONG).alias("text"), F.lit(1).alias("n"), F.array(F.lit("content-size-exceeded")).alias("names"))
-    return F.when(long, whole).otherwise(out)
-
-
 def masked(text: Column) -> Column:
     """Every other character, from the first, as a star."""
     return F.regexp_replace(text, r"(?s).(.?)", r"*$1")

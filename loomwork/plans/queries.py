@@ -53,6 +53,7 @@ QUERIES = {
     "redact_secrets": lambda s, d: documents(s, d).select("doc_id", T.redacted(F.col("text")).alias("r")).select(
         "doc_id", F.col("r.n").alias("n_secrets"), F.array_join("r.names", ",").alias("secrets"), F.sha2(F.col("r.text").cast("binary"), 256).alias("redacted_sha256")
     ),
+    "mask_secrets": lambda s, d: documents(s, d).select("doc_id", T.mask_secrets(F.col("text")).alias("m")).select("doc_id", F.sha2(F.col("m").cast("binary"), 256).alias("masked_sha256")),
     "mask": lambda s, d: table(s, d, "customer").select("c_custkey", T.masked(F.col("c_name")).alias("masked")),
     "size_text": lambda s, d: documents(s, d).select("doc_id", T.size_text(F.col("n_chars") * 37).alias("size")),
     "strip_html": lambda s, d: table(s, d, "pages").select("page_id", F.sha2(T.stripped(F.col("html")).cast("binary"), 256).alias("text_sha256")),
@@ -65,6 +66,17 @@ _SECRETS = r"""regexp_replace(regexp_replace(regexp_replace(text, 'token = "[0-9
 #: Documents have no path, so the patterns for certain paths do not apply.
 _PATTERNS = ", ".join("({}, '{}', '{}')".format(k, n, p.replace("'", "''")) for k, (n, p) in enumerate((n, p) for n, p, c in SECRET_PATTERNS if c is None))
 
+def _hits(patterns: list[str]) -> str:
+    """Documents in which any pattern finds something, each pattern as a constant; others are left as they are."""
+    return " union ".join("select doc_id from documents where regexp_matches(text, '{}')".format(p.replace("'", "''")) for p in patterns)
+
+
+_HITS = _hits([p for _, p, c in SECRET_PATTERNS if c is None])
+#: Without regard to case, and for an engine whose repetitions end at 1,000.
+_ANY_CASE = [p.removeprefix("(?i)").replace("(?s:.){0,2000}?", "(?s:.){0,1000}?(?s:.){0,1000}?") for _, p, _ in SECRET_PATTERNS]
+_ANY_CASE_HITS = _hits(["(?i)" + p for p in _ANY_CASE])
+_UNION = "(?i)" + "|".join(f"(?:{p})" for p in _ANY_CASE).replace("'", "''")
+
 ORACLE_SQL = {
     "search_literal": f"with {LINES} select doc_id, line::INT as line, content from lines where regexp_matches(content, '(?i)license')",
     "search_regex": f"with {LINES} select doc_id, line::INT as line, content from lines where regexp_matches(content, '[0-9]{{3}}-[0-9]{{4}}')",
@@ -105,10 +117,22 @@ select node, min(seen) as component from walk group by node""",
     "diversified_top": f"with {FINDINGS}, own as (select *, row_number() over (partition by category order by r, id) as k from ranked) select id, category, severity from own order by k, r, category, id limit 25",
     "baseline_filter": f"with {FINDINGS} select id, category, file, severity from findings f where not exists (select 1 from findings b where b.severity = 'critical' and b.category = f.category and b.file = f.file)",
     "redact": rf"""select doc_id, (len(regexp_extract_all(text, 'token = "[0-9a-f]{{40}}"')) + len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}')) + len(regexp_extract_all(text, '\b[0-9]{{1,3}}\.[0-9]{{1,3}}\.[0-9]{{1,3}}\.[0-9]{{1,3}}\b')))::INT as n_secrets, sha256({_SECRETS}) as redacted_sha256 from documents""",
-    "redact_secrets": f"""with recursive p(k, name, re) as (values {_PATTERNS}), walk as (select doc_id, text, 0 as k, 0 as n, '' as names from documents where length(text) <= 10000000
-union all select doc_id, regexp_replace(text, re, '[REDACTED-' || name || ']', 'g'), walk.k + 1, n + len(regexp_extract_all(text, re))::INT, case when regexp_matches(text, re) then names || ',' || name else names end from walk join p on p.k = walk.k)
+    "redact_secrets": f"""with recursive p(k, name, re) as (values {_PATTERNS}), hit as ({_HITS}), walk as (
+  select doc_id, text, 0 as k, 0 as n, '' as names from documents where length(text) <= 10000000 and doc_id in (select doc_id from hit)
+  union all
+  select doc_id, case when found then regexp_replace(text, re, '[REDACTED-' || name || ']', 'g') else text end, k + 1,
+    n + case when found then len(regexp_extract_all(text, re)) else 0 end::INT, case when found then names || ',' || name else names end
+  from (select walk.*, re, name, regexp_matches(text, re) as found from walk join p on p.k = walk.k))
 select doc_id, n as n_secrets, substr(names, 2) as secrets, sha256(text) as redacted_sha256 from walk where k = (select count(*) from p)
+union all select doc_id, 0, '', sha256(text) from documents where length(text) <= 10000000 and doc_id not in (select doc_id from hit)
 union all select doc_id, 1, 'content-size-exceeded', sha256('[CONTENT-REDACTED-SIZE-LIMIT]') from documents where length(text) > 10000000""",
+    "mask_secrets": f"""with hit as ({_ANY_CASE_HITS}), cut as (
+  select doc_id, regexp_extract_all(text, '{_UNION}') as found, string_split_regex(text, '{_UNION}') as around from documents where doc_id in (select doc_id from hit)
+), masked as (
+  select doc_id, around, list_transform(found, lambda m: array_to_string(list_transform(range(1, length(m) + 1), lambda i: case when i % 2 = 1 then '*' else substr(m, i, 1) end), '')) as stars from cut
+)
+select doc_id, sha256(array_to_string(list_transform(range(1, len(around) + 1), lambda i: around[i] || coalesce(stars[i], '')), '')) as masked_sha256 from masked
+union all select doc_id, sha256(text) from documents where doc_id not in (select doc_id from hit)""",
     "mask": "select c_custkey, array_to_string(list_transform(range(1, length(c_name) + 1), lambda i: case when i % 2 = 1 then '*' else substr(c_name, i, 1) end), '') as masked from customer",
     "size_text": "select doc_id, case when n < 1024 then printf('%.1fB', n::DOUBLE) when n < 1048576 then printf('%.1fKB', floor(n / 1024.0 * 10 + 0.5) / 10) else printf('%.1fMB', floor(n / 1048576.0 * 10 + 0.5) / 10) end as size from (select doc_id, n_chars * 37 as n from documents)",
     "strip_html": r"""select page_id, sha256(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g'))) as text_sha256 from pages""",
