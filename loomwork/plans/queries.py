@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomwork.functions import text as T
 from loomwork.functions.secret_patterns import SECRET_PATTERNS
 from loomwork.operators import graph, report, search, sets
-from loomwork.plans import code_queries, file_queries
+from loomwork.plans import code_queries, file_queries, more_queries
 from loomwork.plans.inputs import DEGREES, EDGES, FINDINGS, FIRST, LINES, REPEATED, documents, findings, first_order, part_graph, repeated, roots
 from loomwork.sources.tables import table
 from loomwork.streaming import sessions
@@ -141,5 +141,5 @@ union all select doc_id, sha256(text) from documents where doc_id not in (select
 i as (select *, sum(new) over (partition by user_id order by ts, event_id) as k from g) select user_id, min(ts) as start, count(*) as n from i group by user_id, k""",
 }
 
-QUERIES |= code_queries.QUERIES | file_queries.QUERIES
-ORACLE_SQL |= code_queries.ORACLE_SQL | file_queries.ORACLE_SQL
+QUERIES |= code_queries.QUERIES | file_queries.QUERIES | more_queries.QUERIES
+ORACLE_SQL |= code_queries.ORACLE_SQL | file_queries.ORACLE_SQL | more_queries.ORACLE_SQL
