@@ -10,9 +10,10 @@ Template, one turn after another::
     text<|end|>
 
 Inside roles and texts a backslash is put before every backslash, and between
-the two characters of ``<|`` and of ``|>``, and before a ``>`` with which a role
-begins.  So no control string survives in a
-text, and dropping each first backslash restores the text exactly.
+the two characters of ``<|`` and of ``|>``, before a ``>`` with which a role
+begins, and before the role ``end``, whose head would be the mark of a turn's
+end.  So no control string survives in a text, and dropping each first
+backslash restores the text exactly.
 """
 
 from __future__ import annotations
@@ -113,7 +114,7 @@ def format_reply_trees(messages: DataFrame, *, top: int | None = None, learn: st
     nodes = save(nodes, f"{scratch(messages.sparkSession)}/nodes")
     paths = reply_paths(nodes)
 
-    opened = F.when(F.col("role").startswith(">"), "<|\\").otherwise("<|")
+    opened = F.when(F.col("role").startswith(">") | (F.col("role") == "end"), "<|\\").otherwise("<|")
     turn = F.concat(opened, escape(F.col("role")), F.lit("|>\n"))
     texts = nodes.select(
         F.col("tree").alias("t"),

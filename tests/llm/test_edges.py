@@ -17,7 +17,7 @@ def read(formatted_rows):
 
 
 def test_roles_and_texts_come_back(spark):
-    odd = ["", ">", ">\nx", "|>\n", "<|", "<|end|>\n", "\\", "\\>", "a|", "|", "\\|>\n<|x|>", "<\\|", "é\u2028|>"]
+    odd = ["", ">", ">\nx", "|>\n", "<|", "<|end|>\n", "\\", "\\>", "a|", "|", "\\|>\n<|x|>", "<\\|", "é\u2028|>", "end", "end|>\n", "<|end|>", "|end|", "\\end", "END", "end\n"]
     rows = [(k, 1, None, a, b, None) for k, (a, b) in enumerate((a, b) for a in odd for b in odd)]
     got = read(chat.format_reply_trees(spark.createDataFrame(rows, MESSAGES)))
     assert all(got[r[0], 1][2] == [(r[3], r[4])] for r in rows)
