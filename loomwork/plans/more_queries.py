@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import code_lines as L
 from loomwork.functions import ignored_paths, pattern_safety
-from loomwork.operators import biconnected, chains, cycles, lookups, rescan, segments, yaml_text
-from loomwork.plans.inputs import EDGES, LINES, documents, findings, part_graph
+from loomwork.functions.paths import TEST_PATHS
+from loomwork.operators import aspects, biconnected, chains, cycles, graph, lookups, rescan, segments, yaml_text
+from loomwork.plans.inputs import DEGREES, EDGES, LINES, documents, findings, part_graph
 from loomwork.sources.tables import lines, table
 
 ID = 1_000_000_000_000
@@ -178,7 +179,49 @@ def _code_matches(s, d):
     return lookups.code_matches(_matches(s, d), repo="src1", prefix="d/1", extension=".txt").select("repo", "path", "line")
 
 
+#: A path made of each part and each user, and a category of each event, in the SQL that both engines read.
+RATED_PATH = """'repo/app/' || case p_partkey % 7 when 0 then 'core/' when 1 then 'src/utils/' when 2 then 'src/tests/' when 3 then 'dist/' when 4 then 'src/deep/er/than/that/' when 5 then 'Shared/' else 'src/' end ||
+ case p_size % 9 when 0 then 'helpers' when 1 then 'main-file' when 2 then 'userProfile' when 3 then 'user_profile' when 4 then 'types' when 5 then 'a' when 6 then 'Read Me' when 7 then 'x' || p_partkey % 40 else 'conf' end ||
+ case p_partkey % 5 when 0 then '.ts' when 1 then '.test.ts' when 2 then '.js' when 3 then '.tsx' else '.min.js' end"""
+FOUND_PATH = "'repo/app/src/' || case user_id % 3 when 0 then 'lib/' when 1 then '' else 'tests/' end || 'u' || user_id || '.ts'"
+FOUND_CATEGORY = "case event_type when 'click' then 'dependency-cycle' when 'view' then 'dead-export' when 'purchase' then 'broker-module' when 'signup' then 'low-assertion-density' else 'test-odd' end"
+FUNCTION_NAME = "case l_linenumber when 1 then '<anonymous>' when 2 then 'fn' when 3 then 'ab' when 4 then '' else 'name' || l_partkey end"
+PILLARS = {"dependency-cycle": "architecture", "broker-module": "architecture", "dead-export": "dead-code", "low-assertion-density": "test-quality"}
+
+
+def _categories(s, d):
+    return findings(s, d).join(table(s, d, "events").select(F.col("event_id").alias("id"), F.expr(FOUND_CATEGORY).alias("own"), F.expr(FOUND_PATH).alias("path")), "id").drop("category").withColumnRenamed("own", "category")
+
+
+def _aspects(s, d):
+    part, items = table(s, d, "part"), table(s, d, "lineitem")
+    path = F.expr(RATED_PATH)
+    files = part.groupBy(path.alias("path")).agg((F.sum("p_size") % 9).alias("imports"), (F.count(F.lit(1)) % 5).alias("exports"))
+    owned = part.select(F.col("p_partkey").alias("l_partkey"), path.alias("path"))
+    functions = items.join(owned, "l_partkey").select("path", F.expr(FUNCTION_NAME).alias("name"), F.col("l_quantity").alias("complexity"))
+    hot = part.select(path.alias("path"), F.col("p_size").alias("risk"))
+    return aspects.aspect_scores(files, functions, _categories(s, d), hot, PILLARS, "medium")
+
+
+def _lenses(s, d):
+    c = aspects.lens(F.col("category"))
+    return _categories(s, d).select("id", "category", c.alias("lens"), aspects.default_confidence(F.col("severity"), c).alias("confidence"))
+
+
+def _signals(s, d):
+    nodes, edges = part_graph(s, d)
+    score = F.floor(3 * F.col("incoming") + 1.2 * F.col("outgoing"))
+    chokepoints = graph.degrees(nodes, edges).select("node", score.alias("score"), F.col("kind").alias("reasons"))
+    clusters = table(s, d, "customer").groupBy(F.col("c_nationkey").alias("component")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("c_custkey") % 3).alias("edges"))
+    packages = graph.rolled_up(edges, table(s, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("grp")))
+    other = _lenses(s, d).groupBy(F.col("category").alias("kind"), "lens").agg(F.count(F.lit(1)).alias("score")).where("lens <> 'graph'")
+    return aspects.strongest_signals(aspects.graph_signals(chokepoints, clusters, packages).unionByName(other.withColumn("title", F.col("kind"))))
+
+
 QUERIES = {
+    "quality_aspects": _aspects,
+    "finding_lenses": _lenses,
+    "strongest_signals": _signals,
     "dependency_cycles": lambda s, d: _cycles(s, d).select(cycles.cycle_text(F.col("cycle")).alias("cycle"), "node_count"),
     "cycle_findings": lambda s, d: cycles.cycle_findings(_cycles(s, d), _edge_lines(s, d)),
     "critical_paths": lambda s, d: _critical(s, d).select("start", F.concat_ws(">", F.col("path").cast("array<string>")).alias("path"), "score"),
@@ -206,7 +249,55 @@ top as (select * from supply order by score desc, start limit 12)"""
 _RE = {k: v.replace("'", "''") for k, v in (("paths", ignored_paths.union(ignored_paths.SECRET_PATHS)), ("files", ignored_paths.union(ignored_paths.SECRET_FILES)))}
 _LISTS = {k: "[" + ", ".join(f"'{x}'" for x in v) + "]" for k, v in (("folders", ignored_paths.DULL_FOLDERS), ("names", ignored_paths.DULL_NAMES), ("endings", ignored_paths.DULL_ENDINGS))}
 
+_NOT_RATED = "regexp_matches(path, '" + "|".join(TEST_PATHS).replace("'", "''") + "') or regexp_matches(lower(path), '" + aspects.GENERATED + "')"
+_PRESS = "case severity when 'critical' then 1.0 when 'high' then 0.75 when 'medium' then 0.45 when 'low' then 0.2 else 0.05 end"
+_FOUND = f"""found as (select event_id as id, {FOUND_CATEGORY} as category, {FOUND_PATH} as path,
+  case when value >= 90 then 'critical' when value >= 60 then 'high' when value >= 30 then 'medium' when value >= 10 then 'low' else 'info' end as severity from events)"""
+_LENS = "case category when 'dependency-cycle' then 'graph' when 'broker-module' then 'graph' when 'test-odd' then 'hybrid' else 'ast' end"
+
+
+def _penalty(ratio: str, most: int, sensitivity: float) -> str:
+    return f"case when {ratio} > 0 then floor({most} * (1 - exp(-({ratio}) * {sensitivity})) + 0.5) else 0 end"
+
+
+def _score(*penalties: tuple[str, int, float], extra: int = 0) -> str:
+    return f"greatest(0, least(100, {100 + extra} - ({' + '.join(_penalty(*p) for p in penalties)})))::BIGINT"
+
+
 ORACLE_SQL = {
+    "quality_aspects": rf"""with {_FOUND}, f as (select *, {_PRESS} as w, {_PRESS} * case category when 'broker-module' then 0.55 when 'dead-export' then 0.65 else 1.0 end as p from found where not ({_NOT_RATED})),
+own as (select {RATED_PATH} as path, * from part), files as (select path, sum(p_size) % 9 as imports, count(*) % 5 as exports from own where not ({_NOT_RATED}) group by path),
+hot as (select p_size as risk from own where not ({_NOT_RATED}) order by 1 desc limit 8),
+fns as (select {FUNCTION_NAME} as name, l_quantity as complexity from lineitem join own on l_partkey = p_partkey where not ({_NOT_RATED})),
+universe as (select path from files union select path from f), named as (select path, string_split(path, '/') as parts, regexp_replace(list_last(string_split(path, '/')), '(.)\.[^.]*$', '\1') as base from universe),
+-- all paths begin with the same two folders and with no more
+places as (select path, base, parts[3:] as parts, case when regexp_matches(base, '^[a-z0-9]+(-[a-z0-9]+)+$') then 'kebab' when regexp_matches(base, '^[a-z0-9]+(_[a-z0-9]+)+$') then 'snake' when regexp_matches(base, '^[a-z]+([A-Z][a-z0-9]*)+$') then 'camel' when regexp_matches(base, '^[a-z0-9]+$') then 'flat' else 'other' end as style from named),
+folders as (select distinct unnest(parts[:-2]) as folder from places),
+shared as (select * from files where regexp_matches(path, '{aspects.SHARED_PATH}')), on_shared as (select * from f where path in (select path from shared)),
+m as (select (select count(*) from universe)::DOUBLE as files, (select sum(p) from f where category in ('dependency-cycle', 'broker-module')) as arch, (select sum(p) from f where category in ('dependency-cycle', 'broker-module') and severity in ('critical', 'high')) as arch_severe,
+  (select sum(p) from f where category = 'dependency-cycle') as cycles, (select count(*) from f where category in ('dependency-cycle', 'broker-module')) as n_arch, (select sum(p) from f where category in ('dead-export', 'low-assertion-density')) as upkeep,
+  (select count(*) from f where category in ('dead-export', 'low-assertion-density')) as n_upkeep, (select sum(w) from f where severity in ('critical', 'high')) as severe, (select sum(p) from f where category = 'low-assertion-density') as debt,
+  (select avg(risk) from hot) as heat, (select count(*) from places where regexp_matches(base, '{aspects.GENERIC_FILE}')) as generic_files, (select count(*) from universe where regexp_matches(path, '(?i)\.(ts|tsx)$')) as ts, (select count(*) from universe where regexp_matches(path, '(?i)\.(js|jsx|mjs|cjs)$')) as js,
+  (select avg(len(parts)) from places) as depth, (select max(n) from (select count(*) as n from places group by parts[1])) as largest_top, (select count(*) from folders) as folders, (select count(*) from folders where regexp_matches(folder, '{aspects.VAGUE_FOLDER}')) as vague,
+  (select count(*) from fns) as functions, (select count(*) from fns where name = '<anonymous>') as unnamed, (select count(*) from fns where name not in ('<anonymous>', '')) as named, (select count(*) from fns where regexp_matches(name, '{aspects.GENERIC_NAME}')) as generic,
+  (select count(*) from fns where name <> '' and length(name) <= 2) as short, (select avg(complexity) from fns) as complexity, (select count(*) from shared) as shared, (select avg(imports / (exports + 1)) from shared) as imports,
+  (select count(*) from on_shared) as on_shared, (select count(*) from on_shared where severity in ('critical', 'high')) as severe_on_shared, (select max(n) from (select count(*) as n from places group by style)) as largest_style),
+each as (select unnest([{{'aspect': 'architecture-structure', 'weight': 30, 'score': {_score(("arch / files", 24, 1.35), ("arch_severe / files", 22, 1.9), ("cycles / files", 16, 2.2), ("least(1, heat / 100)", 12, 1.3), extra=1)}, 'sample': n_arch}},
+  {{'aspect': 'folder-topology', 'weight': 15, 'score': {_score(("(depth - 4) / 3", 20, 1.3), ("largest_top / files - 0.55", 18, 2.0), ("vague / folders", 24, 2.2))}, 'sample': files}},
+  {{'aspect': 'naming-quality', 'weight': 15, 'score': {_score(("unnamed / functions", 30, 2.3), ("generic / named", 24, 2.0), ("generic_files / files", 15, 1.8), ("short / named", 10, 1.8))}, 'sample': functions}},
+  {{'aspect': 'common-layer-health', 'weight': 15, 'score': {_score(("on_shared / shared", 24, 1.6), ("severe_on_shared / shared", 28, 2.2), ("imports", 18, 1.5))}, 'sample': shared}},
+  {{'aspect': 'maintainability-evolvability', 'weight': 15, 'score': {_score(("upkeep / files", 20, 1.3), ("severe / files", 22, 1.8), ("(complexity - 8) / 12", 22, 1.4), ("debt / files", 12, 1.5))}, 'sample': n_upkeep}},
+  {{'aspect': 'codebase-consistency', 'weight': 10, 'score': {_score(("1 - largest_style / files", 24, 2.0), ("least(ts, js) / files * 2", 12, 1.6), ("generic_files / files", 10, 1.6))}, 'sample': files}}], recursive := true) from m),
+graded as (select aspect, weight, score, case when sample >= 25 then 'high' when sample >= 8 then 'medium' else 'low' end as confidence from each
+  union all select 'overall', sum(weight), floor(sum(score * weight) / sum(weight) + 0.5)::BIGINT, null from each)
+select aspect, weight::INT as weight, score, case when score >= 80 then 'A' when score >= 60 then 'B' when score >= 40 then 'C' when score >= 20 then 'D' else 'F' end as grade, confidence from graded""",
+    "finding_lenses": f"with {_FOUND} select id, category, {_LENS} as lens, case when severity = 'critical' then 'high' when {_LENS} <> 'ast' then 'medium' else 'low' end as confidence from found",
+    "strongest_signals": f"""with {DEGREES}, {_FOUND}, choke as (select 'structural-chokepoint' as kind, 'graph' as lens, floor(3 * incoming + 1.2 * outgoing)::BIGINT as score, node || ': ' || case when outgoing > 0 and incoming > 0 then 'inner' when outgoing > 0 then 'root' when incoming > 0 then 'leaf' else 'orphan' end as title from degrees order by score desc, node limit 1),
+cycle as (select 'cycle-cluster' as kind, 'graph' as lens, (count(*) * 6 + sum(c_custkey % 3))::BIGINT as score, c_nationkey || ': ' || count(*) || ' files' as title from customer group by c_nationkey order by count(*) desc, c_nationkey limit 1),
+chatter as (select 'package-chatter' as kind, 'graph' as lens, (count(*) * 4)::BIGINT as score, s.p_brand || ' and ' || t.p_brand as title from edges join part s on s.p_partkey = src join part t on t.p_partkey = dst where s.p_brand <> t.p_brand group by s.p_brand, t.p_brand order by count(*) desc, s.p_brand, t.p_brand limit 1),
+other as (select category as kind, {_LENS} as lens, count(*)::BIGINT as score, category as title from found group by category),
+signals as (select * from choke union all select * from cycle union all select * from chatter union all select * from other where lens <> 'graph'), ranked as (select * from signals union all select kind, 'combined', score, title from signals)
+select lens, kind, score, title from ranked qualify row_number() over (partition by lens order by score desc, kind, title) = 1""",
     "dependency_cycles": f"""with recursive {EDGES}, walk as (select distinct src as start, src as last, [src] as path from edges
   union all select start, dst, list_append(path, dst) from walk join edges on src = last where dst > start and not list_contains(path, dst) and len(path) < 3)
 select array_to_string(list_append(path, start), ' -> ') as cycle, len(path)::INT as node_count from walk join edges e on e.src = last and e.dst = start""",
