@@ -9,7 +9,9 @@ points.  Rounds are as many as the forest is deep.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.operators import graph
@@ -57,7 +59,7 @@ def blocks(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     # tree edges have even names, cycles odd ones; what shares a cycle is one block
     links = graph.written(marks.select((F.col("node") * 2).alias("src"), (F.col("k") * 2 + 1).alias("dst")), folder)
     names = links.select(F.col("src").alias("node")).union(links.select("dst")).distinct()
-    named = graph.components(names, links).where("node % 2 = 0").select((F.col("node") / 2).cast("long").alias("node"), F.col("component").alias("block"))
+    named = graph.components(names, links).where("node % 2 = 0").select(F.shiftright("node", 1).alias("node"), F.col("component").alias("block"))
     return tree.where("parent is not null").select("node", "parent").join(named, "node", "left"), tree
 
 
@@ -76,7 +78,12 @@ def articulation_points(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def chokepoints(files: DataFrame, edges: DataFrame, most: int = 40) -> DataFrame:
-    """``files(node, criticality)``: ``node, score, reasons``: the ``most`` files that much hangs on.
+    """``node, score, reasons`` of chokepoint_rows()."""
+    return chokepoint_rows(files, edges, most).select("node", "score", "reasons")
+
+
+def chokepoint_rows(files: DataFrame, edges: DataFrame, most: int = 40) -> DataFrame:
+    """``files(node, criticality)``: the ``most`` files that much hangs on: ``node, score, reasons, incoming, outgoing, cut, bridges``.
 
     score = 3 dependants + 1.2 dependencies + criticality / 10 + 12 for an
     articulation point + 4 a bridge + 6 in a cycle, rounded half up.  A file
@@ -95,4 +102,37 @@ def chokepoints(files: DataFrame, edges: DataFrame, most: int = 40) -> DataFrame
     score = F.floor(3 * F.col("incoming") + 1.2 * F.col("outgoing") + F.col("criticality") / 10 + 12 * F.col("cut") + 4 * F.col("bridges") + 6 * F.col("cycles") + 0.5)
     tests = (("incoming", 8, "fan-in"), ("outgoing", 6, "fan-out"), ("cut", 1, "articulation"), ("bridges", 1, "bridges"), ("cycles", 1, "cycle"), ("criticality", 20, "complexity"))
     reasons = F.concat_ws(",", *[F.when(F.col(c) >= least, name) for c, least, name in tests])
-    return rows.select("node", score.cast("long").alias("score"), reasons.alias("reasons")).where("reasons <> ''").orderBy(F.desc("score"), "node").limit(most)
+    shown = rows.select("node", score.cast("long").alias("score"), reasons.alias("reasons"), "incoming", "outgoing", "cut", "bridges")
+    return shown.where("reasons <> ''").orderBy(F.desc("score"), "node").limit(most)
+
+
+def graph_findings(points: DataFrame, clusters: DataFrame, chatter: DataFrame, effects: DataFrame) -> DataFrame:
+    """``category, severity, file, detail`` of what a graph's shape says, from short ranked lists.
+
+    ``points`` is chokepoint_rows(); ``clusters(component, n)`` has groups of
+    files in cycles, ``chatter(src_group, dst_group, weight)`` edges between
+    packages, ``effects(node)`` files that do something when they are imported.
+    Brokers are among the first eight points, and so are bridges among the cut
+    points; six clusters of three files and five pairs of packages with four
+    edges at least.
+    """
+    text = lambda c: F.col(c).cast("string")
+
+    def rows(df: DataFrame, category: str, high: Column, file: Column, detail: Column) -> DataFrame:
+        severity = F.when(high, "high").otherwise("medium")
+        return df.select(F.lit(category).alias("category"), severity.alias("severity"), file.alias("file"), detail.alias("detail"))
+
+    ranked = points.orderBy(F.desc("score"), "node")
+    busy = ranked.limit(8).where("incoming >= 3 and outgoing >= 3 and score >= 18")
+    cuts = ranked.where("cut = 1").limit(8)
+    hubs = points.join(effects.select("node").distinct(), "node", "left_semi").where("incoming >= 8 and score >= 18")
+    rings = clusters.where("n >= 3").orderBy(F.desc("n"), "component").limit(6)
+    talks = chatter.where("weight >= 4").orderBy(F.desc("weight"), "src_group", "dst_group").limit(5)
+    parts = [
+        rows(rings, "cycle-cluster", F.col("n") >= 5, text("component"), F.concat(text("n"), F.lit(" files"))),
+        rows(busy, "broker-module", (F.col("cut") == 1) | (F.col("score") >= 30), text("node"), F.col("reasons")),
+        rows(cuts, "bridge-module", F.col("bridges") >= 2, text("node"), F.concat(text("bridges"), F.lit(" bridge edges"))),
+        rows(talks, "package-boundary-chatter", F.col("weight") >= 8, text("src_group"), F.concat(text("dst_group"), F.lit(": "), text("weight"), F.lit(" edges"))),
+        rows(hubs, "startup-risk-hub", F.col("score") >= 30, text("node"), F.concat(text("incoming"), F.lit(" dependants"))),
+    ]
+    return reduce(DataFrame.unionByName, parts)

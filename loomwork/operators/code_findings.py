@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.functions import paths as P
-from loomwork.operators import graph
+from loomwork.operators import graph, merges
 
 
 def split_degrees(files: DataFrame, edges: DataFrame) -> DataFrame:
@@ -114,17 +114,19 @@ def re_exports(passed: DataFrame, uses: DataFrame, own: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def similar_bodies(bodies: DataFrame, measures: tuple[str, ...], least: float = 0.85, most_bucket: int = 50) -> DataFrame:
+def similar_bodies(bodies: DataFrame, measures: tuple[str, ...], least: float = 0.85, most_bucket: int | None = 50) -> DataFrame:
     """``bodies(id, kind, hash, statements, ...)``: pairs ``a, b, similarity, severity`` of alike bodies in one bucket.
 
     A bucket holds bodies of one kind and about as many statements; one with
-    more than ``most_bucket`` bodies is left out, which bounds the pairs.  The
+    more than ``most_bucket`` bodies is left out, which bounds the pairs but
+    leaves nothing of large tables; None keeps all, and pairs are then as many
+    as alike bodies have.  The
     similarity is the mean over ``measures`` of one less their difference as a
     share of the larger, 1 at least.
     """
     bucket = F.floor(F.col("statements") / 3 + 0.5)
     rows = bodies.withColumn("bucket", bucket)
-    fit = rows.groupBy("kind", "bucket").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= 2) & (F.col("n") <= most_bucket)).select("kind", "bucket")
+    fit = rows.groupBy("kind", "bucket").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= 2) & ((F.col("n") <= most_bucket) if most_bucket is not None else F.lit(True))).select("kind", "bucket")
     rows = rows.join(fit, ["kind", "bucket"])
     columns = dict.fromkeys(("id", "hash", "statements", *measures))
     a = rows.select("kind", "bucket", *[F.col(c).alias(f"{c}_a") for c in columns])
@@ -210,29 +212,5 @@ def pillar_scores(findings: DataFrame, total_files: int) -> DataFrame:
 
 
 def merged_sets(chains: DataFrame, least: float = 0.8) -> DataFrame:
-    """``chains(place, head, members)``: a chain joins the first one before it that it resembles, which grows by its members.
-
-    Returns ``place, heads, members`` of what stays.  The order of the chains
-    decides, so all are handled in one task: chains are a short ranked list,
-    which the caller has to bound.
-    """
-    import pandas as pd
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[int, list, list]] = []
-        todo = [(int(p), h, list(dict.fromkeys(m))) for p, h, m in rows.sort_values("place")[["place", "head", "members"]].itertuples(index=False)]
-        while todo:
-            place, head, members = todo.pop(0)
-            heads, later = [head], []
-            for other in todo:
-                both = set(members) & set(other[2])
-                if len(both) >= least * len(set(members) | set(other[2])) and (members or other[2]):
-                    heads.append(other[1])
-                    members = list(dict.fromkeys([*members, *other[2]]))
-                else:
-                    later.append(other)
-            todo = later
-            kept.append((place, heads, sorted(members)))
-        return pd.DataFrame(kept, columns=["place", "heads", "members"])
-
-    return chains.groupBy().applyInPandas(run, "place long, heads array<string>, members array<string>")
+    """``place, heads, members`` of chains merged in order of their place; see merges.merged_chains()."""
+    return merges.merged_chains(chains, least)

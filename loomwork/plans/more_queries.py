@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from loomwork.functions import code_lines as L
 from loomwork.functions import ignored_paths, pattern_safety
 from loomwork.functions.paths import TEST_PATHS
-from loomwork.operators import aspects, biconnected, chains, cycles, graph, lookups, rescan, segments, yaml_text
-from loomwork.plans.inputs import DEGREES, EDGES, LINES, documents, findings, part_graph
+from loomwork.operators import aspects, biconnected, chains, cohesion, cycles, graph, lookups, markdown, merges, rescan, segments, yaml_text
+from loomwork.plans.inputs import DEGREES, EDGES, FINDINGS, LINES, documents, findings, part_graph
 from loomwork.sources.tables import lines, table
 
 ID = 1_000_000_000_000
@@ -218,7 +218,34 @@ def _signals(s, d):
     return aspects.strongest_signals(aspects.graph_signals(chokepoints, clusters, packages).unionByName(other.withColumn("title", F.col("kind"))))
 
 
+def _cohesion(s, d):
+    t = table(s, d, "lineitem")
+    return cohesion.low_cohesion(
+        t.select(F.col("l_partkey").alias("module"), F.col("l_suppkey").alias("name")).where("name % 7 <> 0").distinct(),
+        t.select((F.col("l_orderkey") % 50).alias("consumer"), F.col("l_partkey").alias("module"), F.col("l_suppkey").alias("name")),
+    )
+
+
+def _graph_findings(s, d):
+    nodes, edges = part_graph(s, d)
+    part = table(s, d, "part")
+    points = biconnected.chokepoint_rows(part.select(F.col("p_partkey").alias("node"), F.col("p_size").alias("criticality")), edges)
+    strong = graph.strong_components(nodes, edges).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    packages = graph.rolled_up(edges, part.select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("grp")))
+    return biconnected.graph_findings(points, strong, packages, part.where("p_size % 4 = 0").select(F.col("p_partkey").alias("node")))
+
+
+def _merged(s, d):
+    """Documents by their lines, in order of their ids."""
+    docs = documents(s, d).select(F.col("doc_id").alias("place"), F.col("doc_id").cast("string").alias("head"), F.split("text", "\n").alias("members"))
+    return merges.merged_chains(docs, 0.8).select("place", F.concat_ws(",", "heads").alias("heads"), F.size("members").alias("members"))
+
+
 QUERIES = {
+    "low_cohesion": _cohesion,
+    "graph_findings": _graph_findings,
+    "merged_documents": _merged,
+    "markdown_report": lambda s, d: markdown.summary(findings(s, d), 1000),
     "quality_aspects": _aspects,
     "finding_lenses": _lenses,
     "strongest_signals": _signals,
@@ -264,7 +291,27 @@ def _score(*penalties: tuple[str, int, float], extra: int = 0) -> str:
     return f"greatest(0, least(100, {100 + extra} - ({' + '.join(_penalty(*p) for p in penalties)})))::BIGINT"
 
 
+_PLACES = "['critical', 'high', 'medium', 'low', 'info']"
+_TOPS = (("Severity", "Severity | Findings"), ("Categories", "Category | Findings | Files"), ("Top findings", "# | Severity | Category | File"))
+_FIXED = " union all ".join(
+    f"select {n}, unnest([-4, -3, -2, -1]), unnest(['## {title}', '', '| {heads} |', '|{' --- |' * (heads.count('|') + 1)}'])" for n, (title, heads) in enumerate(_TOPS, 1)
+)
+
 ORACLE_SQL = {
+    "low_cohesion": """with recursive e as (select distinct l_partkey as module, l_suppkey as name from lineitem where l_suppkey % 7 <> 0), large as (select module from e group by 1 having count(*) >= 3),
+used as (select distinct l_orderkey % 50 as consumer, module, name from lineitem join e on module = l_partkey and name = l_suppkey where module in (select module from large)),
+links as (select distinct a.module, a.name as x, b.name as y from used a join used b on a.module = b.module and a.consumer = b.consumer),
+walk as (select module, x as name, y as seen from links union select w.module, w.name, l.y from walk w join links l on l.module = w.module and l.x = w.seen),
+groups as (select module, name, min(seen) as g from walk group by 1, 2)
+select module, count(*) as symbols, count(distinct g) as groups, case when count(distinct g) >= 4 then 'high' else 'medium' end as severity from groups group by module having count(*) >= 2 and count(distinct g) > 1""",
+    "markdown_report": f"""with {FINDINGS}, score as (select least(floor(100 / (1 + sum([25, 10, 3, 1, 0][r + 1]) / 1000 / 10) + 0.5), case min(r) when 0 then 95 when 1 then 98 else 99 end)::BIGINT as score from ranked),
+levels as (select unnest({_PLACES}) as severity, unnest([1, 2, 3, 4, 5]) as place), turns as (select *, row_number() over (partition by category order by r, id) as turn from ranked),
+top as (select *, row_number() over (order by turn, r, category, id) as k from turns qualify k <= 20), lines(section, place, line) as ({_FIXED}
+  union all select 0, 0, '# Scan summary' union all select 0, 1, '' union all select 0, 2, 'Health: ' || score || '/100' from score
+  union all select 1, place, '| ' || severity || ' | ' || (select count(*) from findings f where f.severity = levels.severity) || ' |' from levels
+  union all select 2, row_number() over (order by count(*) desc, category), '| ' || category || ' | ' || count(*) || ' | ' || count(distinct file) || ' |' from findings group by category
+  union all select 3, k, '| ' || k || ' | ' || severity || ' | ' || category || ' | ' || file || ' |' from top)
+select section::INT as section, place::BIGINT as place, line from lines""",
     "quality_aspects": rf"""with {_FOUND}, f as (select *, {_PRESS} as w, {_PRESS} * case category when 'broker-module' then 0.55 when 'dead-export' then 0.65 else 1.0 end as p from found where not ({_NOT_RATED})),
 own as (select {RATED_PATH} as path, * from part), files as (select path, sum(p_size) % 9 as imports, count(*) % 5 as exports from own where not ({_NOT_RATED}) group by path),
 hot as (select p_size as risk from own where not ({_NOT_RATED}) order by 1 desc limit 8),
