@@ -45,7 +45,8 @@ REPORTS = frozenset(
 INSULTS = frozenset("idiot idiots moron morons imbecile cretin dummkopf trottel blödmann crétin imbécile débile estúpido imbécil cretino".split())
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
-CLAUSE_END = 8
+#: Marks beside a word's class: a clause ends behind it; it ends unless it reports, so that what is said belongs to it; a quotation begins with it.
+CLAUSE_END, REPORT_END, OPENING = 8, 16, 32
 #: Kinds of match; the features of a document are log(1 + number) of each, and of all matches a hundred words.
 KINDS = ("insult", "targeted insult", "threat", "targeted threat", "negated", "reported")
 #: Words over which a negation or a target reaches.
@@ -59,6 +60,7 @@ BEGINNINGS, MOST_ENTRIES = (4, 5, 6), 5_000
 #: Weights where labels of both kinds are missing: bias, then KINDS, then density.
 DEFAULT = (-3.0, 1.5, 2.5, 1.5, 2.5, -0.5, -0.5, 0.5)
 
+OPENINGS = "\"'«“„"
 PUNCTUATION = ".,;:!?\"'()[]{}|*#-«»“”„…¡¿"
 
 
@@ -76,7 +78,7 @@ class Words(dict):
             code = INSULT
         else:
             code = next((k for k, own in ((THREAT, THREATS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (TARGET, TARGETS)) if word in own), OTHER)
-        self[raw] = code = code | (CLAUSE_END if raw[-1] in ".,;:!?…" else 0)
+        self[raw] = code = code | (CLAUSE_END if raw[-1] in ".,;!?…" else REPORT_END if raw[-1] == ":" else 0) | OPENING * (raw[0] in OPENINGS)
         return code
 
 
@@ -145,32 +147,47 @@ TARGET_MACHINE = within_reach(TARGET, {INSULT: AIMED_INSULT, THREAT: AIMED_THREA
 CLAUSE_MACHINE = compose(compose(NEGATION_MACHINE, REPORT_MACHINE), TARGET_MACHINE)
 
 
-def matches(codes: list[int]) -> Counter:
+def clause_numbers(codes: np.ndarray) -> np.ndarray:
+    """The number of each word's clause.
+
+    A clause ends behind a mark.  One with a verb of saying goes on behind a
+    colon, and behind a comma or other mark before a quotation.
+    """
+    ends = (codes & (CLAUSE_END | REPORT_END)) > 0
+    if (codes & 7 == REPORT).any():
+        begin = 0
+        for k in np.flatnonzero(ends).tolist():
+            goes_on = codes[k] & REPORT_END or (k + 1 < len(codes) and codes[k + 1] & OPENING)
+            if goes_on and (codes[begin : k + 1] & 7 == REPORT).any():
+                ends[k] = False
+            else:
+                begin = k + 1
+    return np.concatenate(([0], np.cumsum(ends)[:-1])) if len(codes) else np.zeros(0, np.int64)
+
+
+def matches(codes) -> Counter:
     """Kinds of match in a document, clause by clause."""
+    codes = np.asarray(codes, np.uint8)
     found: Counter = Counter()
-    clause: list[int] = []
-    for k, code in enumerate(codes):
-        clause.append(code & 7)
-        if code & CLAUSE_END or k == len(codes) - 1:
-            state = TARGET_MACHINE.start
-            for symbol in reversed(CLAUSE_MACHINE.run(clause)):
-                state, _, made = TARGET_MACHINE.step(state, symbol)
-                if made is not None:
-                    found[made] += 1
-            clause = []
+    symbols, number = codes & 7, clause_numbers(codes)
+    hits = np.unique(number[(symbols == INSULT) | (symbols == THREAT)])  # only clauses with an insult or threat are run
+    for a, b in zip(np.searchsorted(number, hits), np.searchsorted(number, hits, side="right")):
+        state = TARGET_MACHINE.start
+        for symbol in reversed(CLAUSE_MACHINE.run(symbols[a:b].tolist())):
+            state, _, made = TARGET_MACHINE.step(state, symbol)
+            if made is not None:
+                found[made] += 1
     return found
 
 
 def features(text: str | None, words: Words) -> list[float]:
     raw = (text or "").lower().split()
     codes = np.fromiter(map(words.__getitem__, raw), np.uint8, len(raw))
-    hits = np.flatnonzero((codes & 7 == INSULT) | (codes & 7 == THREAT))
-    if not len(hits):
+    hits = np.count_nonzero((codes & 7 == INSULT) | (codes & 7 == THREAT))
+    if not hits:
         return [0.0] * (len(KINDS) + 1)
-    # only clauses with an insult or threat are run
-    clause = np.concatenate(([0], np.cumsum(codes >= CLAUSE_END)[:-1]))
-    found = matches(codes[np.isin(clause, clause[hits])].tolist())
-    return [*(float(np.log1p(found[k])) for k in range(len(KINDS))), float(np.log1p(100 * len(hits) / len(raw)))]
+    found = matches(codes)
+    return [*(float(np.log1p(found[k])) for k in range(len(KINDS))), float(np.log1p(100 * hits / len(raw)))]
 
 
 @dataclass

@@ -22,7 +22,8 @@ def test_clauses():
     kinds = {
         "an idiot": {0: 1}, "you are an idiot": {1: 1}, "idiot that you are": {1: 1}, "idiot one two three four you": {0: 1}, "kill": {2: 1}, "i will kill you": {3: 1},
         "you are not an idiot": {4: 1}, "not one two three idiot": {0: 1}, "she said you are an idiot": {5: 1}, "he said. idiot": {0: 1}, "you, idiot": {0: 1}, "said not an idiot": {5: 1}, "the tree": {},
-        "du idiot, idiot": {1: 1, 0: 1},
+        "du idiot, idiot": {1: 1, 0: 1}, "he said: you idiot": {5: 1}, 'he said, "you idiot" and left': {5: 1}, 'he said. "you idiot"': {5: 1}, "note: you idiot": {1: 1}, "he said: you idiot. you idiot": {5: 1, 1: 1},
+        "you idiot, he said": {1: 1}, "": {}, ": : idiot": {0: 1},
     }
     for text, want in kinds.items():
         got = T.matches([words[w] for w in text.split()])
