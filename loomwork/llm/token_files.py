@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import array
 import itertools
+import json
 import re
 import uuid
 import zlib
@@ -38,6 +39,29 @@ SIMPLE = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*")
 CUT = re.compile("'(?:[stmd]|re|ve|ll)|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
 
 
+#: What a tokenizer file says where WordIds can cut texts itself; others are encoded whole by the library.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def cuts_as_here(path: str) -> bool:
+    """Whether a tokenizer file normalises and cuts as WordIds does, and its added tokens hold what sends a word to the library."""
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    plain = not said["model"].get("dropout") and said["model"]["type"] == "BPE" and not said.get("truncation") and not said.get("padding")
+    added = all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in said["added_tokens"])
+    return plain and added and said["normalizer"] == NORMALIZER and said["pre_tokenizer"] == PRE_TOKENIZER
+
+
 class WordIds(dict):
     """Ids of words in lower case as bytes; the merges see each piece of a word once per worker.
 
@@ -49,13 +73,18 @@ class WordIds(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.by_words = Tokenizer.from_file(path), cuts_as_here(path)
         self.split = self.tokenizer.model.tokenize
         printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
         odd = itertools.count(256)
         self.names = [chr(b) if b in printable else chr(next(odd)) for b in range(256)]
 
+    def whole(self, text: str) -> bytes:
+        return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
     def of_text(self, text: str) -> bytes:
+        if not self.by_words:
+            return self.whole(text)
         if SIMPLE.fullmatch(text) and "<|" not in text:
             return b"".join(map(self.__getitem__, text.lower().split()))
         return b"".join(map(self.of_word, text.encode().split()))  # bytes: exactly the six characters part words
@@ -64,7 +93,7 @@ class WordIds(dict):
         text = word.decode()
         if SIMPLE.fullmatch(text) and "<|" not in text:
             return self[text.lower()]
-        return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return self.whole(text)
 
     def __missing__(self, word: str) -> bytes:
         if len(self) > CACHE_WORDS:
