@@ -61,6 +61,11 @@ def rate(cap: float):
     return F.least(F.lit(float(cap)), F.exp(F.least(F.lit(50.0), F.col("lam") * F.col("size") / F.col("scale"))))
 
 
+def exact_sum(x: Column) -> Column:
+    """A sum that is the same in any order of rows: doubles are added as decimals of 12 places."""
+    return F.sum(x.cast("decimal(38,12)")).cast("double")
+
+
 def solve_dual(cells: DataFrame, targets: DataFrame, cap: float, folder: str) -> DataFrame:
     """Multiplier ``lam`` and ``scale`` of each source, by safeguarded Newton steps.
 
@@ -91,10 +96,8 @@ def solve_dual(cells: DataFrame, targets: DataFrame, cap: float, folder: str) ->
                 .withColumn("r", rate(cap))
                 .groupBy("skey")
                 .agg(
-                    F.sum(F.col("n") * F.col("size") * F.col("r")).alias("taken"),
-                    F.sum(F.when(F.col("r") < cap, F.col("n") * F.col("size") * x * F.col("r")).otherwise(0.0)).alias(
-                        "slope"
-                    ),
+                    exact_sum(F.col("n") * F.col("size") * F.col("r")).alias("taken"),
+                    exact_sum(F.when(F.col("r") < cap, F.col("n") * F.col("size") * x * F.col("r")).otherwise(0.0)).alias("slope"),
                 )
             )
             over = F.col("taken") - F.col("target")
