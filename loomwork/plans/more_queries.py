@@ -56,13 +56,23 @@ def _critical_findings(s, d):
     return found.join(spots, "start").select("start", F.size("path").alias("length"), F.col("score").cast("long").alias("score"), "severity", "hotspot", "outgoing")
 
 
-def _cut_points(s, d):
-    return biconnected.articulation_points(*part_graph(s, d))
+def _ring(s, d):
+    """As _supply(), but customers lead to their regions, too, and regions lead nowhere: customers, nations and regions lie on rings, orders hang on them."""
+    files, _ = _supply(s, d)
+    o, c, n = (table(s, d, t) for t in ("orders", "customer", "nation"))
+    at = lambda k, name: F.col(name).cast("long") + k * ID
+    homes = c.join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    edges = [
+        o.select(at(0, "o_orderkey").alias("src"), at(1, "o_custkey").alias("dst")),
+        c.select(at(1, "c_custkey").alias("src"), at(2, "c_nationkey").alias("dst")),
+        homes.select(at(1, "c_custkey").alias("src"), at(3, "n_regionkey").alias("dst")),
+        n.select(at(2, "n_nationkey").alias("src"), at(3, "n_regionkey").alias("dst")),
+    ]
+    return files.select("node", (F.col("node") % 400).alias("criticality")), edges[0].union(edges[1]).union(edges[2]).union(edges[3])
 
 
-def _chokepoints(s, d):
-    files = table(s, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_size").alias("criticality"))
-    return biconnected.chokepoints(files, part_graph(s, d)[1])
+def _on_ring(what):
+    return lambda s, d: what(_ring(s, d)[0].select("node"), _ring(s, d)[1])
 
 
 def _pages(s, d):
@@ -253,9 +263,9 @@ QUERIES = {
     "cycle_findings": lambda s, d: cycles.cycle_findings(_cycles(s, d), _edge_lines(s, d)),
     "critical_paths": lambda s, d: _critical(s, d).select("start", F.concat_ws(">", F.col("path").cast("array<string>")).alias("path"), "score"),
     "critical_path_findings": _critical_findings,
-    "graph_bridges": lambda s, d: biconnected.bridges(*part_graph(s, d)),
-    "graph_cut_points": _cut_points,
-    "graph_chokepoints": _chokepoints,
+    "graph_bridges": _on_ring(biconnected.bridges),
+    "graph_cut_points": _on_ring(biconnected.articulation_points),
+    "graph_chokepoints": lambda s, d: biconnected.chokepoints(*_ring(s, d)),
     "segment_pages": _pages,
     "pattern_safety": _pattern_safety,
     "secret_paths": _secret_paths,
@@ -297,7 +307,21 @@ _FIXED = " union all ".join(
     f"select {n}, unnest([-4, -3, -2, -1]), unnest(['## {title}', '', '| {heads} |', '|{' --- |' * (heads.count('|') + 1)}'])" for n, (title, heads) in enumerate(_TOPS, 1)
 )
 
+#: In the ring graph orders hang on their customers, and nations without customers on their regions.
+_RING = f"""ring as (select distinct o_orderkey as src, {ID} + o_custkey as dst, true as bridge from orders union all select {ID} + c_custkey, {2 * ID} + c_nationkey, false from customer
+  union all select {ID} + c_custkey, {3 * ID} + n_regionkey, false from customer join nation on c_nationkey = n_nationkey
+  union all select {2 * ID} + n_nationkey, {3 * ID} + n_regionkey, n_nationkey not in (select c_nationkey from customer) from nation),
+cuts as (select distinct {ID} + o_custkey as node from orders union select {3 * ID} + n_regionkey from nation group by n_regionkey having count(*) > 1)"""
+
 ORACLE_SQL = {
+    "graph_bridges": f"with {_RING} select src as a, dst as b from ring where bridge",
+    "graph_cut_points": f"with {_RING} select node from cuts",
+    "graph_chokepoints": f"""with {_RING}, nodes as (select o_orderkey as node from orders union select {ID} + c_custkey from customer union select {2 * ID} + n_nationkey from nation union select {3 * ID} + r_regionkey from region),
+outs as (select src as node, count(*) as o from ring group by 1), ins as (select dst as node, count(*) as i from ring group by 1), ends as (select node, count(*) as b from (select unnest([src, dst]) as node from ring where bridge) group by 1),
+f as (select node, coalesce(i, 0) as i, coalesce(o, 0) as o, node in (select node from cuts) as cut, coalesce(b, 0) as b, node % 400 as c from nodes left join ins using (node) left join outs using (node) left join ends using (node)),
+g as (select node, floor(3 * i + 1.2 * o + c / 10 + case when cut then 12 else 0 end + 4 * b + 0.5)::BIGINT as score,
+  concat_ws(',', case when i >= 8 then 'fan-in' end, case when o >= 6 then 'fan-out' end, case when cut then 'articulation' end, case when b >= 1 then 'bridges' end, case when c >= 20 then 'complexity' end) as reasons from f)
+select node, score, reasons from g where reasons <> '' order by score desc, node limit 40""",
     "low_cohesion": """with recursive e as (select distinct l_partkey as module, l_suppkey as name from lineitem where l_suppkey % 7 <> 0), large as (select module from e group by 1 having count(*) >= 3),
 used as (select distinct l_orderkey % 50 as consumer, module, name from lineitem join e on module = l_partkey and name = l_suppkey where module in (select module from large)),
 links as (select distinct a.module, a.name as x, b.name as y from used a join used b on a.module = b.module and a.consumer = b.consumer),
