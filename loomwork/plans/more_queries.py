@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from loomwork.functions import code_lines as L
 from loomwork.functions import ignored_paths, pattern_safety
 from loomwork.functions.paths import TEST_PATHS
-from loomwork.operators import aspects, biconnected, chains, cohesion, cycles, graph, lookups, markdown, merges, rescan, segments, yaml_text
+from loomwork.operators import aspects, biconnected, chains, cohesion, cycles, graph, lookups, markdown, merges, rescan, segments, summaries, yaml_text
 from loomwork.plans.inputs import DEGREES, EDGES, FINDINGS, LINES, documents, findings, part_graph
+from loomwork.sources import folders
 from loomwork.sources.tables import lines, table
 
 ID = 1_000_000_000_000
@@ -251,7 +252,62 @@ def _merged(s, d):
     return merges.merged_chains(docs, 0.8).select("place", F.concat_ws(",", "heads").alias("heads"), F.size("members").alias("members"))
 
 
+def _hot_users(s, d):
+    return table(s, d, "events").groupBy(F.col("user_id").alias("file")).agg((F.sum("event_id") % 100).alias("risk")).where("file % 3 = 0")
+
+
+def _context(s, d):
+    hot = _hot_users(s, d)
+    of = lambda k: findings(s, d).where(f"file % 7 = {k}").select("file")
+    return summaries.with_context(findings(s, d), hot, of(0), of(1), of(2), 4)
+
+
+def _duplicates(s, d):
+    t = table(s, d, "lineitem")
+    return summaries.duplicate_bodies(t.select((F.col("l_partkey") * 7 + F.col("l_quantity").cast("int")).alias("hash"), F.col("l_returnflag").alias("kind"), F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("line")), 2, 5)
+
+
+def _records(s, d):
+    t, items = table(s, d, "part"), table(s, d, "lineitem")
+    files = t.select(F.col("p_partkey").alias("node"), F.expr(RATED_PATH).alias("path"))
+    return summaries.dependency_records(
+        files, part_graph(s, d)[1], items.select(F.col("l_partkey").alias("node"), F.col("l_suppkey").alias("specifier")), items.where("l_tax > 0.05").select(F.col("l_partkey").alias("node"), F.col("l_linenumber").alias("specifier"))
+    )
+
+
+def _critical_nodes(s, d):
+    return summaries.critical_nodes(_records(s, d), table(s, d, "part").where("p_size > 5").select(F.col("p_partkey").alias("node"), (F.col("p_size") * 2 - 10).alias("score")))
+
+
+def _chosen_paths(s, d):
+    t = table(s, d, "part").select("p_partkey", F.expr(SECRET_PATH.replace("\\", "\\\\")).alias("a"), F.expr(RATED_PATH).alias("b"))
+    return t.select(
+        "p_partkey", summaries.chosen_path(F.col("b"), kind="ts", include=("*.ts", "**/src/**"), exclude=("*.test.ts",), exclude_folders=("dist", "deep")).alias("rated"),
+        summaries.chosen_path(F.col("a"), exclude=("core.*", "a/**")).alias("shown"), summaries.chosen_path(F.col("a"), include=("*.{env,local,json}",), hidden=True).alias("hidden"),
+    )
+
+
+def _source_files(s, d):
+    t = table(s, d, "part")
+    path = F.concat(F.when(F.col("p_partkey") % 4 == 0, "scripts/").when(F.col("p_partkey") % 4 == 1, "src/").otherwise("lib/"), (F.col("p_partkey") % 300).cast("string"), F.expr("case p_size % 7 when 0 then '.ts' when 1 then '.js' when 2 then '.d.ts' when 3 then '.min.js' when 4 then '.test.ts' when 5 then '.md' else '.py' end"))
+    return folders.source_files(t.select("p_partkey", path.alias("path")))
+
+
+def _binary(s, d):
+    odd = F.expr("case doc_id % 5 when 0 then x'' when 1 then x'00' when 2 then x'C328' when 3 then x'1B5B33316D' else x'0102030405060708' end")
+    content = F.concat(odd, F.substring("text", 1, 200).cast("binary"))
+    return documents(s, d).select("doc_id", folders.looks_binary(content).alias("binary"))
+
+
 QUERIES = {
+    "feature_scores": lambda s, d: summaries.feature_scores(findings(s, d), _hot_users(s, d)),
+    "finding_context": _context,
+    "duplicate_bodies": _duplicates,
+    "dependency_records": _records,
+    "critical_nodes": _critical_nodes,
+    "chosen_paths": _chosen_paths,
+    "source_files": _source_files,
+    "binary_texts": _binary,
     "low_cohesion": _cohesion,
     "graph_findings": _graph_findings,
     "merged_documents": _merged,
@@ -313,7 +369,34 @@ _RING = f"""ring as (select distinct o_orderkey as src, {ID} + o_custkey as dst,
   union all select {2 * ID} + n_nationkey, {3 * ID} + n_regionkey, n_nationkey not in (select c_nationkey from customer) from nation),
 cuts as (select distinct {ID} + o_custkey as node from orders union select {3 * ID} + n_regionkey from nation group by n_regionkey having count(*) > 1)"""
 
+_RECORDS = f"""{EDGES}, files as (select p_partkey as node, {RATED_PATH} as path from part), tested as (select node, regexp_matches(path, '{"|".join(TEST_PATHS)}') as test from files),
+ins as (select dst as node, count(*) as incoming, count(*) filter (not test) as from_production, count(*) filter (test) as from_tests from edges join tested on tested.node = src group by dst),
+outs as (select src as node, count(*) as outgoing from edges group by src), ext as (select l_partkey as node, count(distinct l_suppkey) as externals from lineitem group by 1), lost as (select l_partkey as node, count(distinct l_linenumber) as unresolved from lineitem where l_tax > 0.05 group by 1),
+records as (select node, coalesce(outgoing, 0) as outgoing, coalesce(incoming, 0) as incoming, coalesce(from_production, 0) as from_production, coalesce(from_tests, 0) as from_tests, coalesce(externals, 0) as externals, coalesce(unresolved, 0) as unresolved
+  from files left join outs using (node) left join ins using (node) left join ext using (node) left join lost using (node))"""
+
 ORACLE_SQL = {
+    "feature_scores": f"""with {FINDINGS}, hot as (select user_id as file, sum(event_id) % 100 as risk from events where user_id % 3 = 0 group by 1 having sum(event_id) % 100 > 0),
+each as (select category, file, count(*) as n, sum([25, 10, 3, 1, 0][r + 1]) as p, min(r) as worst from ranked group by 1, 2),
+s as (select category, sum(n)::BIGINT as n, sum(p) as p, min(worst) as worst, count(*) as files, count(risk) as hot_files, coalesce(max(risk), 0) as risk from each left join hot using (file) group by category),
+t as (select *, case when hot_files = 0 then 0 else least(20, floor(hot_files / files * 10 + case when risk >= 90 then 10 when risk >= 75 then 7 when risk >= 60 then 4 else 2 end + 0.5)) end::BIGINT as penalty from s),
+u as (select *, greatest(0, least(floor(100 / (1 + p / files / 10) + 0.5), case worst when 0 then 95 when 1 then 98 else 99 end) - penalty)::BIGINT as score from t)
+select row_number() over (order by score, n desc, category)::INT as place, category, n, files, hot_files, penalty, score, case when score >= 80 then 'A' when score >= 60 then 'B' when score >= 40 then 'C' when score >= 20 then 'D' else 'F' end as grade from u""",
+    "finding_context": f"""with {FINDINGS}, hot as (select distinct user_id as file from events where user_id % 3 = 0), own as (select file, list_sort(list(distinct category)) as cats from findings group by file)
+select id, array_to_string(list_filter([case when f.file in (select file from hot) then 'hot-file' end, case when f.file % 7 = 0 then 'cycle-context' end, case when f.file % 7 = 1 then 'critical-path-context' end, case when f.file % 7 = 2 then 'top-level-effects' end]
+  || list_transform(list_filter(cats, lambda c: c <> f.category), lambda c: 'paired:' || c), lambda x: x is not null)[1:4], ',') as signals from findings f join own using (file)""",
+    "duplicate_bodies": """with b as (select l_partkey * 7 + l_quantity::INT as hash, l_returnflag as kind, l_orderkey as file, l_linenumber as line from lineitem), k as (select *, row_number() over (partition by hash, kind order by file, line) as k from b)
+select hash, kind, count(*) as n, count(distinct file) as files, case when count(*) >= 6 then 'high' when count(*) >= 3 then 'medium' else 'low' end as severity, string_agg(file || ':' || line, ',' order by k) filter (k <= 5) as places from k group by 1, 2 having count(*) >= 2""",
+    "dependency_records": f"with {_RECORDS} select * from records",
+    "critical_nodes": f"""with {_RECORDS}, s as (select records.*, case when p_size > 5 then p_size * 2 - 10 else 0 end as score from records join part on p_partkey = node)
+select node, score::INT as score, case when score >= 60 then 'high' when score >= 30 then 'medium' else 'low' end as band, incoming, outgoing from s where score > 12 or outgoing > 5 or incoming > 8 order by score * 10 + incoming * 8 + outgoing * 4 desc, node limit 150""",
+    "chosen_paths": rf"""with own as (select p_partkey, {SECRET_PATH} as a, {RATED_PATH} as b from part), n as (select *, list_last(string_split(a, '/')) as an, list_last(string_split(b, '/')) as bn, string_split(a, '/') as ap, string_split(b, '/') as bp from own)
+select p_partkey, list_last(string_split(b, '.')) in ('ts', 'tsx', 'mts', 'cts') and (regexp_matches(bn, '^[^/]*\.ts$') or regexp_matches(b, '^.*/src/.*$')) and not regexp_matches(bn, '\.test\.ts$') and not list_has_any(bp[:-2], ['dist', 'deep']) and len(list_filter(bp, lambda p: starts_with(p, '.'))) = 0 as rated,
+  not (regexp_matches(an, '^core\.[^/]*$') or regexp_matches(a, '^a/.*$')) and len(list_filter(ap, lambda p: starts_with(p, '.'))) = 0 as shown, regexp_matches(an, '^[^/]*\.(env|local|json)$') as hidden from n""",
+    "source_files": r"""with f as (select p_partkey, case p_partkey % 4 when 0 then 'scripts/' when 1 then 'src/' else 'lib/' end || p_partkey % 300 || case p_size % 7 when 0 then '.ts' when 1 then '.js' when 2 then '.d.ts' when 3 then '.min.js' when 4 then '.test.ts' when 5 then '.md' else '.py' end as path from part),
+m as (select distinct 'scripts/' || regexp_replace(substr(path, 5), '\.[^./]+$', '') as stem from f where starts_with(path, 'src/'))
+select p_partkey, path from f where list_last(string_split(path, '.')) in ('ts', 'tsx', 'js', 'jsx', 'mjs', 'cjs', 'py') and not regexp_matches(path, '\.d\.ts$|\.min\.[^./]+$|\.test\.ts$') and regexp_replace(path, '\.[^./]+$', '') not in (select stem from m)""",
+    "binary_texts": "select doc_id, doc_id % 5 in (1, 2) or (doc_id % 5 = 4 and 8 > 0.05 * (8 + strlen(substr(text, 1, 200)))) as binary from documents",
     "graph_bridges": f"with {_RING} select src as a, dst as b from ring where bridge",
     "graph_cut_points": f"with {_RING} select node from cuts",
     "graph_chokepoints": f"""with {_RING}, nodes as (select o_orderkey as node from orders union select {ID} + c_custkey from customer union select {2 * ID} + n_nationkey from nation union select {3 * ID} + r_regionkey from region),
