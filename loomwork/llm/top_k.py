@@ -10,6 +10,8 @@ blocks, and one window merges what the tasks found.  No candidate is skipped.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import save, scratch
 
 #: Vectors and weights of a block of postings, and queries of a block of queries.
-BLOCK_ROWS, BLOCK_WEIGHTS, QUERY_ROWS = 4096, 1 << 20, 64
+BLOCK_ROWS, BLOCK_WEIGHTS, QUERY_ROWS = 2048, 1 << 20, 64
 #: Bytes of query blocks that are broadcast for one pass over the postings.
 PASS_BYTES = 16 << 20
 #: What a sum of products may not reach: by Cauchy and Schwarz no partial sum does either.
@@ -123,41 +125,86 @@ def stored_queries(index: DataFrame, every: int) -> DataFrame:
     return index.mapInArrow(run, QUERIES)
 
 
-class QueryBlock:
-    """A row of stored_queries(): for each term the query rows that have it and their weights."""
-
-    def __init__(self, row):
-        self.block, self.ids, self.places = row["block"], row["ids"], row["places"]
-        rows, weights = np.frombuffer(row["rows"], np.int32), np.frombuffer(row["weights"], np.int64)
-        ends = row["ends"]
-        cuts = list(zip(np.frombuffer(row["terms"], np.int32).tolist(), [0, *ends[:-1]], ends))
-        self.terms = [(term, rows[a:b], weights[a:b]) for term, a, b in cuts]
-        self.best: list[list[tuple]] = [[] for _ in self.ids]
-
-    def scores(self, postings: dict, width: int) -> np.ndarray:
-        """Dense scores of all query rows with all vectors of a block."""
-        found = np.zeros((len(self.ids), width), np.int64)
+def longest(rows: np.ndarray, weights: np.ndarray) -> float:
+    """A bound of the lengths of a block's vectors."""
+    return math.sqrt(np.bincount(rows, weights=weights.astype(np.float64) ** 2).max(initial=0)) + 1
+
+
+def by_term(terms, ends, places: np.ndarray, weights: np.ndarray, width: int) -> list[tuple]:
+    """``term, places, weights`` of a block.  Where most rows have a term, its weights are spread over all rows (no places)."""
+    found = []
+    for term, a, b in zip(terms, [0, *ends[:-1]], ends):
+        if 2 * (b - a) >= width:
+            spread = np.zeros(width, weights.dtype)
+            spread[places[a:b]] = weights[a:b]
+            found.append((term, None, spread))
+        else:
+            found.append((term, places[a:b], weights[a:b]))
+    return found
+
+
+class QueryRows:
+    """Some sparse query rows, by term, and the best that each has found so far."""
+
+    def __init__(self, names: list[tuple], terms: np.ndarray, rows: np.ndarray, weights: np.ndarray):
+        self.names = names  # block, place and id of each
+        order = np.argsort(terms, kind="stable")
+        terms, counts = np.unique(terms[order], return_counts=True)
+        self.terms = by_term(terms.tolist(), np.cumsum(counts).tolist(), rows[order], weights[order], len(names))
+        self.norm = longest(rows, weights)
+        self.best: list[list[tuple]] = [[] for _ in names]
+        self.least = np.full(len(names), -np.inf)
+
+    def scores(self, postings: dict, width: int, kind) -> np.ndarray:
+        """Dense scores of all query rows with all vectors of a block: term by term, products are scattered to the rows that have the term."""
+        found = np.zeros((len(self.names), width), kind)
+        part = np.empty_like(found)
         for term, rows, weights in self.terms:
             if term in postings:
                 places, own = postings[term]
-                part = weights[:, None] * own[None, :]
-                if part.shape == found.shape:  # all rows of both blocks have the term
+                weights = weights.astype(kind)[:, None]
+                if rows is None and places is None:
+                    np.multiply(weights, own, out=part)
                     found += part
+                elif places is None:
+                    found[rows] += weights * own
                 else:
-                    found[rows[:, None], places[None, :]] += part
+                    found[(np.arange(len(found)) if rows is None else rows)[:, None], places] += weights * own
         return found
 
     def keep_best(self, found: np.ndarray, ids: list, block: str, k: int) -> None:
         """Merge the ``k`` best of a block; its columns ascend by id, so of equal scores the first are taken."""
-        width = found.shape[1]
-        at = max(0, width - k - 1)  # one more than k, as a query's own row does not count
-        least = np.partition(found, at, axis=1)[:, at]
-        for q, row in enumerate(found):
-            over = np.flatnonzero(row > least[q])
-            level = np.flatnonzero(row == least[q])[: k + 1 - len(over)]
-            own = self.places[q] if block == self.block else -1
-            fresh = [(-int(row[c]), ids[c] is None, ids[c]) for c in np.concatenate((over, level)).tolist() if c != own]
+        some = np.flatnonzero(found.max(axis=1) >= self.least)
+        at = max(0, found.shape[1] - k - 1)  # one more than k, as a query's own row does not count
+        levels = np.partition(found[some], at, axis=1)[:, at]
+        for q, level in zip(some.tolist(), levels):
+            row = found[q]
+            over = np.flatnonzero(row > level)
+            even = np.flatnonzero(row == level)[: k + 1 - len(over)]
+            own = self.names[q][1] if block == self.names[q][0] else -1
+            fresh = [(-int(row[c]), ids[c] is None, ids[c]) for c in np.concatenate((over, even)).tolist() if c != own]
             self.best[q] = sorted(self.best[q] + fresh, key=lambda x: (x[0], x[1], x[2] or 0))[:k]
+            if len(self.best[q]) == k:
+                self.least[q] = -self.best[q][-1][0]
+
+
+def query_rows(blocks: list[dict]) -> list[QueryRows]:
+    """The query blocks of one pass as groups of QUERY_ROWS."""
+    names, terms, rows, weights = [], [], [], []
+    for row in blocks:
+        ends = np.asarray(row["ends"], np.int64)
+        terms.append(np.repeat(np.frombuffer(row["terms"], np.int32), np.diff(ends, prepend=0)))
+        rows.append(np.frombuffer(row["rows"], np.int32) + len(names))
+        weights.append(np.frombuffer(row["weights"], np.int64))
+        names += [(row["block"], place, i) for place, i in zip(row["places"], row["ids"])]
+    if not names:
+        return []
+    terms, rows, weights = map(np.concatenate, (terms, rows, weights))
+    found = []
+    for a in range(0, len(names), QUERY_ROWS):
+        mine = (rows >= a) & (rows < a + QUERY_ROWS)
+        found.append(QueryRows(names[a : a + QUERY_ROWS], terms[mine], rows[mine] - a, weights[mine]))
+    return found
 
 
 def search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -173,16 +220,18 @@ def search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         shared = spark.sparkContext.broadcast(chunk)
 
         def run(batches):
-            blocks = [QueryBlock(row) for row in shared.value]
+            groups = query_rows(shared.value)
+            most = max((g.norm for g in groups), default=0)
             for batch in batches:
                 for row in batch.to_pylist():
-                    rows, weights = np.asarray(row["rows"], np.int32), np.asarray(row["weights"], np.int64)
-                    ends = row["ends"]
-                    postings = {t: (rows[a:b], weights[a:b]) for t, a, b in zip(row["terms"], [0, *ends[:-1]], ends)}
-                    for own in blocks:
-                        own.keep_best(own.scores(postings, len(row["ids"])), row["ids"], row["block"], k)
-            for own in blocks:
-                found = [(own.block, own.places[q], i, x[2], -x[0]) for q, i in enumerate(own.ids) for x in own.best[q]]
+                    places, weights, width = np.asarray(row["rows"], np.int32), np.asarray(row["weights"], np.int64), len(row["ids"])
+                    # doubles are exact where no partial sum can reach 2**53
+                    kind = np.float64 if most * longest(places, weights) < 1 << 53 else np.int64
+                    postings = {t: (at, own) for t, at, own in by_term(row["terms"], row["ends"], places, weights.astype(kind), width)}
+                    for own in groups:
+                        own.keep_best(own.scores(postings, width, kind), row["ids"], row["block"], k)
+            for own in groups:
+                found = [(block, place, i, x[2], -x[0]) for (block, place, i), best in zip(own.names, own.best) for x in best]
                 if found:
                     kinds = (pa.string(), pa.int32(), *[pa.int64()] * 3)
                     names = ["block", "place", "query_id", "vec_id", "score"]
