@@ -234,6 +234,15 @@ def dealt(g: np.ndarray, n_shards: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return order, shard[order][cut], cut
 
 
+def squeeze_counts(n: np.ndarray) -> bytes:
+    """Counts in four bytes each where that is enough, otherwise in eight."""
+    return squeeze(n.astype(np.uint32 if n.max(initial=0) < 1 << 32 else np.uint64))
+
+
+def expand_counts(data: bytes) -> np.ndarray:
+    return expand(data, f"u{data[0]}").astype(np.int64)
+
+
 def bigram_counts(texts: DataFrame, known, n_shards: int) -> DataFrame:
     """One row a shard with its bigrams of ``texts(text)`` and how often they occur; thinned within each task."""
 
@@ -243,8 +252,8 @@ def bigram_counts(texts: DataFrame, known, n_shards: int) -> DataFrame:
         def rows():
             g, n = np.unique(np.concatenate(held), return_counts=True)
             order, shard, cut = dealt(g, n_shards)
-            keys, seen = np.split(g[order], cut[1:]), np.split(n[order].astype(np.uint32), cut[1:])
-            columns = [pa.array(shard, pa.int32()), pa.array([squeeze_sorted(x) for x in keys], pa.binary()), pa.array([squeeze(x) for x in seen], pa.binary())]
+            keys, seen = np.split(g[order], cut[1:]), np.split(n[order], cut[1:])
+            columns = [pa.array(shard, pa.int32()), pa.array([squeeze_sorted(x) for x in keys], pa.binary()), pa.array([squeeze_counts(x) for x in seen], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=["shard", "keys", "seen"])
 
         for _, some in split_texts(batches, 0):
@@ -261,10 +270,10 @@ def bigram_counts(texts: DataFrame, known, n_shards: int) -> DataFrame:
 
     def add_up(table: pa.Table) -> pa.Table:
         g = np.concatenate([expand_sorted(x, np.uint32) for x in table.column("keys").to_pylist()])
-        n = np.concatenate([expand(x, np.uint32) for x in table.column("seen").to_pylist()])
+        n = np.concatenate([expand_counts(x) for x in table.column("seen").to_pylist()])
         g, at = np.unique(g, return_inverse=True)
-        n = np.minimum(np.bincount(at, n), 0xFFFFFFFF).astype(np.uint32)
-        return pa.table([table.column("shard")[:1], pa.array([squeeze_sorted(g)], pa.binary()), pa.array([squeeze(n)], pa.binary())], names=["shard", "keys", "seen"])
+        n = np.bincount(at, n).astype(np.int64)
+        return pa.table([table.column("shard")[:1], pa.array([squeeze_sorted(g)], pa.binary()), pa.array([squeeze_counts(n)], pa.binary())], names=["shard", "keys", "seen"])
 
     return texts.select(F.col("text").cast("binary")).mapInArrow(run, COUNTS).groupBy("shard").applyInArrow(add_up, COUNTS)
 
@@ -277,7 +286,7 @@ def word_counts(counts: DataFrame) -> DataFrame:
         found = np.zeros((len(names), 1 << 16), np.int64)
         for batch in batches:
             for keys, seen in zip(batch.column(0), batch.column(1)):
-                g, n = expand_sorted(keys.as_py(), np.uint32), expand(seen.as_py(), np.uint32).astype(np.int64)
+                g, n = expand_sorted(keys.as_py(), np.uint32), expand_counts(seen.as_py())
                 b, c = g >> np.uint32(16), g & np.uint32(0xFFFF)
                 found[0] += np.bincount(b, n, 1 << 16).astype(np.int64)
                 for k in range(1, 6):
@@ -394,13 +403,13 @@ def text_costs(docs: DataFrame, good: DataFrame, n_shards: int, folder: str) ->
         """Counts of the bigrams that packs have sent; unseen ones get no answer."""
         out = []
         if right.num_rows:
-            g, n = expand_sorted(right.column("keys")[0].as_py(), np.uint32), expand(right.column("seen")[0].as_py(), np.uint32)
+            g, n = expand_sorted(right.column("keys")[0].as_py(), np.uint32), expand_counts(right.column("seen")[0].as_py())
             for row in left.to_pylist():
                 own = expand_sorted(row["keys"], np.uint32)
                 at = np.minimum(np.searchsorted(g, own), len(g) - 1)
                 hit = g[at] == own
                 if hit.any():
-                    out.append((row["shard"], row["pack"], squeeze_sorted(own[hit]), squeeze(n[at[hit]])))
+                    out.append((row["shard"], row["pack"], squeeze_sorted(own[hit]), squeeze_counts(n[at[hit]])))
         columns = list(zip(*out)) if out else [[], [], [], []]
         kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["shard", "pack", "keys", "seen"])
@@ -415,7 +424,7 @@ def text_costs(docs: DataFrame, good: DataFrame, n_shards: int, folder: str) ->
         if n.sum():
             g = bigrams(expand(row["body"], np.uint16), n)
             keys = np.concatenate([np.zeros(0, np.uint32), *(expand_sorted(x, np.uint32) for x in right.column("keys").to_pylist())])
-            seen = np.concatenate([np.zeros(0, np.uint32), *(expand(x, np.uint32) for x in right.column("seen").to_pylist())]).astype(np.int64)
+            seen = np.concatenate([np.zeros(0, np.int64), *(expand_counts(x) for x in right.column("seen").to_pylist())])
             order = np.argsort(keys)
             keys, seen = np.append(keys[order], np.uint32(0xFFFFFFFF)), np.append(seen[order], 0)
             # different bigrams of each text, with how often it has them

@@ -94,3 +94,34 @@ def test_clashing_columns_and_values(spark):
 
     counts = token_counts.count_tokens(docs, tokenizer=public_tokenizers.path("byte_bpe_50k.json"), limit=2).collect()
     assert {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in counts if r.doc_id in (0, 1, 2)} == {0: (0, 0, False), 1: (0, 0, False), 2: (7, 2, False)}
+
+
+def test_mix_is_the_same_in_any_partitioning(spark):
+    rng = random.Random(7)
+    rows = [(k, " ".join(["w"] * rng.choice((1, 3, 8, 40, 300))), rng.choice("abcdef")) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    seen = [sorted(tuple(r) for r in mixing.mix_sources(docs.repartition(n)).collect()) for n in (1, 5)]
+    assert seen[0] == seen[1]
+
+
+def test_other_tokenizer_files_are_encoded_by_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from loomwork.llm import token_files
+
+    texts = ["", "Hello  World's 12 été", "  a\n\nb", "<|endoftext|> x", "İ ²½ ça va?"]
+    for name, by_words in (("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)):
+        path = public_tokenizers.path(name)
+        assert token_files.cuts_as_here(path) == by_words
+        words, library = token_files.WordIds(path), Tokenizer.from_file(path)
+        for text in texts:
+            assert list(memoryview(words.of_text(text)).cast("I")) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_counts_beyond_32_bits():
+    import numpy as np
+
+    for counts in ([1, 2], [1, 1 << 40], []):
+        n = np.array(counts, np.int64)
+        assert quality.expand_counts(quality.squeeze_counts(n)).tolist() == counts
