@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import expand, expand_sorted, few, remove, save, scratch, shards, squeeze, squeeze_sorted
+from .common import expand, expand_sorted, few, give_back, remove, save, scratch, shards, squeeze, squeeze_sorted
 
 #: Begin and end of a word when it is spelled.
 BEGIN, END = b"\x02", b"\x03"
@@ -69,6 +69,8 @@ def word_types(texts: DataFrame) -> DataFrame:
                     yield rows(found)
                     found.clear()
         yield rows(found)
+        del found
+        give_back()
 
     def rows(found):
         return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["w", "texts"])
@@ -267,6 +269,8 @@ def bigram_counts(texts: DataFrame, known, n_shards: int) -> DataFrame:
                 held, size = [], 0
         if size:
             yield rows()
+        del lexicon, held
+        give_back()
 
     def add_up(table: pa.Table) -> pa.Table:
         g = np.concatenate([expand_sorted(x, np.uint32) for x in table.column("keys").to_pylist()])
@@ -371,6 +375,8 @@ def number_packs(docs: DataFrame, words) -> DataFrame:
             size += len(got[0])
         if held:
             yield row()
+        del lexicon, held
+        give_back()
 
     return docs.select("key", F.col("text").cast("binary")).mapInArrow(run, PACK)
 
@@ -435,6 +441,8 @@ def text_costs(docs: DataFrame, good: DataFrame, n_shards: int, folder: str) ->
             here = np.where(keys[at] == g, seen[at], 0)
             cost = cost + np.bincount(doc, times * model.cost(g, here), len(n))
             own = own + np.bincount(doc, times * model.cost(g, np.maximum(here - times, 0)), len(n))
+            del g, keys, seen, order, doc, pairs, times, at, here
+            give_back()
         return pa.table(
             [pa.array(row["keys"], pa.int64()), pa.array(row["size"], pa.int64()), pa.array(cost), pa.array(own)], names=["key", "size", "cost", "own"]
         )
