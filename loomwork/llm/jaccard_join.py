@@ -10,8 +10,8 @@ verified only if it passes all orders.
 Steps: packs of documents exchange shingle keys for their frequencies (see
 ``common``); sets of which too few shingles are shared can have no partner and
 go; equal sets become one class; candidates meet in the inverted index of the
-first order, must meet in the prefixes of the other orders, too, and only then
-are compared whole.
+first order; those that do not meet in the prefixes of the other orders, too,
+go before any set is fetched; the rest are compared whole.
 
 For a pair, sizes n and m ask for an overlap of ``o = ceil(t * (n + m) / (1 +
 t))``, so the first shingle that both hold has at most ``n - o`` and ``m - o``
@@ -35,12 +35,14 @@ from pyspark.sql import functions as F
 
 from .common import (
     BASES,
+    BROADCAST_ROWS,
     KEYS_SCHEMA,
     Pack,
     by_shard,
     expand,
     expand_sorted,
     few,
+    give_back,
     meet,
     mix,
     remove,
@@ -102,36 +104,71 @@ def digests(pack: Pack, doc: np.ndarray, code: np.ndarray):
 BLOCK_PAIRS = 4096
 
 
-def _verify(percent: int):
-    """Check the pairs of a block: by the prefixes of the other orders, then whole.  Each set comes once, however many pairs it has there."""
+def _sizes(pairs: pa.Table, sets: pa.Table, percent: int):
+    """Each pair of a block as two rows of its sets and the overlap that their sizes need."""
+    place = {key: k for k, key in enumerate(sets.column("key").to_pylist())}
+    n = sets.column("n").to_pylist()
+    for x, y in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
+        x, y = place[x], place[y]
+        yield x, y, -(-percent * (n[x] + n[y]) // (100 + percent))
+
+
+def _meets_in_all_orders(percent: int):
+    """The pairs of a block that share a shingle early enough in each of the other orders.  Each set's prefixes come once."""
 
     def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        place = {key: k for k, key in enumerate(sets.column("key").to_pylist())}
-        n, s, others, shared = (sets.column(c) for c in ("n", "s", "others", "shared"))
-        n, s, orders, whole = n.to_pylist(), s.to_pylist(), {}, {}
+        s, others, orders = sets.column("s").to_pylist(), sets.column("others"), {}
 
         def prefixes(k):
             if k not in orders:
                 orders[k] = [np.frombuffer(x, np.uint64).tolist() for x in others[k].as_py()]
             return orders[k]
 
+        kept = []
+        for k, (x, y, need) in enumerate(_sizes(pairs, sets, percent)):
+            u, v = s[x] - need + 1, s[y] - need + 1
+            if all(not set(p[:u]).isdisjoint(q[:v]) for p, q in zip(prefixes(x), prefixes(y))):
+                kept.append(k)
+        return pairs.select(["a", "b"]).take(pa.array(kept, pa.int64()))
+
+    return run
+
+
+def _verify(percent: int):
+    """The pairs of a block that share enough.  Each set comes once, however many pairs it has there."""
+
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        shared, whole = sets.column("shared"), {}
+
         def all_of(k):
             if k not in whole:
-                whole[k] = frozenset(expand_sorted(shared[k].as_py(), np.uint64).tolist())
+                whole[k] = expand_sorted(shared[k].as_py(), np.uint64)
             return whole[k]
 
-        a, b, yes = pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), []
-        for x, y in zip(a, b):
-            x, y = place[x], place[y]
-            need = -(-percent * (n[x] + n[y]) // (100 + percent))
-            u, v = s[x] - need + 1, s[y] - need + 1
-            linked = all(not set(p[:u]).isdisjoint(q[:v]) for p, q in zip(prefixes(x), prefixes(y)))
-            yes.append(linked and len(all_of(x) & all_of(y)) >= need)
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(yes, pa.bool_())], names=["a", "b", "linked"])
+        linked = [len(np.intersect1d(all_of(x), all_of(y), assume_unique=True)) >= need for x, y, need in _sizes(pairs, sets, percent)]
+        return pairs.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     return run
 
 
+def _by_blocks(pairs: DataFrame, total: int, sets: DataFrame, test, path: str, *, both: bool) -> tuple[DataFrame, int]:
+    """``a, b`` of those of about ``total`` pairs that pass ``test`` in blocks of about BLOCK_PAIRS, written, and how many.
+
+    With ``both``, blocks are dealt by both sets of a pair, otherwise by the second.
+    """
+    parts = int(max(1, total / BLOCK_PAIRS) ** 0.5) + 1
+    if both:
+        block = F.pmod(F.xxhash64("a"), F.lit(parts)) * parts + F.pmod(F.xxhash64("b"), F.lit(parts))
+    else:
+        block = F.pmod(F.xxhash64("b"), F.lit(parts * parts))
+    pairs = pairs.select("a", "b", block.alias("block"))
+    needed = pairs.select(F.col("block").alias("at"), F.explode(F.array("a", "b")).alias("key")).distinct()
+    # a pair needs two sets, so the pairs bound what is broadcast
+    near = F.broadcast(needed) if 2 * total <= BROADCAST_ROWS else needed
+    checked = pairs.groupBy("block").cogroup(sets.join(near, "key").groupBy("at")).applyInArrow(test, "a long, b long")
+    return save_counting(checked, path, F.lit(True))
+
+
 def _overlap(percent: int, n: str, m: str) -> str:
     """Shingles that sets of sizes n and m must share, in SQL."""
     return f"({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent}"
@@ -201,6 +238,9 @@ def jaccard_join(
                 shared[d] = squeeze_sorted(s)
                 prefix[d] = s[np.lexsort((s, c))[:m]].view(np.int64)
                 others[d] = [s[np.argsort(mix(s * np.uint64(salt)))[:m]].tobytes() for salt in ORDERS]
+            del rows, keys, count, order, mine, at, known, left_over
+        del doc, code
+        give_back()
         return pa.table(
             [
                 pa.array(pack.ids, pa.int64()),
@@ -226,7 +266,7 @@ def jaccard_join(
     # classes are numbered when they are written, as ids may be null or repeat
     live = one.select(F.monotonically_increasing_id().alias("key"), *name, F.expr("cast(n - own as int)").alias("s"), "shared", "prefix", "others")
     live = save(live, f"{folder}/live")
-    labels = connected_components(_links(live, percent, folder))
+    labels = _labels(live, percent, folder)
     labels = labels.withColumnRenamed("node", "key").join(live.select("key", *name), "key").select(*name, "component")
     grouped = save(classes.join(labels, name), f"{folder}/grouped")
     least = grouped.groupBy("component").agg(F.min("rep").alias("least"))
@@ -238,15 +278,29 @@ def jaccard_join(
     return texts.unionByName(empty)
 
 
-def _links(live: DataFrame, percent: int, folder: str) -> DataFrame:
-    """Links among classes ``a, b``: enough of them to give all components."""
+def _joined(labels: DataFrame | None, links: DataFrame, path: str) -> DataFrame:
+    """``node, c``: components after more ``links(a, b)``: only what they join is looked at, by its label, which is its smallest node."""
+    if labels is None:
+        return connected_components(links).withColumnRenamed("component", "c")
+    own = labels.select("node", "c")
+    for end in ("a", "b"):
+        links = links.join(few(own.withColumnRenamed("node", end)), end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
+    links = save(links.where("a <> b").distinct(), path)
+    above = connected_components(links)
+    fresh = above.select("node", F.col("node").alias("c")).join(own.select("node"), "node", "left_anti")
+    above = above.select(F.col("node").alias("c"), "component")
+    return own.unionByName(fresh).join(few(above), "c", "left").select("node", F.coalesce("component", "c").alias("c"))
+
+
+def _labels(live: DataFrame, percent: int, folder: str) -> DataFrame:
+    """``node, component`` of the classes that link with any."""
     spark, columns = live.sparkSession, ("token", "key", "n", "rest")
     # unshared shingles come first in each order, so a shared one's rank starts behind them
     postings = live.select("key", F.col("n").cast("int").alias("n"), "s", F.posexplode("prefix").alias("at", "token"))
     postings = save(postings.select("token", "key", "n", (F.col("s") - F.col("at")).alias("rest")), f"{folder}/open")
-    sets = live.select("key", "n", "s", "shared", "others")
+    prefixes, whole = live.select("key", "n", "s", "others"), live.select("key", "n", "shared")
     meets = F.expr(f"{_overlap(percent, 'n_a', 'n_b')} <= least(rest_a, rest_b)")  # includes that the sizes fit
-    labels, found, before = None, None, f"{folder}/open"
+    labels, before = None, f"{folder}/open"
 
     def side(rows: DataFrame, name: str, token: str, *more: str) -> DataFrame:
         return rows.select(F.col("token").alias(token), F.col("key").alias(name), F.col("n").alias(f"n_{name}"), F.col("rest").alias(f"rest_{name}"), *[F.col(c).alias(f"{c}_{name}") for c in more])
@@ -276,18 +330,11 @@ def _links(live: DataFrame, percent: int, folder: str) -> DataFrame:
             ordered = F.expr("component_a <> component_b and (n_a < n_b or n_a = n_b and a < b)")
             pairs = side(at, "a", "t", "component").join(side(at, "b", "token", "component"), (F.col("t") == F.col("token")) & ordered & meets).select("a", "b").distinct()
         pairs, total = save_counting(pairs, f"{folder}/tries{k}", F.lit(True))
-        parts = int(max(1, total / BLOCK_PAIRS) ** 0.5) + 1
-        if not last:  # few centres: blocks by the other sets
-            block = F.pmod(F.xxhash64("b"), F.lit(parts * parts))
-        else:
-            block = F.pmod(F.xxhash64("a"), F.lit(parts)) * parts + F.pmod(F.xxhash64("b"), F.lit(parts))
-        pairs = pairs.select("a", "b", block.alias("block"))
-        needed = save(pairs.select("block", F.explode(F.array("a", "b")).alias("key")).distinct().withColumnRenamed("block", "at"), f"{folder}/needed{k}")
-        checked = pairs.groupBy("block").cogroup(sets.join(few(needed), "key").groupBy("at")).applyInArrow(_verify(percent), "a long, b long, linked boolean")
-        now, linked = save_counting(checked.where("linked").select("a", "b"), f"{folder}/links{k}", F.lit(True))
-        found = now if found is None else found.unionByName(now)
+        # the pairs are cut by all orders before any set is fetched; with few centres blocks go by the other sets
+        passed, total = _by_blocks(pairs, total, prefixes, _meets_in_all_orders(percent), f"{folder}/passed{k}", both=last)
+        now, linked = _by_blocks(passed, total, whole, _verify(percent), f"{folder}/links{k}", both=last)
         if last:
-            return found
+            return _joined(labels, now, f"{folder}/joins{k}").select("node", F.col("c").alias("component"))
         if linked:
-            labels = connected_components(found).withColumnRenamed("component", "c")
+            labels = _joined(labels, now, f"{folder}/joins{k}")
             labels = save(labels.join(labels.groupBy("c").agg(F.count(F.lit(1)).alias("mates")), "c"), f"{folder}/stars{k}")
