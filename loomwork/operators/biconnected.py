@@ -65,13 +65,21 @@ def blocks(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def bridges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``a, b``: pairs without which their component falls apart."""
-    found, _ = blocks(nodes, edges)
+    return lone_edges(blocks(nodes, edges)[0])
+
+
+def lone_edges(found: DataFrame) -> DataFrame:
+    """The bridges of the tree edges of blocks()."""
     return found.where("block is null").select(F.least("node", "parent").alias("a"), F.greatest("node", "parent").alias("b"))
 
 
 def articulation_points(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node``: nodes without which their component falls apart."""
-    found, _ = blocks(nodes, edges)
+    return shared_ends(blocks(nodes, edges)[0])
+
+
+def shared_ends(found: DataFrame) -> DataFrame:
+    """The articulation points of the tree edges of blocks()."""
     block = F.coalesce(F.concat(F.lit("b"), F.col("block").cast("string")), F.concat(F.lit("t"), F.col("node").cast("string")))
     ends = found.select(F.explode(F.array("node", "parent")).alias("x"), block.alias("block"))
     return ends.groupBy(F.col("x").alias("node")).agg(F.count_distinct("block").alias("n")).where("n > 1").select("node")
@@ -91,8 +99,9 @@ def chokepoint_rows(files: DataFrame, edges: DataFrame, most: int = 40) -> DataF
     or a criticality of 20.
     """
     nodes = files.select("node")
-    cut = articulation_points(nodes, edges).withColumn("cut", F.lit(1))
-    ends = bridges(nodes, edges).select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("bridges"))
+    found = graph.written(blocks(nodes, edges)[0], [])
+    cut = shared_ends(found).withColumn("cut", F.lit(1))
+    ends = lone_edges(found).select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("bridges"))
     strong = graph.strong_components(nodes, edges)
     cyclic = strong.join(strong.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "component").select("node", F.lit(1).alias("cycles"))
     rows = graph.degrees(files.select("node", "criticality"), edges)
