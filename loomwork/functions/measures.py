@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 
 def entropy(text: Column) -> Column:
-    """Shannon entropy in bits a character; 0 for an empty text."""
+    """Shannon entropy in bits a character; 0 for an empty text, null for a null one."""
     chars = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
     n = F.size(chars)
     # equal characters stand together: where one differs from the one before, a run ends
     ends = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: (k == n) | (F.get(chars, k - 1) != F.get(chars, k)))
     runs = F.zip_with(ends, F.concat(F.array(F.lit(0)), ends), lambda a, b: a - b)
     shares = F.transform(F.filter(runs, lambda r: r > 0), lambda r: r / n)
-    return F.when(n == 0, 0.0).otherwise(F.aggregate(shares, F.lit(0.0), lambda acc, s: acc - s * F.log2(s)))
+    return F.when(n == 0, 0.0).when(n > 0, F.aggregate(shares, F.lit(0.0), lambda acc, s: acc - s * F.log2(s)))
 
 
 def volume(text: Column, operands: str, operators: str) -> Column:
