@@ -1,8 +1,12 @@
 """Bridges, articulation points and chokepoints of a graph, as joins.
 
 A breadth-first forest gives each node a parent.  Each other edge closes a
-cycle with the two tree paths from its ends to where they meet; climbing them
-level by level names the tree edges of one block.  Tree edges in no cycle are
+cycle with the two tree paths from its ends to where they meet.  No such edge
+leads to an ancestor, so all those at one node pass the tree edge above it:
+what hangs together over other edges alone is of one block, and with it the
+tree edges between its nodes.  These are found by carrying, level by level,
+how many nodes of each such part lie below a tree edge: some, but not all.
+Parts that share a tree edge are one block.  Tree edges of no part are
 bridges, and nodes whose tree edges lie in several blocks are articulation
 points.  Rounds are as many as the forest is deep.
 """
@@ -22,18 +26,19 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
 
 
-def forest(nodes: DataFrame, pairs: DataFrame, folder: list[str]) -> DataFrame:
-    """``node, parent, level``: from the smallest node of each component, parents are the smallest of the level above."""
-    both = graph.written(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(pairs.select("b", "a")), folder)
-    roots = graph.components(nodes, both).where("node = component").select("node")
+def forest(nodes: DataFrame, pairs: DataFrame, folder: list[str]) -> tuple[DataFrame, int]:
+    """``node, parent, level``: from the smallest node of each component, parents are the smallest of the level above; and how many levels there are."""
+    links = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    roots = graph.written_components(nodes, links, folder).where("node = component").select("node")
+    both = links.union(graph.backward(links))
     front = graph.written(roots.select("node", F.lit(None).cast("long").alias("parent"), F.lit(0).alias("level")), folder)
     seen, level = front, 0
     while True:
         level += 1
         step = both.join(front.select(F.col("node").alias("src")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
-        front = graph.written(step.join(seen.select("node"), "node", "left_anti").select("node", "parent", F.lit(level).alias("level")), folder)
-        if front.isEmpty():
-            return graph.written(seen, folder)
+        front, n = graph.written_counting(step.join(seen.select("node"), "node", "left_anti").select("node", "parent", F.lit(level).alias("level")), folder, F.lit(True))
+        if not n:
+            return graph.written(seen, folder), level
         seen = seen.unionByName(front)
 
 
@@ -41,26 +46,28 @@ def blocks(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The tree edges ``node, parent, block``, named by their lower ends, with a null block for a bridge, and the forest."""
     folder: list[str] = []
     pairs = graph.written(undirected(edges), folder)
-    tree = forest(nodes, pairs, folder)
+    tree, levels = forest(nodes, pairs, folder)
     own = tree.where("parent is not null").select(F.least("node", "parent").alias("a"), F.greatest("node", "parent").alias("b"))
-    rest = graph.written(pairs.join(own, ["a", "b"], "left_anti").withColumn("k", F.monotonically_increasing_id()), folder)
-    at = tree.select(F.col("node").alias("x"), "parent", "level")
-    climbing = graph.written(rest.select("k", F.col("a").alias("u"), F.col("b").alias("v")), folder)
-    marks = None
-    while not climbing.isEmpty():
-        u, v = at.select(F.col("x").alias("u"), F.col("parent").alias("pu"), F.col("level").alias("lu")), at.select(F.col("x").alias("v"), F.col("parent").alias("pv"), F.col("level").alias("lv"))
-        both = graph.written(climbing.join(u, "u").join(v, "v"), folder)
-        up, down = F.col("lu") >= F.col("lv"), F.col("lv") >= F.col("lu")
-        passed = both.select("k", F.explode(F.array_compact(F.array(F.when(up, F.col("u")), F.when(down, F.col("v"))))).alias("node"))
-        marks = passed if marks is None else marks.unionByName(passed)
-        climbing = graph.written(both.select("k", F.when(up, F.col("pu")).otherwise(F.col("u")).alias("u"), F.when(down, F.col("pv")).otherwise(F.col("v")).alias("v")).where("u <> v"), folder)
+    rest = graph.written(pairs.join(own, ["a", "b"], "left_anti").select(F.col("a").alias("src"), F.col("b").alias("dst")), folder)
+    ends = rest.select(F.col("src").alias("node")).union(rest.select("dst")).distinct()
+    part = graph.written_components(ends, rest, folder).withColumnRenamed("component", "part")
+    total = graph.written(part.groupBy("part").agg(F.count(F.lit(1)).alias("total")), folder)
+    placed = graph.written(part.join(tree, "node").select("node", "parent", "level", "part", F.lit(1).cast("long").alias("n")), folder)
+    above, marks = tree.select("node", F.col("parent").alias("next"), "level"), None
+    carried = placed.where("false").select("node", "parent", "part", "n")
+    for level in range(levels - 1, 0, -1):
+        here = placed.where(F.col("level") == level).select("node", "parent", "part", "n").unionByName(carried)
+        here = here.groupBy("node", "parent", "part").agg(F.sum("n").alias("n")).join(total, "part")
+        passed = graph.written(here.where("n < total").select("node", "parent", "part", "n"), folder)
+        marks = passed.select("node", "part") if marks is None else marks.unionByName(passed.select("node", "part"))
+        up = above.where(F.col("level") == level - 1).select(F.col("node").alias("parent"), "next")
+        carried = passed.join(up, "parent").select(F.col("parent").alias("node"), F.col("next").alias("parent"), "part", "n")
     if marks is None:
         return tree.where("parent is not null").select("node", "parent", F.lit(None).cast("long").alias("block")), tree
-    # tree edges have even names, cycles odd ones; what shares a cycle is one block
-    links = graph.written(marks.select((F.col("node") * 2).alias("src"), (F.col("k") * 2 + 1).alias("dst")), folder)
-    names = links.select(F.col("src").alias("node")).union(links.select("dst")).distinct()
-    named = graph.components(names, links).where("node % 2 = 0").select(F.shiftright("node", 1).alias("node"), F.col("component").alias("block"))
-    return tree.where("parent is not null").select("node", "parent").join(named, "node", "left"), tree
+    least = graph.written(marks.groupBy("node").agg(F.min("part").alias("least"), F.count(F.lit(1)).alias("n")), folder)
+    links = marks.join(least.where("n > 1"), "node").where("part <> least").select(F.col("part").alias("src"), F.col("least").alias("dst")).distinct()
+    named = graph.components(total.select(F.col("part").alias("node")), links).select(F.col("node").alias("least"), F.col("component").alias("block"))
+    return tree.where("parent is not null").select("node", "parent").join(least.join(named, "least").select("node", "block"), "node", "left"), tree
 
 
 def bridges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -90,19 +97,21 @@ def chokepoints(files: DataFrame, edges: DataFrame, most: int = 40) -> DataFrame
     return chokepoint_rows(files, edges, most).select("node", "score", "reasons")
 
 
-def chokepoint_rows(files: DataFrame, edges: DataFrame, most: int = 40) -> DataFrame:
+def chokepoint_rows(files: DataFrame, edges: DataFrame, most: int = 40, strong: DataFrame | None = None) -> DataFrame:
     """``files(node, criticality)``: the ``most`` files that much hangs on: ``node, score, reasons, incoming, outgoing, cut, bridges``.
 
     score = 3 dependants + 1.2 dependencies + criticality / 10 + 12 for an
     articulation point + 4 a bridge + 6 in a cycle, rounded half up.  A file
     needs a reason: 8 dependants, 6 dependencies, a part in the graph's shape,
-    or a criticality of 20.
+    or a criticality of 20.  ``strong(node, component)`` are the strong
+    components, if they are known.
     """
-    nodes = files.select("node")
-    found = graph.written(blocks(nodes, edges)[0], [])
+    folder: list[str] = []
+    nodes, edges = files.select("node"), graph.written(edges.select("src", "dst"), folder)
+    found = graph.written(blocks(nodes, edges)[0], folder)
     cut = shared_ends(found).withColumn("cut", F.lit(1))
     ends = lone_edges(found).select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("bridges"))
-    strong = graph.strong_components(nodes, edges)
+    strong = graph.strong_components(nodes, edges) if strong is None else strong
     cyclic = strong.join(strong.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "component").select("node", F.lit(1).alias("cycles"))
     rows = graph.degrees(files.select("node", "criticality"), edges)
     for part in (cut, ends, cyclic):
@@ -131,6 +140,7 @@ def graph_findings(points: DataFrame, clusters: DataFrame, chatter: DataFrame, e
         severity = F.when(high, "high").otherwise("medium")
         return df.select(F.lit(category).alias("category"), severity.alias("severity"), file.alias("file"), detail.alias("detail"))
 
+    points = graph.written(points, [])
     ranked = points.orderBy(F.desc("score"), "node")
     busy = ranked.limit(8).where("incoming >= 3 and outgoing >= 3 and score >= 18")
     cuts = ranked.where("cut = 1").limit(8)

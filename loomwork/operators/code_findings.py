@@ -54,13 +54,15 @@ def package_chatter(files: DataFrame, edges: DataFrame, least: int = 4) -> DataF
 
 def cycle_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``component, n, inner, entering, leaving``: strongly connected groups of two nodes or more, with their edges."""
+    folder: list[str] = []
+    edges = graph.written(edges.select("src", "dst"), folder)
     at = graph.strong_components(nodes, edges)
     groups = at.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     s, t = at.select(F.col("node").alias("src"), F.col("component").alias("a")), at.select(F.col("node").alias("dst"), F.col("component").alias("b"))
-    both = edges.join(s, "src").join(t, "dst").select("a", "b").where("a is not null")
-    inner = both.where("a = b").groupBy(F.col("a").alias("component")).agg(F.count(F.lit(1)).alias("inner"))
-    into = both.where("a <> b").groupBy(F.col("b").alias("component")).agg(F.count(F.lit(1)).alias("entering"))
-    out = both.where("a <> b").groupBy(F.col("a").alias("component")).agg(F.count(F.lit(1)).alias("leaving"))
+    both = graph.written(edges.join(s, "src").join(t, "dst").where("a is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("k")), folder)
+    inner = both.where("a = b").groupBy(F.col("a").alias("component")).agg(F.sum("k").alias("inner"))
+    into = both.where("a <> b").groupBy(F.col("b").alias("component")).agg(F.sum("k").alias("entering"))
+    out = both.where("a <> b").groupBy(F.col("a").alias("component")).agg(F.sum("k").alias("leaving"))
     return groups.join(inner, "component", "left").join(into, "component", "left").join(out, "component", "left").fillna(0)
 
 

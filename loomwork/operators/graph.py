@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -50,35 +51,72 @@ def unstable_dependencies(nodes: DataFrame, edges: DataFrame, gap: float = 0.15,
     return found.select("src", "dst", F.round(delta, 6).alias("delta"), F.when(delta > 0.3, "high").otherwise("medium").alias("severity"))
 
 
+def written_counting(df: DataFrame, folder: list[str], what: Column) -> tuple[DataFrame, int]:
+    """As written(), and on how many rows ``what`` is true."""
+    saved = written(df, folder)
+    return saved, saved.where(what).count()
+
+
 def reachable(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
     """``node, hops``: nodes reachable from ``seeds(node)`` and the fewest hops.  Cycles are allowed."""
     folder: list[str] = []
-    edges = written(edges.select("src", "dst").distinct(), folder)
+    return walked(written(edges.select("src", "dst"), folder), seeds, most, folder)
+
+
+def walked(edges: DataFrame, seeds: DataFrame, most: int | None, folder: list[str]) -> DataFrame:
+    """reachable() over edges that are written; repeated ones do no harm."""
     front = written(seeds.select("node").distinct().withColumn("hops", F.lit(0)), folder)
     seen, k = front, 0
     while most is None or k < most:
         k += 1
         step = edges.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        front = written(step.join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(k)), folder)
-        if front.limit(1).count() == 0:
+        front, n = written_counting(step.join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(k)), folder, F.lit(True))
+        if not n:
             break
         seen = seen.unionByName(front)
     return seen
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``node, component``: the smallest node of each undirected component."""
+    """``node, component``: the smallest node of each undirected component.
+
+    Each round, every node takes the smallest node next to it, if that is
+    smaller, and chains of these are followed to their ends by doubling.  What
+    ends at one node is one node from then on, and only edges between different
+    ones stay, so later rounds are small.
+    """
     folder: list[str] = []
-    both = written(edges.select("src", "dst").union(edges.select("dst", "src")).distinct(), folder)
-    labels = written(nodes.select("node", F.col("node").alias("component")), folder)
+    return written_components(nodes, written(edges.select("src", "dst").where("src <> dst"), folder), folder)
+
+
+def lowest(links: DataFrame) -> DataFrame:
+    """``node, up``: the smallest of each node and those next to it."""
+    both = links.select(F.col("src").alias("node"), F.col("dst").alias("near")).union(links.select("dst", "src"))
+    return both.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("up"))
+
+
+def written_components(nodes: DataFrame, links: DataFrame, folder: list[str]) -> DataFrame:
+    """components() over edges that are written, without loops and null ends; repeated ones do no harm."""
+    own = nodes.select("node").where("node is not null")
+    up = written(lowest(links), folder)
+    if not up.join(own, "node", "left_anti").isEmpty():  # edges of other nodes don't count
+        links = links.join(own.select(F.col("node").alias("src")), "src", "left_semi").join(own.select(F.col("node").alias("dst")), "dst", "left_semi")
+        links = written(links.select("src", "dst"), folder)
+        up = written(lowest(links), folder)
+    label = own.withColumn("component", F.col("node"))
     while True:
-        near = both.join(labels.select(F.col("node").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
-        low = labels.join(near, "node", "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("c"))
-        above = labels.select(F.col("node").alias("c"), F.col("component").alias("above"))
-        new = written(low.join(above, "c").select("node", "old", F.least("c", "above").alias("component")), folder)
-        labels = new.select("node", "component")
-        if new.where("component < old").limit(1).count() == 0:
-            return labels
+        moved = 1
+        while moved:
+            above = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
+            up, moved = written_counting(up.join(above, "up").select("node", "up", "top"), folder, F.col("top") < F.col("up"))
+            up = up.select("node", F.col("top").alias("up"))
+        label = label.join(up.select(F.col("node").alias("component"), "up"), "component", "left").select("node", F.coalesce("up", "component").alias("component"))
+        s, t = up.select(F.col("node").alias("src"), F.col("up").alias("s")), up.select(F.col("node").alias("dst"), F.col("up").alias("t"))
+        apart = links.join(s, "src").join(t, "dst").where("s <> t").select(F.least("s", "t").alias("src"), F.greatest("s", "t").alias("dst")).distinct()
+        links, n = written_counting(apart, folder, F.lit(True))
+        if not n:
+            return written(label, folder)
+        up = written(lowest(links), folder)
 
 
 def rolled_up(edges: DataFrame, group: DataFrame) -> DataFrame:
@@ -100,7 +138,13 @@ def affected(edges: DataFrame, changed: DataFrame) -> DataFrame:
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """``node, hops``: nodes within ``hops`` of the seeds, in either direction."""
-    return reachable(edges.unionByName(backward(edges)), seeds, hops)
+    folder: list[str] = []
+    links = written(edges.select("src", "dst"), folder)
+    return walked(links.unionByName(backward(links)), seeds, hops, folder)
+
+
+#: Share of nodes from which those without an edge in or out are taken away before a round.
+TRIM = 0.01
 
 
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -108,33 +152,47 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Each round, the smallest ancestor's id colours every node; a colour's
     members that lead back to the node of that id are one component and leave.
+    A colour is an ancestor itself, so nodes also take the colour of their
+    colour, which halves long ways.
     """
     folder: list[str] = []
-    left = written(edges.select("src", "dst").where("src <> dst").distinct(), folder)
+    left = written(edges.select("src", "dst").where("src <> dst"), folder)
     found = []
     while True:
-        ends = left.select("src").distinct().intersect(left.select("dst").distinct())  # others are alone
-        inner = left.join(ends, "src", "left_semi").join(ends.select(F.col("src").alias("dst")), "dst", "left_semi")
-        left = written(inner.select("src", "dst"), folder)
-        if left.limit(1).count() == 0:
+        sides = left.select(F.col("dst").alias("node"), F.col("src").alias("up"), F.lit(False).alias("out")).union(left.select("src", F.lit(None).cast(left.schema["src"].dataType), F.lit(True)))
+        sides = sides.groupBy("node").agg(F.min("up").alias("up"), F.max("out").alias("out"))
+        sides, n = written_counting(sides, folder, F.lit(True))
+        if not n:
             break
-        colours = written(left.select(F.col("src").alias("node")).union(left.select("dst")).distinct().withColumn("c", F.col("node")), folder)
+        alone = sides.where("up is null or not out").select("node")
+        if alone.count() > TRIM * n:
+            inner = left.join(alone.select(F.col("node").alias("src")), "src", "left_anti").join(alone.select(F.col("node").alias("dst")), "dst", "left_anti")
+            left = written(inner.select("src", "dst"), folder)
+            continue
+        stepped = sides.select("node", F.least("node", F.coalesce("up", "node")).alias("c"))
         while True:
+            colours = written(stepped.join(stepped.select(F.col("node").alias("c"), F.col("c").alias("above")), "c").select("node", F.least("c", "above").alias("c")), folder)
             low = left.join(colours.select(F.col("node").alias("src"), F.col("c").alias("up")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("up").alias("up"))
-            new = written(colours.join(low, "node", "left").select("node", F.col("c").alias("old"), F.least("c", F.coalesce("up", "c")).alias("c")), folder)
-            colours = new.select("node", "c")
-            if new.where("c < old").limit(1).count() == 0:
+            new = colours.join(low, "node", "left").select("node", F.col("c").alias("old"), F.least("c", F.coalesce("up", "c")).alias("c"))
+            new, moved = written_counting(new, folder, F.col("c") < F.col("old"))
+            stepped = new.select("node", "c")
+            if not moved:
+                break
+        members = front = written(colours.where("node = c"), folder)
+        while True:
+            step = left.join(front.select(F.col("node").alias("dst"), "c"), "dst").select(F.col("src").alias("node"), "c").distinct()
+            step = step.join(colours, ["node", "c"], "left_semi").join(members.select("node"), "node", "left_anti")
+            front, n = written_counting(step.select("node", "c"), folder, F.lit(True))
+            if not n:
                 break
-        s, t = colours.select(F.col("node").alias("src"), F.col("c").alias("sc")), colours.select(F.col("node").alias("dst"), F.col("c").alias("tc"))
-        same = backward(left.join(s, "src").join(t, "dst").where("sc = tc"))
-        back = reachable(same, colours.where("node = c").select("node"))
-        members = written(colours.join(back.select("node"), "node", "left_semi").select("node", F.col("c").alias("component")), folder)
-        found.append(members)
-        gone = members.select("node")
-        left = left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
+            members = members.unionByName(front)
+        found.append(members.select("node", F.col("c").alias("component")))
+        rest, n = written_counting(colours.join(members.select("node"), "node", "left_anti").select("node", "c"), folder, F.lit(True))
+        if not n:
+            break
+        s, t = rest.select(F.col("node").alias("src"), F.col("c").alias("sc")), rest.select(F.col("node").alias("dst"), F.col("c").alias("tc"))
+        left = written(left.join(s, "src").join(t, "dst").where("sc = tc").select("src", "dst"), folder)
     if not found:
         return nodes.select("node", F.col("node").alias("component"))
-    known = found[0]
-    for more in found[1:]:
-        known = known.unionByName(more)
-    return nodes.select("node").join(known, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    known = reduce(DataFrame.unionByName, found)
+    return written(nodes.select("node").join(known, "node", "left").select("node", F.coalesce("component", "node").alias("component")), folder)

@@ -239,9 +239,11 @@ def _cohesion(s, d):
 
 def _graph_findings(s, d):
     nodes, edges = part_graph(s, d)
+    edges = graph.written(edges, [])
     part = table(s, d, "part")
-    points = biconnected.chokepoint_rows(part.select(F.col("p_partkey").alias("node"), F.col("p_size").alias("criticality")), edges)
-    strong = graph.strong_components(nodes, edges).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    strong = graph.strong_components(nodes, edges)
+    points = biconnected.chokepoint_rows(part.select(F.col("p_partkey").alias("node"), F.col("p_size").alias("criticality")), edges, strong=strong)
+    strong = strong.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     packages = graph.rolled_up(edges, part.select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("grp")))
     return biconnected.graph_findings(points, strong, packages, part.where("p_size % 4 = 0").select(F.col("p_partkey").alias("node")))
 
