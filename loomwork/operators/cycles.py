@@ -25,15 +25,17 @@ def simple_cycles(edges: DataFrame, most: int, groups: DataFrame | None = None)
         s, t = (groups.select(F.col("node").alias(c), F.col("component").alias(f"{c}_group")) for c in ("src", "dst"))
         links = links.join(s, "src").join(t, "dst").where("src_group = dst_group").select("src", "dst")
     links = graph.written(links, folder)
-    onward, home = links.where("src <> dst"), links.select(F.col("src").alias("last"), F.col("dst").alias("start"))
-    paths = links.select(F.col("src").alias("start")).distinct().select("start", F.col("start").alias("last"), F.array("start").alias("cycle"))
+    onward, home = links.where("src <> dst"), links.select(F.col("src").alias("last"), F.col("dst").alias("n0")).hint("shuffle_hash")
+    paths = links.select(F.col("src").alias("n0")).distinct().select("n0", F.col("n0").alias("last"))
     found = []
     for n in range(1, most + 1):
-        found.append(paths.join(home, ["start", "last"], "left_semi").select("cycle", F.lit(n).alias("node_count")))
-        if n < most:
+        own = [f"n{k}" for k in range(n - 1)] + ["last"]
+        found.append(paths.join(home, ["n0", "last"], "left_semi").select(F.array(*own).alias("cycle"), F.lit(n).alias("node_count")))
+        if n < most:  # the longest paths are many, and only those that close are kept
             step = onward.select(F.col("src").alias("last"), F.col("dst").alias("next"))
-            grown = paths.join(step, "last").where((F.col("next") > F.col("start")) & ~F.array_contains("cycle", F.col("next")))
-            paths = graph.written(grown.select("start", F.col("next").alias("last"), F.concat("cycle", F.array("next")).alias("cycle")), folder)
+            grown = paths.join(step, "last").where((F.col("next") > F.col("n0")) & ~F.col("next").isin(*[F.col(c) for c in own]))
+            grown = grown.select(*own[:-1], F.col("last").alias(f"n{n - 1}"), F.col("next").alias("last")) if n > 1 else grown.select("n0", F.col("next").alias("last"))
+            paths = grown if n + 1 == most else graph.written(grown, folder)
     return reduce(DataFrame.unionByName, found)
 
 
@@ -49,8 +51,9 @@ def cycle_findings(cycles: DataFrame, lines: DataFrame, most: int = 15) -> DataF
     the cycle's first edge counts, 1 if none is known.
     """
     first = cycles.orderBy(F.desc("node_count"), "cycle").limit(most)
-    ends = first.withColumns({"file": F.col("cycle")[0], "next": F.coalesce(F.get("cycle", F.lit(1)), F.col("cycle")[0])})
-    at = lines.groupBy(F.col("src").alias("file"), F.col("dst").alias("next")).agg(F.min("line").alias("line"))
+    ends = graph.written(first, []).withColumns({"file": F.col("cycle")[0], "next": F.coalesce(F.get("cycle", F.lit(1)), F.col("cycle")[0])})
+    stand = lines.select(F.col("src").alias("file"), F.col("dst").alias("next"), "line").join(F.broadcast(ends.select("file", "next")), ["file", "next"], "left_semi")
+    at = stand.groupBy("file", "next").agg(F.min("line").alias("line"))
     title = F.format_string("Dependency cycle detected (%d node cycle)", "node_count")
     return ends.join(at, ["file", "next"], "left").select(
         F.lit("dependency-cycle").alias("category"),

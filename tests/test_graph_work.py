@@ -2,7 +2,7 @@
 
 import random
 
-from loomwork.operators import biconnected, graph
+from loomwork.operators import biconnected, cycles, graph
 
 
 def test_rows_written(spark, monkeypatch):
@@ -22,3 +22,8 @@ def test_rows_written(spark, monkeypatch):
     assert {r.block is None for r in found.collect()} == {False} and sum(sizes) < 5 * len(pairs)
     sizes.clear()
     assert graph.components(nodes, edges).where("component = 0").count() == 60 and sum(sizes) < 2 * len(pairs)
+    sizes.clear()
+    triangles = cycles.simple_cycles(edges.union(graph.backward(edges)), 3).where("node_count = 3").count()
+    near = {p: 1 for p in pairs} | {(b, a): 1 for a, b in pairs}
+    assert triangles == 2 * sum((a, b) in near and (b, c) in near and (a, c) in near for a in range(60) for b in range(a) for c in range(b))
+    assert sum(sizes) < 4 * len(pairs)
