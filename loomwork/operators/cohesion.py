@@ -19,9 +19,10 @@ def symbol_groups(exports: DataFrame, imports: DataFrame) -> DataFrame:
     used = imports.join(exports.select("module", "name").distinct(), ["module", "name"], "left_semi").select("consumer", "module", "name").distinct()
     used = graph.written(used, folder)
     symbols = graph.written(used.select("module", "name").distinct().withColumn("node", F.monotonically_increasing_id()), folder)
-    numbered = used.join(symbols, ["module", "name"])
-    first = numbered.groupBy("consumer", "module").agg(F.min("node").alias("dst"))
-    links = numbered.join(first, ["consumer", "module"]).where("node <> dst").select(F.col("node").alias("src"), "dst")
+    first = used.groupBy("consumer", "module").agg(F.min("name").alias("least"))
+    ties = used.join(first, ["consumer", "module"]).where("name <> least").select("module", "name", "least").distinct()  # consumers repeat them
+    links = ties.join(symbols.withColumnRenamed("node", "src"), ["module", "name"])
+    links = links.join(symbols.select("module", F.col("name").alias("least"), F.col("node").alias("dst")), ["module", "least"]).select("src", "dst")
     return symbols.join(graph.components(symbols.select("node"), links), "node").select("module", "name", F.col("component").alias("grp"))
 
 
@@ -30,6 +31,7 @@ def low_cohesion(exports: DataFrame, imports: DataFrame, least_exports: int = 3)
 
     Modules need ``least_exports`` exports, and two imported symbols at least.
     """
+    exports = graph.written(exports.select("module", "name"), [])
     large = exports.groupBy("module").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_exports).select("module")
     sums = symbol_groups(exports.join(large, "module", "left_semi"), imports).groupBy("module").agg(F.count(F.lit(1)).alias("symbols"), F.count_distinct("grp").alias("groups"))
     return sums.where("symbols >= 2 and groups > 1").withColumn("severity", F.when(F.col("groups") >= 4, "high").otherwise("medium"))
