@@ -24,10 +24,13 @@ def overlaps(a: Column, b: Column, least: float) -> Column:
     return both >= least * (F.size(a) + F.size(b) - both)
 
 
-def pairs(bases: DataFrame, items: DataFrame, frequency: DataFrame, least: float) -> DataFrame:
-    """``base, k, grows``: which items behind its cursor each base would take as it is now, and which of these would add members."""
-    near = prefix_tokens(bases, frequency, least, "base", "cursor").join(prefix_tokens(items, frequency, least, "place"), "token")
-    near = near.where(F.col("place") > F.col("cursor")).select("base", "place").distinct()
+def pairs(bases: DataFrame, items: DataFrame, rare: DataFrame, live: DataFrame, frequency: DataFrame, least: float, folder: list[str]) -> DataFrame:
+    """``base, k, grows``: which live items behind its cursor each base would take as it is now, and which of these would add members.
+
+    ``rare(place, token)`` are the prefix_tokens() of all items.
+    """
+    near = prefix_tokens(bases, frequency, least, "base", "cursor").join(rare, "token").where(F.col("place") > F.col("cursor"))
+    near = graph.written(near.select("base", "place").distinct().join(live, "place", "left_semi"), folder)
     whole = near.join(bases.select("base", F.col("members").alias("own")), "base").join(items.select("place", "members"), "place")
     whole = whole.where(overlaps(F.col("own"), F.col("members"), least))
     return whole.select("base", F.col("place").alias("k"), (F.size(F.array_except("members", "own")) > 0).alias("grows"))
@@ -62,15 +65,19 @@ def merged_chains(chains: DataFrame, least: float = 0.8) -> DataFrame:
     """
     folder: list[str] = []
     tidy = F.array_distinct(F.array_compact("members"))
-    items = graph.written(chains.select("place", "head", tidy.alias("members")), folder)
-    each = items.select("place", F.explode("members").alias("token"))
-    frequency = graph.written(each.groupBy("token").agg(F.count(F.lit(1)).alias("frequency"), F.min("place").alias("first")), folder)
-    links = each.join(frequency, "token").select(F.col("place").alias("src"), F.col("first").alias("dst")).where("src <> dst")
+    each = chains.select("place", F.explode(tidy).alias("member"))
+    numbers = each.groupBy("member").agg(F.count(F.lit(1)).alias("frequency"), F.min("place").alias("first"))
+    numbers = graph.written(numbers.withColumn("token", F.monotonically_increasing_id()), folder)
+    each = graph.written(each.join(numbers, "member").select("place", "token", "first"), folder)  # members travel as numbers from here on
+    frequency = numbers.select("token", "frequency")
+    items = graph.written(each.groupBy("place").agg(F.array_sort(F.collect_list("token")).alias("members")), folder)
+    rare = graph.written(prefix_tokens(items, frequency, least, "place"), folder)
+    links = each.select(F.col("place").alias("src"), F.col("first").alias("dst")).where("src <> dst")
     component = graph.components(items.select(F.col("place").alias("node")), links).select(F.col("node").alias("base"), F.col("component").alias("part"))
-    live = items.select("place", "members")
-    bases = live.select(F.col("place").alias("base"), F.col("place").alias("cursor"), "members")
-    found = graph.written(pairs(bases, live, frequency, least), folder)
-    owners = None
+    live = items.select("place")
+    bases = items.select(F.col("place").alias("base"), F.col("place").alias("cursor"), "members")
+    found = graph.written(pairs(bases, items, rare, live, frequency, least, folder), folder)
+    owners = changed = None
     while not found.isEmpty():
         stops = found.groupBy("base").agg(F.min(F.when(F.col("grows"), F.col("k"))).alias("stop"))
         reach = graph.written(found.join(stops, "base").where(F.col("stop").isNull() | (F.col("k") <= F.col("stop"))), folder)
@@ -80,18 +87,21 @@ def merged_chains(chains: DataFrame, least: float = 0.8) -> DataFrame:
         sure = sure.join(takers.select(F.col("k").alias("base")), "base", "left_anti").select("base", "k")
         taken = graph.written(sure, folder)
         owners = taken if owners is None else owners.unionByName(taken)
-        live = live.join(taken.select(F.col("k").alias("place")), "place", "left_anti")
-        grown = taken.join(stops, "base").where(F.col("k") == F.col("stop")).select("base", "k")
+        live = items.select("place").join(owners.select(F.col("k").alias("place")), "place", "left_anti")
+        grown = graph.written(taken.join(stops, "base").where(F.col("k") == F.col("stop")).select("base", "k"), folder)
         more = grown.join(items.select(F.col("place").alias("k"), F.col("members").alias("added")), "k")
-        larger = graph.written(
-            more.join(bases, "base").select("base", F.col("k").alias("cursor"), F.array_union("members", "added").alias("members")), folder
-        )
-        bases = bases.join(larger.select("base"), "base", "left_anti").unionByName(larger)
-        bases = graph.written(bases.join(taken.select(F.col("k").alias("base")), "base", "left_anti"), folder)
-        live = graph.written(live, folder)
+        # what has not grown stands among the items, so that only the others are written anew
+        own = grown.select("base").join(items.select(F.col("place").alias("base"), "members"), "base")
+        if changed is not None:
+            own = own.join(changed.select("base"), "base", "left_anti").unionByName(changed.select("base", "members"))
+        larger = graph.written(more.join(own, "base").select("base", F.col("k").alias("cursor"), F.array_union("members", "added").alias("members")), folder)
+        if changed is not None:
+            kept = changed.join(larger.select("base"), "base", "left_anti").join(taken.select(F.col("k").alias("base")), "base", "left_anti")
+        changed = larger if changed is None else graph.written(kept.unionByName(larger), folder)
         gone = taken.select("k")
         rest = found.join(larger.select("base"), "base", "left_anti").join(gone, "k", "left_anti").join(gone.select(F.col("k").alias("base")), "base", "left_anti")
-        found = graph.written(rest.unionByName(pairs(larger, live, frequency, least)), folder)
+        found = graph.written(rest.unionByName(pairs(larger, items, rare, live, frequency, least, folder)), folder)
+    items = chains.select("place", "head", tidy.alias("members"))
     own = items.select(F.col("place").alias("base"), "place", "head", "members")
     if owners is not None:
         own = own.join(owners.select(F.col("k").alias("place"), F.col("base").alias("taker")), "place", "left").withColumn("base", F.coalesce("taker", "base")).drop("taker")

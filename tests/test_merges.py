@@ -44,3 +44,17 @@ def test_equals_the_ordered_loop(spark, monkeypatch):
     empty = merges.merged_chains(spark.createDataFrame([(1, "a", []), (2, "b", []), (3, "c", None), (4, "d", [None, "x"]), (5, "e", ["x", "x"])], schema)).collect()
     assert sorted((r.place, list(r.heads), list(r.members)) for r in empty if r.place != 3) == [(1, ["a"], []), (2, ["b"], []), (4, ["d", "e"], ["x"])]
     assert merges.merged_chains(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_members_are_written_once(spark, monkeypatch):
+    """Texts of members travel once, however many rounds there are; before, each round wrote them twice."""
+    chains = [(1, "a", list("abcdefghi")), (2, "b", list("abcdefghij")), (3, "c", list("abcdefghijkl")), (4, "d", ["z"])]
+    plain, texts = merges.graph.written, []
+
+    def noted(df, folder):
+        texts.append(any("string" in kind for _, kind in df.dtypes))
+        return plain(df, folder)
+
+    monkeypatch.setattr(merges.graph, "written", noted)
+    got = merges.merged_chains(spark.createDataFrame(chains, "place long, head string, members array<string>")).collect()
+    assert sorted((r.place, list(r.heads), list(r.members)) for r in got) == ordered_loop(chains) and sum(texts) == 1
