@@ -23,13 +23,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import save, scratch, shards
+from .common import give_back, save, scratch, shards
 
 MAGIC = b"TOKFILE1"
 #: Tokens of one file; a longer document has a file of its own.
 FILE_TOKENS = 4_000_000
-#: Words, and pieces of words, whose ids a worker remembers.
-CACHE_WORDS = 600_000
+#: Tokens that a task expands, or hands back, at once: a multiple of 4.
+PART_TOKENS = 1 << 20
+#: Words, and pieces of words, whose ids a worker remembers within a task, and beyond it.
+CACHE_WORDS, KEPT_WORDS = 600_000, 50_000
 #: Lengths of the four tokens that a control byte describes.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
@@ -133,15 +135,22 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, *, id_col: str = "doc
         words = _WORDS[tokenizer]
         end = np.array([end_id], np.uint32).tobytes()
         for batch in batches:
-            counts, bodies = [], []
-            for text in batch.column(2):
+            counts, bodies, size, at = [], [], 0, 0
+            for k, text in enumerate(batch.column(2), 1):
                 ids = np.frombuffer(words.of_text(text.as_py() or "") + end, np.uint32)
                 counts.append(len(ids))
                 bodies.append(shrink(ids))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(bodies, pa.binary())],
-                names=["doc_id", "tie", "n_tokens", "ids"],
-            )
+                size += len(ids)
+                if size >= PART_TOKENS or k == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0)[at:k], batch.column(1)[at:k], pa.array(counts, pa.int64()), pa.array(bodies, pa.binary())],
+                        names=["doc_id", "tie", "n_tokens", "ids"],
+                    )
+                    counts, bodies, size, at = [], [], 0, k
+        batch = text = ids = None
+        if len(words) > KEPT_WORDS:  # most of them occur in few texts, and workers that are idle would hold them
+            words.clear()
+        give_back()
 
     text = F.col(text_col).cast("string")
     # equal ids are ordered by text, so any partitioning writes the same files
@@ -160,6 +169,7 @@ def frequencies(tokens: DataFrame) -> DataFrame:
                 if len(n) > len(total):
                     total = np.concatenate((total, np.zeros(len(n) - len(total), np.int64)))
                 total[: len(n)] += n
+        give_back()
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["id", "n"])
 
@@ -168,6 +178,11 @@ def frequencies(tokens: DataFrame) -> DataFrame:
 
 def encode(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of unsigned 32-bit values."""
+    parts = [encode_part(values[a : a + PART_TOKENS]) for a in range(0, len(values), PART_TOKENS)]
+    return b"".join(x for x, _ in parts), b"".join(x for _, x in parts)
+
+
+def encode_part(values: np.ndarray) -> tuple[bytes, bytes]:
     width = 1 + (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
     code = np.zeros(-(-len(values) // 4) * 4, np.uint8)
     code[: len(values)] = width - 1
@@ -176,8 +191,9 @@ def encode(values: np.ndarray) -> tuple[bytes, bytes]:
     return control.tobytes(), octets[np.arange(4) < width[:, None]].tobytes()
 
 
-def decode(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
-    width = LENGTHS[control].reshape(-1)[:n]
+def decode(width: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Values of ``width`` bytes each that lie at the begin of ``data``."""
+    data = data[: int(width.sum(dtype=np.int64))]
     at = np.cumsum(width, dtype=np.int64) - width
     padded = np.concatenate((data, np.zeros(3, np.uint8)))
     values = padded[at].astype(np.uint32)
@@ -234,7 +250,7 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str, end_id: int
 
         def flush():
             name = f"part-{part:08d}-{seq:06d}.tok"
-            control, data = encode(rank_of[np.concatenate(bodies)])
+            control, data = encode(np.concatenate([rank_of[grow(x)] for x in bodies]))
             head = np.array([len(keys), size, len(control)], "<u8").tobytes()
             null = np.array([k is None for k in keys], np.uint8).tobytes()
             own = np.array([k or 0 for k in keys], "<i8").tobytes() + null + np.array(counts, "<u8").tobytes()
@@ -250,10 +266,12 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str, end_id: int
                     seq, keys, counts, bodies, size = seq + 1, [], [], [], 0
                 keys.append(key.as_py())
                 counts.append(n)
-                bodies.append(grow(body.as_py()))
+                bodies.append(body.as_py())
                 size += n
         if keys:
             yield flush()
+        keys, counts, bodies = [], [], []
+        give_back()
 
     ordered = tokens.repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     return save(ordered.mapInArrow(run, "file string, n_docs long, n_tokens long, n_bytes long"), f"{folder}/manifest")
@@ -278,21 +296,32 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 null = raw[at + 8 * docs : at + 9 * docs] > 0
                 counts = np.frombuffer(raw[at + 9 * docs : at + 17 * docs].tobytes(), "<u8").astype(np.int64)
                 at += 17 * docs
-                ids = id_of[decode(raw[at : at + width], raw[at + width :], size)].astype("<u4")
+                widths = LENGTHS[raw[at : at + width]].reshape(-1)[:size]
+                data = raw[at + width :]
                 ends = np.cumsum(counts)
-                each = [ids[b - n : b].tobytes() for n, b in zip(counts, ends)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([name.rsplit("/", 1)[-1]] * docs),
-                        pa.array(keys, mask=null),
-                        pa.array(np.arange(docs)),
-                        pa.array(ends - counts),
-                        pa.array(counts),
-                        pa.array([zlib.crc32(x) for x in each], pa.int64()),
-                        pa.array(each, pa.binary()),
-                    ],
-                    names=["file", "doc_id", "place", "at", "n_tokens", "ids_crc32", "ids"],
-                )
+                starts = ends - counts
+                first = 0
+                while first < docs:  # as many documents at once as have PART_TOKENS, one at least
+                    last = max(first + 1, int(np.searchsorted(ends, starts[first] + PART_TOKENS, "right")))
+                    own = widths[starts[first] : ends[last - 1]]
+                    ids = id_of[decode(own, data)].astype("<u4")
+                    data = data[int(own.sum(dtype=np.int64)) :]
+                    part = slice(first, last)
+                    each = [ids[b - n : b].tobytes() for n, b in zip(counts[part], ends[part] - starts[first])]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([name.rsplit("/", 1)[-1]] * len(each)),
+                            pa.array(keys[part], mask=null[part]),
+                            pa.array(np.arange(first, last)),
+                            pa.array(starts[part]),
+                            pa.array(counts[part]),
+                            pa.array([zlib.crc32(x) for x in each], pa.int64()),
+                            pa.array(each, pa.binary()),
+                        ],
+                        names=["file", "doc_id", "place", "at", "n_tokens", "ids_crc32", "ids"],
+                    )
+                    first = last
+        give_back()
 
     schema = "file string, doc_id long, place long, at long, n_tokens long, ids_crc32 long, ids binary"
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tok").load(path).select("path", "content")
