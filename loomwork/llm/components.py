@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, save, save_counting, scratch
+from .common import BROADCAST_ROWS, remove, save, save_counting, scratch
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -14,27 +14,26 @@ def connected_components(links: DataFrame) -> DataFrame:
     Each round joins every node to the smallest label around it and then to
     that label's own label, so paths shrink to stars in a logarithmic number of
     rounds in practice.  Labels are reduced with partial aggregation, so a node
-    with very many links is no hot key.  Loops and repeated links are allowed;
-    null ends are ignored; no links give an empty result.
+    with very many links is no hot key.  Of few links the labels are broadcast
+    and a round shuffles once.  Loops and repeated links are allowed; null ends
+    are ignored; no links give an empty result.
     """
     spark, folder = links.sparkSession, scratch(links.sparkSession)
     links = links.where("a is not null and b is not null")
-    both = links.select("a", "b").union(links.select("b", "a")).distinct()
-    edges = save(both, f"{folder}/edges")
+    both = links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.a", "x.b")
+    edges, n = save_counting(both, f"{folder}/edges", F.lit(True))
+    near = F.broadcast if n <= BROADCAST_ROWS else lambda rows: rows  # there are no more labels than edges
     labels = save(edges.groupBy("a").agg(F.min("b").alias("l")).select(F.col("a").alias("node"), F.least("a", "l").alias("component")), f"{folder}/labels0")
     k = 0
     while True:
+        # labels are nodes of their component, so they are final as soon as no edge lies between two of them
+        ends = [near(labels.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))) for x in ("a", "b")]
+        if edges.join(ends[0], "a").join(ends[1], "b").where("of_a <> of_b").isEmpty():
+            return labels
         k += 1
-        around = (
-            edges.join(labels.select(F.col("node").alias("b"), "component"), "b")
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("component").alias("near"))
-        )
-        low = labels.join(around, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("c"))
-        up = labels.select(F.col("node").alias("c"), F.col("component").alias("above"))
-        new = low.join(up, "c", "left").select("node", "old", F.least("c", "above").alias("component"))
-        new, changed = save_counting(new, f"{folder}/labels{k}", F.col("component") < F.col("old"))
+        of = near(labels.select(F.col("node").alias("at"), F.col("component").alias("above")))
+        around = edges.join(of, F.col("b") == F.col("at")).select(F.col("a").alias("node"), F.col("above").alias("c"))
+        low = around.unionByName(labels.select("node", F.col("component").alias("c"))).groupBy("node").agg(F.min("c").alias("c"))
+        new = low.join(of, F.col("c") == F.col("at"), "left").select("node", F.least("c", "above").alias("component"))
+        labels = save(new, f"{folder}/labels{k}")
         remove(spark, f"{folder}/labels{k - 1}")
-        labels = new.select("node", "component")
-        if not changed:
-            return labels

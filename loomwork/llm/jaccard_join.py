@@ -20,9 +20,10 @@ in both, and the other orders are cut at the same place.
 
 A posting of m sets is never expanded into m * m pairs while they are linked:
 first each set is compared with a few centres of its postings, others in each
-round, and what is then in one component needs no further comparison.  All pairs that
-still lie in different components are compared in the end, so no link that
-would join two components is lost.
+round, and what is then in one component needs no further comparison.  The rounds
+end when one brings no link, or when the pairs that are left are no more than a
+few for each posting.  All pairs that still lie in different components are
+compared in the end, so no link that would join two components is lost.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import (
@@ -59,8 +60,10 @@ from .substring_dedup import SHARD_KEYS, among, inside
 
 #: Independent orders beside the one by frequency.
 ORDERS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
-#: Rounds of comparisons with centres, at most (they end when one brings no link), and most centres of a posting.
-STAR_ROUNDS, CENTRES = 6, 64
+#: Centres of a posting in each round of comparisons with them.
+CENTRES = (1, 16, 64, 64)
+#: Pairs left for each posting up to which all of them are compared at once.
+LEFT_PAIRS = 2
 
 
 SETS_SCHEMA = "doc_id long, n long, d1 long, d2 long, own int, shared binary, prefix array<long>, others array<binary>"
@@ -100,8 +103,8 @@ def digests(pack: Pack, doc: np.ndarray, code: np.ndarray):
     return n, *(s.view(np.int64) for s in sums), first & (n > 0)
 
 
-#: Pairs that one block verifies on average.
-BLOCK_PAIRS = 4096
+#: Pairs that one block verifies on average, and pairs up to which sets are compared without a look at the other orders.
+BLOCK_PAIRS, FEW_PAIRS = 4096, 1 << 16
 
 
 def _sizes(pairs: pa.Table, sets: pa.Table, percent: int):
@@ -261,65 +264,64 @@ def jaccard_join(
 
     name = ["n", "d1", "d2"]
     filled = sets.where("n > 0")
-    classes = filled.groupBy(name).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"))
+    classes = filled.groupBy(name).agg(F.min("doc_id").alias("rep"))
     one = filled.where("shared is not null").dropDuplicates(name)
     # classes are numbered when they are written, as ids may be null or repeat
     live = one.select(F.monotonically_increasing_id().alias("key"), *name, F.expr("cast(n - own as int)").alias("s"), "shared", "prefix", "others")
     live = save(live, f"{folder}/live")
-    labels = _labels(live, percent, folder)
-    labels = labels.withColumnRenamed("node", "key").join(live.select("key", *name), "key").select(*name, "component")
-    grouped = save(classes.join(labels, name), f"{folder}/grouped")
-    least = grouped.groupBy("component").agg(F.min("rep").alias("least"))
-    joined = grouped.join(least, "component").select(*name, "least")
-    final = classes.join(joined, name, "left").select(*name, F.coalesce("least", "rep").alias("component_id"))
-    final = save(final, f"{folder}/final")
+    labels = few(_labels(live, percent, folder)).withColumnRenamed("node", "key")
+    grouped = save(classes.join(live.select("key", *name).join(labels, "key").drop("key"), name, "left"), f"{folder}/grouped")
+    least = save(grouped.where("component is not null").groupBy("component").agg(F.min("rep").alias("least")), f"{folder}/least")
+    final = grouped.join(few(least), "component", "left").select(*name, F.coalesce("least", "rep").alias("component_id"))
     texts = filled.select("doc_id", *name).join(final, name).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     empty = sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return texts.unionByName(empty)
 
 
-def _joined(labels: DataFrame | None, links: DataFrame, path: str) -> DataFrame:
+def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """``node, c``: components after more ``links(a, b)``: only what they join is looked at, by its label, which is its smallest node."""
     if labels is None:
         return connected_components(links).withColumnRenamed("component", "c")
     own = labels.select("node", "c")
+    of = few(own)
     for end in ("a", "b"):
-        links = links.join(few(own.withColumnRenamed("node", end)), end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
-    links = save(links.where("a <> b").distinct(), path)
-    above = connected_components(links)
+        links = links.join(of.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
+    above = connected_components(links.where("a <> b"))
     fresh = above.select("node", F.col("node").alias("c")).join(own.select("node"), "node", "left_anti")
     above = above.select(F.col("node").alias("c"), "component")
     return own.unionByName(fresh).join(few(above), "c", "left").select("node", F.coalesce("component", "c").alias("c"))
 
 
 def _labels(live: DataFrame, percent: int, folder: str) -> DataFrame:
-    """``node, component`` of the classes that link with any."""
+    """``node, component`` of the classes that link with any, written."""
     spark, columns = live.sparkSession, ("token", "key", "n", "rest")
     # unshared shingles come first in each order, so a shared one's rank starts behind them
     postings = live.select("key", F.col("n").cast("int").alias("n"), "s", F.posexplode("prefix").alias("at", "token"))
-    postings = save(postings.select("token", "key", "n", (F.col("s") - F.col("at")).alias("rest")), f"{folder}/open")
+    postings, n_postings = save_counting(postings.select("token", "key", "n", (F.col("s") - F.col("at")).alias("rest")), f"{folder}/open", F.lit(True))
     prefixes, whole = live.select("key", "n", "s", "others"), live.select("key", "n", "shared")
     meets = F.expr(f"{_overlap(percent, 'n_a', 'n_b')} <= least(rest_a, rest_b)")  # includes that the sizes fit
-    labels, before = None, f"{folder}/open"
+    labels, linked, before = None, 1, f"{folder}/open"
 
     def side(rows: DataFrame, name: str, token: str, *more: str) -> DataFrame:
         return rows.select(F.col("token").alias(token), F.col("key").alias(name), F.col("n").alias(f"n_{name}"), F.col("rest").alias(f"rest_{name}"), *[F.col(c).alias(f"{c}_{name}") for c in more])
 
-    for k in range(STAR_ROUNDS + 1):
-        last = k == STAR_ROUNDS or (k > 0 and not linked)
+    for k in range(len(CENTRES) + 1):
         at = postings.withColumns({"component": F.col("key"), "mates": F.lit(1).cast("long")})
         if labels is not None:
             at = postings.join(few(labels), F.col("key") == F.col("node"), "left").select(*columns, F.coalesce("c", "key").alias("component"), F.coalesce("mates", F.lit(1).cast("long")).alias("mates"))
         # a posting whose sets are in one component needs nothing more, now and later
         main = F.max(F.struct("mates", F.xxhash64(F.lit(k), "component").alias("turn"), "component"))
-        tokens = at.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), main.alias("main"))
-        tokens = tokens.where("low < high").select("token", F.col("main.component").alias("main"), F.col("main.mates").alias("size"))
-        at = save(at.drop("mates").join(tokens, "token"), f"{folder}/open{k}")
+        tokens = at.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), main.alias("main"), F.count(F.lit(1)).alias("held"))
+        tokens = tokens.where("low < high").select("token", F.col("main.component").alias("main"), F.col("main.mates").alias("size"), "held")
+        # of two sets that lie in different components, one at least is outside the main one
+        seen, left = Observation(), F.sum(F.when(F.col("component") != F.col("main"), F.col("held")))
+        at = save(at.drop("mates").join(tokens, "token").observe(seen, left.alias("pairs")), f"{folder}/open{k}")
+        last = k == len(CENTRES) or not linked or (seen.get["pairs"] or 0) <= LEFT_PAIRS * n_postings
         remove(spark, before)
         postings, before = at.select(*columns), f"{folder}/open{k}"
         if not last:
             # centres of a posting: about so many sets of its largest component, chosen by a hash of this round
-            n_centres = min(4 * 2**k, CENTRES) if k else 1
+            n_centres = CENTRES[k]
             x = at.where((F.col("component") == F.col("main")) & (F.pmod(F.xxhash64(F.lit(-k), "key"), F.col("size")) < n_centres))
             y = at.where("component <> main")
             # each other set is compared with those of which it meets most shingles
@@ -330,11 +332,14 @@ def _labels(live: DataFrame, percent: int, folder: str) -> DataFrame:
             ordered = F.expr("component_a <> component_b and (n_a < n_b or n_a = n_b and a < b)")
             pairs = side(at, "a", "t", "component").join(side(at, "b", "token", "component"), (F.col("t") == F.col("token")) & ordered & meets).select("a", "b").distinct()
         pairs, total = save_counting(pairs, f"{folder}/tries{k}", F.lit(True))
-        # the pairs are cut by all orders before any set is fetched; with few centres blocks go by the other sets
-        passed, total = _by_blocks(pairs, total, prefixes, _meets_in_all_orders(percent), f"{folder}/passed{k}", both=last)
-        now, linked = _by_blocks(passed, total, whole, _verify(percent), f"{folder}/links{k}", both=last)
+        # many pairs are cut by all orders before any set is fetched; with few centres blocks go by the other sets
+        if total > FEW_PAIRS:
+            pairs, total = _by_blocks(pairs, total, prefixes, _meets_in_all_orders(percent), f"{folder}/passed{k}", both=last)
+        now, linked = _by_blocks(pairs, total, whole, _verify(percent), f"{folder}/links{k}", both=last)
+        if linked:
+            labels = save(_joined(labels, now), f"{folder}/joins{k}")
         if last:
-            return _joined(labels, now, f"{folder}/joins{k}").select("node", F.col("c").alias("component"))
+            return (spark.createDataFrame([], "node long, c long") if labels is None else labels).select("node", F.col("c").alias("component"))
         if linked:
-            labels = _joined(labels, now, f"{folder}/joins{k}")
-            labels = save(labels.join(labels.groupBy("c").agg(F.count(F.lit(1)).alias("mates")), "c"), f"{folder}/stars{k}")
+            mates = labels.groupBy("c").agg(F.count(F.lit(1)).alias("mates"))
+            labels = save(labels.join(F.broadcast(mates) if labels.count() <= BROADCAST_ROWS else mates, "c"), f"{folder}/stars{k}")
