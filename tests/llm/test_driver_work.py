@@ -1,5 +1,6 @@
 """What the driver is given to do: how many jobs it starts, and how much it gathers."""
 
+from loomwork.llm import decontaminate as D
 from loomwork.llm import jaccard_join
 from loomwork.llm.components import connected_components
 
@@ -35,3 +36,11 @@ def test_labels_of_many_links_are_not_broadcast(spark, monkeypatch):
     links = spark.createDataFrame([(5, 4), (4, 3), (3, 9), (20, 21), (21, 22), (22, 10)], "a long, b long")
     got = {r.node: r.component for r in connected_components(links).collect()}
     assert got == {k: 3 for k in (3, 4, 5, 9)} | {k: 10 for k in (10, 20, 21, 22)}
+
+
+def test_tasks_sum_the_axes_before_they_reach_the_driver(spark, monkeypatch):
+    sample = spark.createDataFrame([([k, k + 1, 2 * k],) for k in range(64)], "f array<int>").repartition(D.FIT_TASKS)
+    gathered, collect = [], type(sample).collect
+    monkeypatch.setattr(type(sample), "collect", lambda self: [gathered.append(len(r.z)) or r for r in collect(self)])
+    assert D.latent_axes(sample, D.np.ones(D.FEATURES)).shape == (D.FEATURES, D.AXES)
+    assert sum(gathered) <= (D.POWER + 1) * D.FEATURES * D.AXES * 8
